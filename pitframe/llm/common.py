@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (a shuffle join then)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def ship(module: str) -> None:
+    """Executors get the functions of this module with the query, so that nothing has to be installed there."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
