@@ -88,7 +88,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.predict(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return found.select("row.doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+    return found.select("row.doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.35).alias("toxic"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -26,8 +26,14 @@ from .common import col, packed, written
 WORDS = r"[^\p{L}\p{N}]+"
 
 
+#: Besides whole words, their first letters in these lengths are features, for stems with endings not seen in training.
+STEMS = (4, 6)
+
+
 def tokens(text: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), WORDS))
+    words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), WORDS))
+    stems = [F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("-")))) for n in STEMS]
+    return F.concat(words, *stems)
 
 
 class Chain:
@@ -61,7 +67,7 @@ def _fit(df: DataFrame, before: list[str], category: str, regularisation: float)
     if not n or positive in (None, 0, n):
         return float((positive or 0) / n) if n else 0.0
     df = VectorAssembler(inputCols=["words", *before], outputCol="x").transform(df)
-    kind = LogisticRegression(featuresCol="x", labelCol=category, rawPredictionCol="raw", regParam=regularisation, elasticNetParam=1.0, maxIter=40, tol=1e-5)
+    kind = LogisticRegression(featuresCol="x", labelCol=category, rawPredictionCol="raw", regParam=regularisation, elasticNetParam=0.1, maxIter=25, tol=1e-4)
     return kind.fit(df)
 
 
@@ -106,7 +112,7 @@ def predict(docs: DataFrame, chain: Chain, *, text_col: str = "text") -> DataFra
     return chain.score(ready).select("row", *[f"p_{c}" for c, _ in chain.models])
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, **how) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, least: float = 0.35, **how) -> DataFrame:
     """``docs`` without the documents whose probability of the last category, toxic, is ``least`` or more."""
     chain = train(docs, labels, **how)
     last = f"p_{chain.models[-1][0]}"
