@@ -39,22 +39,44 @@ def _days(bars: DataFrame) -> DataFrame:
     return d.withColumn("late_symbol", F.max(late).over(Window.partitionBy("symbol")))
 
 
-def histories(bars: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
-    """symbol, trade_date, close, and h: the last lookback + 1 usable days at the decision, oldest first (close, high, low, volume), own day last."""
+def histories(bars: DataFrame, lookback: int = LOOKBACK, late: DataFrame | None = None) -> DataFrame:
+    """symbol, trade_date, close, and h: the last lookback + 1 usable days at the decision, oldest first (close, high, low, volume), own day last.
+
+    By the range join, for the symbols of ``late`` (all by default)."""
     d = _days(bars)
-    w = Window.partitionBy("symbol").orderBy("trade_date")
-    pick = lambda c: F.struct(*[F.col(f"{c}.{x}").alias(x) for x in ("close", "high", "low", "volume")])
-    usable = lambda c: F.col(f"{c}.close") > 0
-    plain = d.filter(~F.col("late_symbol") & usable("final") & usable("look"))
-    before = F.collect_list(pick("final")).over(w.rowsBetween(-lookback, -1))
-    clean = plain.select("symbol", "trade_date", F.col("look.close").alias("close"), F.concat(before, F.array(pick("look"))).alias("h"))
-    late = d.filter("late_symbol").select("symbol", "decision_time", "trade_date")
-    seen = asof_bars(late.select("symbol", "decision_time"), bars.join(late.select("symbol").distinct(), "symbol", "left_semi").filter("close > 0"))
+    own = (d if late is None else d.join(late, "symbol", "left_semi")).select("symbol", "decision_time", "trade_date")
+    seen = asof_bars(own.select("symbol", "decision_time"), bars.join(own.select("symbol").distinct(), "symbol", "left_semi").filter("close > 0"))
     each = seen.groupBy("symbol", "decision_time").agg(F.array_sort(F.collect_list(F.struct("trade_date", "close", "high", "low", "volume"))).alias("h"))
-    each = each.join(late, ["symbol", "decision_time"]).withColumn("own", F.element_at("h", -1)).filter(F.col("own.trade_date") == F.col("trade_date"))
+    each = each.join(own, ["symbol", "decision_time"]).withColumn("own", F.element_at("h", -1)).filter(F.col("own.trade_date") == F.col("trade_date"))
     tail = F.slice("h", F.greatest(F.size("h") - lookback, F.lit(1)), F.lit(lookback + 1))
-    slow = each.select("symbol", "trade_date", F.col("own.close").alias("close"), F.transform(tail, lambda x: F.struct(x["close"].alias("close"), x["high"].alias("high"), x["low"].alias("low"), x["volume"].alias("volume"))).alias("h"))
-    return clean.unionByName(slow)
+    return each.select("symbol", "trade_date", F.col("own.close").alias("close"), F.transform(tail, lambda x: F.struct(x["close"].alias("close"), x["high"].alias("high"), x["low"].alias("low"), x["volume"].alias("volume"))).alias("h"))
+
+
+def _windowed(plain: DataFrame, n: int) -> tuple[DataFrame, dict[str, Column]]:
+    """The same factors for days whose history is settled, by window sums: ``plain`` with helper columns, and a Column for each factor."""
+    w = Window.partitionBy("symbol").orderBy("trade_date")
+    past, prior = w.rowsBetween(-n + 1, -1), w.rowsBetween(-n, -1)
+    x = plain.select(
+        "symbol", "trade_date", F.col("look.close").alias("close"), F.col("final.close").alias("final"), F.col("look.high").alias("high"), F.col("look.low").alias("low"),
+        F.col("look.volume").alias("volume"), F.col("final.volume").alias("fv"), ((F.col("final.high") - F.col("final.low")) / F.col("final.close")).alias("fr"),
+    )
+    x = x.withColumn("prev", F.lag("final").over(w)).withColumn("r", F.ln(F.col("final") / F.col("prev"))).withColumn("r0", F.ln(F.col("close") / F.col("prev")))
+    x = x.select(
+        "*", F.row_number().over(w).alias("rn"), F.lag("final", n).over(w).alias("back"), F.sum("final").over(past).alias("s"), F.max("final").over(past).alias("hi"),
+        F.min("final").over(past).alias("lo"), F.sum("r").over(past).alias("r1"), F.sum(F.col("r") * F.col("r")).over(past).alias("r2"), F.avg("fv").over(prior).alias("mv"), F.avg("fr").over(prior).alias("mr"),
+    )
+    mean = (F.col("r1") + F.col("r0")) / n
+    spread = F.col("high") - F.col("low")
+    return x, {
+        "momentum": F.col("close") / F.col("back") - 1,
+        "volatility": F.sqrt(F.greatest((F.col("r2") + F.col("r0") * F.col("r0")) / n - mean * mean, F.lit(0.0))) * F.sqrt(F.lit(252.0)),
+        "trend": F.col("close") / ((F.col("s") + F.col("close")) / n) - 1,
+        "volume_ratio": F.when(F.col("mv") > 0, F.col("volume") / F.col("mv") - 1),
+        "close_to_high": F.col("close") / F.greatest("hi", "close") - 1,
+        "close_to_low": F.col("close") / F.least("lo", "close") - 1,
+        "range_ratio": F.when(F.col("mr") > 0, spread / F.col("close") / F.col("mr") - 1),
+        "close_location": F.when(spread > 0, 2 * (F.col("close") - F.col("low")) / spread - 1),
+    }
 
 
 def _sum(xs: Column) -> Column:
@@ -119,9 +141,13 @@ def compute_factors(bars: DataFrame, names: list[str], lookback: int = LOOKBACK)
         raise ValueError(f"unknown factors: {unknown}")
     if lookback < 2:
         raise ValueError("lookback must be 2 or more")
-    h = histories(bars, lookback)
-    enough = F.size("h") > lookback
-    return h.select("symbol", "trade_date", "close", *[F.when(enough, rnd(REGISTRY[n](lookback), 6 if n == "volatility" else 9)).alias(n) for n in names])
+    digits = lambda n: 6 if n == "volatility" else 9
+    d = _days(bars)
+    plain, columns = _windowed(d.filter("not late_symbol and final.close > 0 and look.close > 0"), lookback)
+    clean = plain.select("symbol", "trade_date", "close", *[F.when(F.col("rn") > lookback, rnd(columns[n], digits(n))).alias(n) for n in names])
+    h = histories(bars, lookback, d.filter("late_symbol").select("symbol").distinct())
+    slow = h.select("symbol", "trade_date", "close", *[F.when(F.size("h") > lookback, rnd(REGISTRY[n](lookback), digits(n))).alias(n) for n in names])
+    return clean.unionByName(slow)
 
 
 def next_returns(bars: DataFrame, horizon: int = 1) -> DataFrame:
