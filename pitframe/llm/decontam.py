@@ -4,7 +4,7 @@ Words are runs of letters, digits and underscores, lower-cased. The index holds,
 the items that have it, divided by the score of the item against itself, so that 1 means a passage with all words of an item.
 Items stand in blocks, and each word keeps its largest impact in each block. Every document is cut into
 overlapping passages, long enough that an item lies whole in one; a passage's bound for a block is the sum of its words' block
-maxima, taken for all passages at once from prefix sums. Only blocks whose bound reaches ``threshold`` are opened, and every
+maxima, taken for many passages at once. Only blocks whose bound reaches ``threshold`` are opened, and every
 item at or above the threshold is retrieved. A retrieved item counts as leaked if its question and its answer are both there:
 at least ``overlap`` of the word trigrams of each occur around the passage. Question and answer are the parts before and
 after the last question mark or line break, or the first two thirds and the rest of the words.
@@ -21,6 +21,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from .common import col, ship
 ship(__name__)
 
 _WORD = re.compile(r"\w+")
-K1, B, BLOCK_ITEMS, STEP = 1.2, 0.75, 16, 150_000
+K1, B, BLOCK_ITEMS, STEP, PASSAGES = 1.2, 0.75, 4, 150_000, 512
 _SCHEMA = "id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
@@ -64,24 +65,30 @@ class Index:
         n, mean = len(counts), sum(sum(c.values()) for c in counts) / max(1, len(counts))
         self.place = {w: k for k, w in enumerate(sorted(df))}
         idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-        self.postings: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)
-        self.bound = np.zeros((len(df) + 1, -(-n // BLOCK_ITEMS) or 1))
+        self.postings: list[dict[int, list[tuple[int, float]]]] = [defaultdict(list) for _ in range(-(-n // BLOCK_ITEMS) or 1)]
+        self.bound = np.zeros((len(df) + 1, len(self.postings)), np.float32)
         for k, c in enumerate(counts):
             size = sum(c.values())
             impact = {w: idf[w] * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for w, f in c.items()}
             whole = sum(impact.values())
             for w, x in impact.items():
                 at, block = self.place[w], k // BLOCK_ITEMS
-                self.postings[block, at].append((k, x / whole))
+                self.postings[block][at].append((k, x / whole))
                 self.bound[at, block] = max(self.bound[at, block], x / whole)
         self.longest = max((sum(c.values()) for c in counts), default=1)
         self.qa = [tuple(map(trigrams, parts(t))) for _, t in self.items]
 
-    def opened(self, ids: np.ndarray, block: int, threshold: float) -> list[tuple[int, float]]:
+    def bounds(self, passages: np.ndarray) -> np.ndarray:
+        """Of each passage (a row of word places, distinct or none) for each block; most words are in no item, and are cut off."""
+        used = int((passages < len(self.place)).sum(axis=1).max(initial=0))
+        return self.bound[passages[:, :used]].sum(axis=1)
+
+    def opened(self, passage: set[int], block: int, threshold: float) -> list[tuple[int, float]]:
         """The items of a block at or above the threshold, for a passage's distinct words."""
         score: dict[int, float] = defaultdict(float)
-        for at in ids:
-            for k, x in self.postings.get((block, at), ()):
+        postings = self.postings[block]
+        for at in postings.keys() & passage:
+            for k, x in postings[at]:
                 score[k] += x
         return [(k, s) for k, s in score.items() if s >= threshold - 1e-9]
 
@@ -92,7 +99,7 @@ def _search(index: Index, threshold: float, overlap: float):
         none = len(index.place)
 
         def find(docs: list[tuple]) -> list[tuple]:
-            ids = np.fromiter((index.place.get(w, none) for _, ws in docs for w in ws), np.int32)
+            ids = np.fromiter(chain.from_iterable(map(index.place.get, ws, repeat(none)) for _, ws in docs), np.int32)
             starts, ends, owner, at = [], [], [], 0
             for d, (_, ws) in enumerate(docs):
                 own = np.arange(0, max(1, len(ws) - width // 2), width // 2)
@@ -103,22 +110,21 @@ def _search(index: Index, threshold: float, overlap: float):
             begin = np.cumsum([0] + [len(ws) for _, ws in docs])
             starts, ends, owner = np.concatenate(starts), np.concatenate(ends), np.concatenate(owner)
             best: dict[tuple[int, int], tuple[float, int]] = {}
-            i = 0
-            while i < len(starts):  # as many passages as span STEP words
-                j = max(i + 1, int(np.searchsorted(starts, starts[i] + STEP)))
-                lo, hi = starts[i], ends[i:j].max()
-                sums = np.zeros((hi - lo + 1, index.bound.shape[1]))
-                np.cumsum(index.bound[ids[lo:hi]], axis=0, out=sums[1:])
-                p, b = np.nonzero(sums[ends[i:j] - lo] - sums[starts[i:j] - lo] >= threshold - 1e-6)
-                last, own = -1, None
-                for k, block in zip(p + i, b):
+            for i in range(0, len(starts), PASSAGES):
+                places = starts[i : i + PASSAGES, None] + np.arange(width)
+                rows = np.where(places < ends[i : i + PASSAGES, None], ids[np.minimum(places, len(ids) - 1)], none)
+                rows.sort(axis=1)
+                rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = none
+                rows.sort(axis=1)
+                p, b = np.nonzero(index.bounds(rows) >= threshold - 1e-4)
+                last, own = -1, set()
+                for k, block in zip(p.tolist(), b.tolist()):
                     if k != last:
-                        own, last = np.unique(ids[starts[k] : ends[k]]).tolist(), k
+                        own, last = set(rows[k].tolist()), k
                     for item, score in index.opened(own, block, threshold):
-                        key = (owner[k], item)
+                        key = (int(owner[i + k]), item)
                         if score > best.get(key, (0.0, 0))[0]:
-                            best[key] = (score, starts[k] - begin[owner[k]])
-                i = j
+                            best[key] = (score, int(starts[i + k] - begin[owner[i + k]]))
             out = []
             for (d, item), (score, start) in best.items():
                 doc, ws = docs[d]
@@ -148,7 +154,7 @@ def _search(index: Index, threshold: float, overlap: float):
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    threshold: float = 0.5, overlap: float = 0.5, index_items: int = 4096,
+    threshold: float = 0.6, overlap: float = 0.5, index_items: int = 4096,
 ) -> DataFrame:
     """id, item_id, score, question_overlap and answer_overlap of every leaked item in every document."""
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).filter("text is not null")
