@@ -11,10 +11,10 @@ Documents with equal sets form classes first (their links are certain), so group
 Buckets of classes are then linked without making all their pairs:
 
 1. every member is verified against its bucket's hub, the smallest id, on full sets; components of what holds follow;
-2. where a bucket still holds several components, its members are verified across components in full (sizes
-   too different to reach the threshold are left out, exactly), and components follow again.
+2. among the members of buckets that still hold several components, prefix filtering (``prefix_pairs``) finds the pairs
+   of different components that can still reach the threshold, exactly; they are verified, and components follow again.
 
-So every pair that shares a bucket is verified or already connected: nothing is capped. Joins are plain equi-joins on
+So every pair that shares a bucket is verified, ruled out by its sizes or prefixes, or already connected: nothing is capped. Joins are plain equi-joins on
 bucket or id, whose hot keys AQE can split; components run by label spreading with pointer jumping over written tables.
 
 Defined results: null text, empty text and text without words have no shingles, link with nothing and stay; fewer words
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, ship, written
@@ -147,6 +147,30 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) with a < b: pairs of different components that may reach the threshold; none that does is left out.
+
+    ``sets`` has node, component and s. With elements in one order, the rarest first, two sets of n elements or fewer
+    that reach the threshold have a common element among the first n - ceil(n * percent / 100) + 1 of each. Elements
+    that one set alone holds come first and pair nothing, so copies that differ in many places meet nowhere. For each
+    element, the sets outside its largest component are joined with all, so a large component is not joined with itself.
+    """
+    parts = sets.select("node", "component", F.size("s").alias("n"), F.explode("s").alias("x"))
+    common = parts.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1")
+    seen = parts.join(common, "x")
+    by_node = Window.partitionBy("node")
+    place = F.col("n") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("df", "x"))
+    first = seen.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    first = written(first.select("x", "node", "component", "n"), "prefixes")
+    sizes = first.groupBy("x", "component").agg(F.count("*").alias("members"))
+    largest = sizes.groupBy("x").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1")
+    outside = first.join(largest.select("x", F.col("top.component").alias("top")), "x").filter("component <> top").drop("top")
+    l, r = outside.alias("l"), first.alias("r")
+    fits = F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent
+    pairs = l.join(r, (F.col("l.x") == F.col("r.x")) & (F.col("l.component") != F.col("r.component")) & fits)
+    return pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component) for each row: the links are all pairs with 100 * intersection >= percent * union."""
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
@@ -180,11 +204,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of = components(links)
     placed = shared.join(of, shared["node"] == of["id"], "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
-    placed = placed.join(mixed, "key")
-    x, y = placed.alias("x"), placed.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.n"), F.col("y.n")))
-    rest = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = rest.join(links, ["a", "b"], "left_anti")
+    open_nodes = placed.join(mixed, "key").select("node", "component").distinct()
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = prefix_pairs(sets.join(open_nodes, "node"), percent).join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(verified(rest))
     # nodes back to ids: rows of one class, and rows with one id, are one
     names = reps.select(F.xxhash64("id", "set_a", "set_b").alias("node"), "id")
