@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import col, ship
 
@@ -147,4 +148,4 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
             yield pd.DataFrame({"row": pdf["row"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
 
     rest = docs.select(F.struct(*[col(c) for c in docs.columns if c != text_col]).alias("row"), col(text_col).alias("text"))
-    return rest.mapInPandas(run, f"row {rest.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    return rest.mapInPandas(run, T.StructType([rest.schema["row"]]).add("lang_pred", "string").add("score", "double"))

@@ -11,8 +11,10 @@ Documents with equal sets form classes first (their links are certain), so group
 Buckets of classes are then linked without making all their pairs:
 
 1. every member is verified against its bucket's hub, the smallest id, on full sets; components of what holds follow;
-2. among the members of buckets that still hold several components, prefix filtering (``prefix_pairs``) finds the pairs
-   of different components that can still reach the threshold, exactly; they are verified, and components follow again.
+2. in buckets that still hold several components, members are verified against ``MORE_HUBS`` other members, one after
+   another, which joins most of the copies that differ much from the first hub;
+3. what is still apart then is paired within the bucket across components, where sizes and prefixes (``prefixes``) say,
+   exactly, that the pair can reach the threshold; these pairs are verified, and components follow.
 
 So every pair that shares a bucket is verified, ruled out by its sizes or prefixes, or already connected: nothing is capped. Joins are plain equi-joins on
 bucket or id, whose hot keys AQE can split; components run by label spreading with pointer jumping over written tables.
@@ -37,6 +39,7 @@ from .common import col, ship, written
 ship(__name__)
 
 BANDS, BAND_ROWS = 32, 5
+MORE_HUBS = 3
 _CACHE_WORDS = 400_000
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -147,28 +150,20 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
-def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with a < b: pairs of different components that may reach the threshold; none that does is left out.
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, prefix): the elements by which two sets that reach the threshold must meet.
 
-    ``sets`` has node, component and s. With elements in one order, the rarest first, two sets of n elements or fewer
+    ``sets`` has node and s. With elements in one order, the rarest first, two sets of n elements or fewer
     that reach the threshold have a common element among the first n - ceil(n * percent / 100) + 1 of each. Elements
-    that one set alone holds come first and pair nothing, so copies that differ in many places meet nowhere. For each
-    element, the sets outside its largest component are joined with all, so a large component is not joined with itself.
+    that one set alone holds come first and pair nothing, so copies that differ in many places meet nowhere.
     """
-    parts = sets.select("node", "component", F.size("s").alias("n"), F.explode("s").alias("x"))
+    parts = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("x"))
     common = parts.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1")
     seen = parts.join(common, "x")
     by_node = Window.partitionBy("node")
     place = F.col("n") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("df", "x"))
     first = seen.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    first = written(first.select("x", "node", "component", "n"), "prefixes")
-    sizes = first.groupBy("x", "component").agg(F.count("*").alias("members"))
-    largest = sizes.groupBy("x").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1")
-    outside = first.join(largest.select("x", F.col("top.component").alias("top")), "x").filter("component <> top").drop("top")
-    l, r = outside.alias("l"), first.alias("r")
-    fits = F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent
-    pairs = l.join(r, (F.col("l.x") == F.col("r.x")) & (F.col("l.component") != F.col("r.component")) & fits)
-    return pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+    return first.groupBy("node").agg(F.collect_list("x").alias("prefix"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -201,13 +196,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return both.filter(ok).select("a", "b")
 
     links = written(verified(first), "links")
-    of = components(links)
-    placed = shared.join(of, shared["node"] == of["id"], "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
-    open_nodes = placed.join(mixed, "key").select("node", "component").distinct()
+
+    def still_mixed(links: DataFrame) -> DataFrame:
+        """The members of buckets that hold several components, with their components."""
+        of = components(links)
+        placed = shared.join(of, shared["node"] == of["id"], "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
+        return written(placed.join(mixed, "key"), "mixed")
+
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = prefix_pairs(sets.join(open_nodes, "node"), percent).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(rest))
+    placed = still_mixed(links)
+    for turn in range(MORE_HUBS):
+        hub = F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", F.lit(turn)))
+        hubs = placed.groupBy("key").agg(hub.alias("hub"))
+        again = placed.join(hubs, "key").filter((F.col("component") != F.col("hub.component")) & fits(F.col("n"), F.col("hub.n")))
+        again = again.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        again = written(again, "pairs")
+        links, tried = written(links.unionByName(verified(again)), "links"), tried.unionByName(again)
+        placed = still_mixed(links)
+    ahead = prefixes(sets.join(placed.select("node").distinct(), "node"), percent)
+    placed = written(placed.join(ahead, "node"), "open")
+    x, y = placed.alias("x"), placed.alias("y")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.n"), F.col("y.n")) & F.arrays_overlap("x.prefix", "y.prefix")
+    rest = x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    links = links.unionByName(verified(rest.join(tried, ["a", "b"], "left_anti")))
     # nodes back to ids: rows of one class, and rows with one id, are one
     names = reps.select(F.xxhash64("id", "set_a", "set_b").alias("node"), "id")
     edges = links.join(names.withColumnsRenamed({"node": "a", "id": "ia"}), "a").join(names.withColumnsRenamed({"node": "b", "id": "ib"}), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))

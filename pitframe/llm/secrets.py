@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import col, ship
 
@@ -89,5 +90,5 @@ def scan(docs: DataFrame, *, text_col: str = "text", vocabulary: str = VOCABULAR
             yield pd.DataFrame({"row": pdf["row"], "spans": pd.Series(spans, dtype=object)})
 
     rest = docs.select(F.struct(*[col(c) for c in docs.columns if c != text_col]).alias("row"), col(text_col).alias("text"))
-    kind = rest.schema["row"].dataType.simpleString()
-    return rest.mapInPandas(run, f"row {kind}, spans array<struct<kind:string,start:int,end:int>>")
+    span = T.StructType().add("kind", "string").add("start", "integer").add("end", "integer")
+    return rest.mapInPandas(run, T.StructType([rest.schema["row"]]).add("spans", T.ArrayType(span)))
