@@ -95,4 +95,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_mixing, op2_pii, op3_pagetext, op4_chat, op5_langid, op6_secrets, op7_neighbours, op8_neardup, op9_decontamination, op10_toxicity)
 }
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL}
+OP7_SQL = """
+with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(embedding) > 0 and not list_contains([x is null or not isfinite(x) for x in embedding], true) and list_contains([x <> 0 for x in embedding], true)),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e) as score from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+OP8_SQL = r"""
+with recursive w as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as ws from documents),
+s as (select doc_id, case when len(ws) < 2 then ws else list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) end as s from w),
+e as (select doc_id, unnest(s) as g from s), n as (select doc_id, len(s) as n from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+both_ as (select a, b from l union all select b, a from l),
+r(doc_id, other) as (select doc_id, doc_id from n union select r.doc_id, both_.b from r join both_ on r.other = both_.a),
+m as (select doc_id, min(other) as component_id from r group by doc_id)
+select doc_id, n::bigint as n_shingles, component_id, doc_id = component_id as kept from n join m using (doc_id)
+"""
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op7_neighbours": OP7_SQL, "op8_neardup": OP8_SQL}
