@@ -117,3 +117,14 @@ def turnover_z(bars: DataFrame) -> DataFrame:
     known = F.when(F.col("amount") > 0, F.col("amount"))
     m, s, n = F.avg(known).over(before), F.stddev_pop(known).over(before), F.count(known).over(before)
     return d.select("trade_date", rnd("amount", 2).alias("amount"), rnd(F.when((n >= 19) & (s > 0), (F.col("amount") - m) / s), 4).alias("turnover_z"))
+
+
+def ma20_breaks(moved: DataFrame) -> DataFrame:
+    """Rows that close below ma20 on a volume ratio above 1.2."""
+    return moved.filter((F.col("final") < F.col("ma20")) & (F.col("lr") > 1.2))
+
+
+def sector_catalysts(rows: DataFrame, sector: str, rise: float = 5.0, names: int = 2) -> DataFrame:
+    """(trade_date, sector, risers) where at least ``names`` symbols of a sector rose by more than ``rise`` percent that day; no sector counts as "?"."""
+    risers = rows.filter(F.col("pct") > rise).withColumn(sector, F.coalesce(sector, F.lit("?")))
+    return risers.groupBy("trade_date", sector).agg(F.count_distinct("symbol").alias("risers")).filter(F.col("risers") >= names)

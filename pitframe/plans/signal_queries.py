@@ -97,6 +97,23 @@ def i17(spark, sf):
     return si.index_weather(fx.index_bars(spark, sf))
 
 
+@query("i19_ma20_rule", f"with {_MOVED} select symbol, trade_date, final, ma20, lr from mv_ where final < ma20 and lr > 1.2", "settled")
+def i19(spark, sf):
+    return si.ma20_breaks(moved(spark, sf)).select("symbol", "trade_date", "final", "ma20", "lr")
+
+
+@query("i19_sector_catalyst", f"""
+with {_MOVED}, s_ as (select mv_.symbol, mv_.trade_date, mv_.pct, max_by(industry_code, effective_from) as industry_code from mv_ join membership m on m.symbol = mv_.symbol and m.effective_from <= mv_.trade_date
+  and m.available_time <= cast(mv_.trade_date as timestamp) + interval 8 hour where pct > 5 group by all)
+select trade_date, industry_code, count(distinct symbol) as risers from s_ group by all having count(distinct symbol) >= 2""", "settled membership")
+def i19_sector(spark, sf):
+    at = F.col("trade_date").cast("timestamp_ntz") + fx.hours(8)
+    up = moved(spark, sf).filter("pct > 5").select("symbol", "trade_date", "pct")
+    placed = up.join(fx.membership(spark, sf), "symbol").filter((F.col("effective_from") <= F.col("trade_date")) & (F.col("available_time") <= at))
+    placed = placed.groupBy("symbol", "trade_date", "pct").agg(F.max_by("industry_code", "effective_from").alias("industry_code"))
+    return si.sector_catalysts(placed, "industry_code")
+
+
 def _sides(spark, sf):
     p = fx.predictions(spark, sf).filter("variant = 'baseline'")
     return p.filter(F.col("trade_date") < SPLIT), p.filter(F.col("trade_date") >= SPLIT)
