@@ -5,14 +5,14 @@ the items that have it, divided by the score of the item against itself, so that
 Items stand in blocks, and each word keeps its largest impact in each block. Every document is cut into
 overlapping passages, long enough that an item lies whole in one; a passage's bound for a block is the sum of its words' block
 maxima, taken for many passages at once. Only blocks whose bound reaches ``threshold`` are opened, and every
-item at or above the threshold is retrieved. A retrieved item counts as leaked if its question and its answer are both there:
-at least ``overlap`` of the word trigrams of each occur around the passage. Question and answer are the parts before and
+item at or above the threshold is retrieved. A retrieved item counts as leaked if its question and its answer are both there
+around any of the passages it was retrieved for: at least ``overlap`` of the word trigrams of each occur there. Question and answer are the parts before and
 after the last question mark or line break, or the first two thirds and the rest of the words.
 
 The index is bounded: ``index_items`` items at a time are broadcast; more items are taken in several passes.
 
 Defined results: null and empty texts and items match nothing; items of equal text each match; a document yields one row for
-each leaked item (its best passage); a null id gives a null id; other columns are ignored.
+each leaked item (the best-scoring passage of those that hold it); a null id gives a null id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def _search(index: Index, threshold: float, overlap: float):
                 at += len(ws)
             begin = np.cumsum([0] + [len(ws) for _, ws in docs])
             starts, ends, owner = np.concatenate(starts), np.concatenate(ends), np.concatenate(owner)
-            best: dict[tuple[int, int], tuple[float, int]] = {}
+            retrieved: dict[tuple[int, int], list[tuple[float, int]]] = defaultdict(list)
             for i in range(0, len(starts), PASSAGES):
                 places = starts[i : i + PASSAGES, None] + np.arange(width)
                 rows = np.where(places < ends[i : i + PASSAGES, None], ids[np.minimum(places, len(ids) - 1)], none)
@@ -122,17 +122,17 @@ def _search(index: Index, threshold: float, overlap: float):
                     if k != last:
                         own, last = set(rows[k].tolist()), k
                     for item, score in index.opened(own, block, threshold):
-                        key = (int(owner[i + k]), item)
-                        if score > best.get(key, (0.0, 0))[0]:
-                            best[key] = (score, int(starts[i + k] - begin[owner[i + k]]))
+                        retrieved[int(owner[i + k]), item].append((-score, int(starts[i + k] - begin[owner[i + k]])))
             out = []
-            for (d, item), (score, start) in best.items():
+            for (d, item), passages in retrieved.items():
                 doc, ws = docs[d]
-                around = trigrams(ws[max(0, start - width) : start + 2 * width])
                 question, answer = index.qa[item]
-                q, a = (len(x & around) / len(x) if x else 1.0 for x in (question, answer))
-                if q >= overlap and a >= overlap:
-                    out.append((doc, index.items[item][0], round(score, 9), q, a))
+                for score, start in sorted(passages):
+                    around = trigrams(ws[max(0, start - width) : start + 2 * width])
+                    q, a = (len(x & around) / len(x) if x else 1.0 for x in (question, answer))
+                    if q >= overlap and a >= overlap:
+                        out.append((doc, index.items[item][0], round(-score, 9), q, a))
+                        break
             return out
 
         for pdf in batches:

@@ -190,6 +190,16 @@ def test_decontamination(spark, sf, odd, none):
     assert decontam.drop_leaked(odd, bench).count() == 7 and decontam.leaks(none, bench).count() == 0 and decontam.leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_verifies_every_passage(spark):
+    item = "What is the tallest mountain on the northern island? It is the grey peak above the old harbour town"
+    shuffled = " ".join(sorted(decontam.words(item)))
+    far = " ".join(f"filler{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, f"{shuffled} {shuffled} {far} {item}"), (2, f"{shuffled} {far}"), (3, f"{item} {far} {shuffled}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {(r["id"], r["item_id"], r["question_overlap"], r["answer_overlap"]) for r in decontam.leaks(docs, bench).collect()}
+    assert got == {(1, 7, 1.0, 1.0), (3, 7, 1.0, 1.0)}
+
+
 def test_block_bounds_lose_nothing(spark, sf):
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     index = decontam.Index(sorted(bench))
