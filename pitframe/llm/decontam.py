@@ -9,7 +9,8 @@ item at or above the threshold is retrieved. A retrieved item counts as leaked i
 around any of the passages it was retrieved for: at least ``overlap`` of the word trigrams of each occur there. Question and answer are the parts before and
 after the last question mark or line break, or the first two thirds and the rest of the words.
 
-The index is bounded: ``index_items`` items at a time are broadcast; more items are taken in several passes.
+The index is bounded: ``index_items`` items at a time are broadcast; more items are taken in several passes. Document
+frequencies, mean length and the longest item are those of all items, so rows and scores do not depend on the passes.
 
 Defined results: null and empty texts and items match nothing; items of equal text each match; a document yields one row for
 each leaked item (the best-scoring passage of those that hold it); a null id gives a null id; other columns are ignored.
@@ -22,13 +23,14 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, ship
+from .common import col, ship, written
 
 ship(__name__)
 
@@ -57,15 +59,28 @@ def parts(text: str) -> tuple[list[str], list[str]]:
     return question, answer
 
 
+class Stats(NamedTuple):
+    """Of all items of a benchmark that have words: how many, their words, the longest one's, and how many items hold each word."""
+
+    n: int
+    size: int
+    longest: int
+    df: dict[str, int]
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], stats: Stats | None = None):
+        """``stats``: of the whole benchmark, with the words of ``items`` at least in ``df``; without it ``items`` are the whole."""
         self.items = [(i, t) for i, t in items if words(t)]
         counts = [Counter(words(t)) for _, t in self.items]
-        df = Counter(w for c in counts for w in c)
-        n, mean = len(counts), sum(sum(c.values()) for c in counts) / max(1, len(counts))
+        sizes = [sum(c.values()) for c in counts]
+        held = Counter(w for c in counts for w in c)
+        n, size, self.longest, df = stats or Stats(len(counts), sum(sizes), max(sizes, default=1), held)
+        df = {w: df[w] for w in held}
+        mean = size / max(1, n)
         self.place = {w: k for k, w in enumerate(sorted(df))}
         idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-        self.postings: list[dict[int, list[tuple[int, float]]]] = [defaultdict(list) for _ in range(-(-n // BLOCK_ITEMS) or 1)]
+        self.postings: list[dict[int, list[tuple[int, float]]]] = [defaultdict(list) for _ in range(-(-len(counts) // BLOCK_ITEMS) or 1)]
         self.bound = np.zeros((len(df) + 1, len(self.postings)), np.float32)
         for k, c in enumerate(counts):
             size = sum(c.values())
@@ -75,7 +90,6 @@ class Index:
                 at, block = self.place[w], k // BLOCK_ITEMS
                 self.postings[block][at].append((k, x / whole))
                 self.bound[at, block] = max(self.bound[at, block], x / whole)
-        self.longest = max((sum(c.values()) for c in counts), default=1)
         self.qa = [tuple(map(trigrams, parts(t))) for _, t in self.items]
 
     def bounds(self, passages: np.ndarray) -> np.ndarray:
@@ -87,7 +101,7 @@ class Index:
         """The items of a block at or above the threshold, for a passage's distinct words."""
         score: dict[int, float] = defaultdict(float)
         postings = self.postings[block]
-        for at in postings.keys() & passage:
+        for at in sorted(postings.keys() & passage):  # in the words' order, so that sums are the same in any index
             for k, x in postings[at]:
                 score[k] += x
         return [(k, s) for k, s in score.items() if s >= threshold - 1e-9]
@@ -152,6 +166,17 @@ def _search(index: Index, threshold: float, overlap: float):
     return run
 
 
+def _item_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each distinct word of an item, and one with a null word and the item's size."""
+    for pdf in batches:
+        rows: list[tuple[str | None, int]] = []
+        for text in pdf["t"]:
+            if ws := words(text):
+                rows.append((None, len(ws)))
+                rows += [(w, 1) for w in set(ws)]
+        yield pd.DataFrame(rows, columns=["w", "size"])
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     threshold: float = 0.6, overlap: float = 0.5, index_items: int = 4096,
@@ -161,10 +186,17 @@ def leaks(
     items = benchmark.select(col(item_col).cast("long").alias("i"), col(item_text_col).alias("t")).filter("i is not null and t is not null").distinct()
     n = items.count()
     passes = max(1, -(-n // index_items))
+    of = lambda part: part.mapInPandas(_item_words, "w string, size long")
+    if passes > 1:
+        whole = of(items).filter("w is null").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(1))).first()
+        df = written(of(items).filter("w is not null").groupBy("w").agg(F.count("*").alias("df")), "item-words")
     out = None
     for k in range(passes):
-        chunk = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k) if passes > 1 else items
-        index = Index(sorted((r["i"], r["t"]) for r in chunk.collect()))
+        chunk, stats = items, None
+        if passes > 1:
+            chunk = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k)
+            stats = Stats(*whole, {r["w"]: r["df"] for r in df.join(of(chunk).select("w").distinct(), "w").collect()})
+        index = Index(sorted((r["i"], r["t"]) for r in chunk.collect()), stats)
         found = rows.mapInPandas(_search(index, threshold, overlap), _SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out

@@ -200,6 +200,16 @@ def test_decontamination_verifies_every_passage(spark):
     assert got == {(1, 7, 1.0, 1.0), (3, 7, 1.0, 1.0)}
 
 
+def test_decontamination_does_not_depend_on_passes(spark, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    short = [(9000 + i, f"Which {w} stands by the old gate? the {w} of the town") for i, w in enumerate(("tower", "mill", "inn", "barn", "well", "mill"))]
+    bench = bench.unionByName(spark.createDataFrame(short + [(9100, ""), (9101, "?!")], "item_id long, text string"))
+    part = [(100_000 + r["item_id"], " ".join(decontam.words(r["text"])[: -(-4 * len(decontam.words(r["text"])) // 5)])) for r in bench.collect()]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(part, "doc_id long, text string"))
+    one, many = (sorted(tuple(r) for r in decontam.leaks(docs, bench, threshold=0.3, overlap=0.2, index_items=k).collect()) for k in (4096, 7))
+    assert one == many and any(score < 0.99 for _, _, score, _, _ in one)
+
+
 def test_block_bounds_lose_nothing(spark, sf):
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     index = decontam.Index(sorted(bench))
