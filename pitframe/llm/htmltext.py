@@ -7,6 +7,10 @@ subsequence, and the lines that both share are deleted as template, except insid
 article text (navigation, header, footer, aside, forms, scripts, adverts, notices, comments and so on, by tag, class
 or id) take part in the alignment only. Where a page marks an article, lines outside it go as well.
 
+A class, id or role names an element by its head ("main-navigation" is navigation, "content-sidebar-wrap" a wrap, "has-sidebar" says
+nothing), and the header of an article is part of it. An article or main element inside a dropped wrapper counts where it is all the
+page has: beside the open lines if the wrapper was dropped by a soft word or is a form, else if there is no other text.
+
 Order and pairs are global: pages are dealt to shards by split points of (host, path), and the pages at the ends of a
 shard are given to the shards beside it as context, so the result does not depend on how pages are partitioned, and a
 host with a third of all pages is spread over many shards.
@@ -41,40 +45,73 @@ _BLOCK = frozenset(
     "address article aside blockquote body br button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_DROP_TAGS = frozenset("nav footer aside form head menu button dialog label input fieldset".split())
+_DROP_TAGS = frozenset("nav footer aside head menu button dialog label input fieldset".split())
 _DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs masthead "
     "header footer sidebar aside related recommended comment comments reply replies discussion disqus cookie cookies consent gdpr notice notices alert popup modal "
     "overlay newsletter subscribe signup login share sharing social widget form search toolbar pagination pager copyright legal hidden teaser teasers trending".split()
 )
 _HARD_WORDS = frozenset("ad ads advert advertisement sponsored comment comments reply replies cookie related teaser".split())
+#: Words that say what a thing is for at the front of a name too ("related-posts"); names of what only holds it; and of what an element has or lacks.
+_FRONT_WORDS = _HARD_WORDS | frozenset("advertising sponsor promo recommended cookies consent gdpr newsletter share sharing social breadcrumb breadcrumbs copyright disqus trending teasers".split())
+_HOLDERS = frozenset("area bar block bottom box button buttons container content group holder inner item items left link links list menu outer panel placeholder right row section slot text top unit wrap wrapper".split())
+_STATES = frozenset("has no not non with without".split())
+_HIDDEN_WORDS = frozenset("hidden modal popup overlay".split())
 _MAIN_WORDS = frozenset("article content main post entry story maincontent".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CLOSES |= {t: {"p"} for t in ("div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "blockquote", "footer", "header", "nav", "aside", "form", "pre", "main")}
 _SCOPE = frozenset("article main div section nav aside footer header form table ul ol dl body td th blockquote".split())
 _ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
-OPEN, ARTICLE, DROP = 0, 1, 2
+# SOFT is dropped, but an article inside is INNER; an article inside DROP is LAST
+OPEN, ARTICLE, DROP, SOFT, INNER, LAST = range(6)
+
+
+def _named(name: str) -> tuple[str | None, bool]:
+    """The drop word that a class, id or role stands for, and whether it marks an article."""
+    parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+    if not parts or parts[0] in _STATES:
+        return None, False
+    marked = not _MAIN_WORDS.isdisjoint(parts)
+    if parts[0] in _FRONT_WORDS:
+        return parts[0], False
+    heads = parts[:]
+    while not marked and len(heads) > 1 and (heads[-1] in _HOLDERS - _DROP_WORDS or heads[-1].isdigit()):
+        heads.pop()
+    if marked and heads[-1] == "header":
+        return None, parts[0] in ("article", "entry", "post", "story")
+    return (heads[-1], False) if heads[-1] in _DROP_WORDS else (None, marked)
 
 
 def _zone(tag: str, attrs: str, zone: int) -> int:
     """The zone inside an element, from that around it."""
-    if zone == DROP or tag in _DROP_TAGS or (tag == "header" and zone != ARTICLE):
+    if tag in _DROP_TAGS:
         return DROP
-    words, marked = set(), False
+    within = {DROP: LAST, SOFT: INNER}.get(zone, zone if zone in (INNER, LAST) else ARTICLE)  # an article's zone here
+    dropped = zone in (DROP, SOFT)
+    names: list[str] = []
     if attrs:
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id", "role"):
-                words.update(re.split(r"[^a-z0-9]+", value))
+                names += value.split()
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 return DROP
-        marked = bool(words & _MAIN_WORDS)
+    said = [_named(name) for name in names]
+    words = {word for word, _ in said if word}
     if tag in ("article", "main"):
-        return DROP if words & _HARD_WORDS else ARTICLE
-    if tag not in ("body", "html") and words & _DROP_WORDS:
-        return DROP
-    return ARTICLE if marked and tag in ("div", "section", "td") else zone
+        return DROP if words & _HARD_WORDS else within
+    if tag == "header" and zone in (OPEN, SOFT):
+        return SOFT
+    if tag not in ("body", "html") and words:
+        if words & _HARD_WORDS & set(names):
+            return DROP
+        if words & (_HARD_WORDS | _HIDDEN_WORDS) or _MAIN_WORDS.isdisjoint(names):
+            return DROP if zone in (DROP, LAST) else SOFT
+        return zone
+    if tag == "form":
+        return DROP if zone in (DROP, LAST) else SOFT
+    return within if any(marked for _, marked in said) and not dropped and tag in ("div", "section", "td") else zone
 
 
 def lines(page: str | None) -> list[tuple[int, str]]:
@@ -162,10 +199,10 @@ def common(a: list[str], b: list[str]) -> set[int]:
 
 def main_text(own: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> str:
     shared = common([t for _, t in own], [t for _, t in other]) if other else set()
-    kept = [(i, z, t) for i, (z, t) in enumerate(own) if z != DROP]
-    if article := [t for _, z, t in kept if z == ARTICLE]:
+    if article := [t for z, t in own if z == ARTICLE]:
         return " ".join(article)
-    fresh = [t for i, _, t in kept if i not in shared]
+    kept = [(i, z, t) for i, (z, t) in enumerate(own) if z in (OPEN, INNER)] or [(i, INNER, t) for i, (z, t) in enumerate(own) if z == LAST]
+    fresh = [t for i, z, t in kept if z == INNER or i not in shared]
     return " ".join(fresh or [t for _, _, t in kept])
 
 

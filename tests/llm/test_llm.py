@@ -77,6 +77,20 @@ def test_html():
     assert len(htmltext.common(*x)) == 4
 
 
+def test_html_keeps_articles_in_named_wrappers():
+    text = lambda page, other=None: htmltext.main_text(htmltext.lines(page), other and htmltext.lines(other))
+    story = "<article><h1>Head</h1><p>Body text.</p></article>"
+    for wrapper in ("div class='content has-sidebar'", "div id='main' class='no-sidebar'", "div class='content-sidebar-wrap'", "div class='sidebar'", "div class='comments'", "form id='page'", "div class='widget-area'", "section class='promo box'"):
+        assert text(f"<body><{wrapper}>{story}</{wrapper.split()[0]}></body>") == "Head Body text.", wrapper
+    assert text("<div class='content has-sidebar'><p>Body text.</p></div><p>other</p>") == "Body text."
+    assert text("<article><div class='article-header'><h1>Head</h1></div><p>Body text.</p></article>") == "Head Body text."
+    assert text("<div class='article-header'><h1>Head</h1></div><div class='article-body'>Body text.</div>") == "Head Body text."
+    for name in ("ad", "ad-slot", "site-sidebar", "main-navigation", "related-posts", "share-buttons", "cookie-banner", "comments-area", "sidebar-widget-1", "post-footer", "comment-content", "sponsored"):
+        assert text(f"<article><h1>Head</h1><div class='{name}'>no</div><p>Body text.</p></article>") == "Head Body text.", name
+        assert text(f"{story}<div class='{name}'><article>no</article></div>") == "Head Body text.", name
+    assert text("<div class='sidebar'><article>Aside.</article></div><p>Body text.</p>") == "Aside. Body text."
+
+
 def test_html_does_not_depend_on_shards(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").unionByName(spark.createDataFrame([(-1, None, None), (-2, None, None)], "page_id long, url string, html string"))
     one, many = (sorted(map(str, htmltext.extract(pages, shard_rows=k).collect())) for k in (10_000, 3))
