@@ -2,8 +2,10 @@
 
 Pages of a host are ordered by URL path, and each is paired with the neighbour that shares more of its path (the one
 before it at a tie). A page is cut into text lines at block tags; the lines of the pair are aligned by longest common
-subsequence, and the lines that both share are deleted as template, except inside an element that marks the article
-(article, main, or a content container), where a passage that repeats is text. Lines in elements that are never
+subsequence, and the lines that both share are deleted as template. Inside an element that marks the article (article, main, or
+a content container) a shared line goes too unless something speaks for text: at least ``PROSE_WORDS`` words, a sentence's end,
+a heading, table cell, quotation, caption or preformatted text, a list of which not all is shared (lists side by side are one), or an article that shares
+more than half of its words (a copy). Lines in elements that are never
 article text (navigation, header, footer, aside, forms, scripts, adverts, notices, comments and so on, by tag, class
 or id) take part in the alignment only. Where a page marks an article, lines outside it go as well.
 
@@ -26,6 +28,7 @@ import html as _html
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -64,7 +67,11 @@ _SCOPE = frozenset("article main div section nav aside footer header form table
 _ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 # SOFT is dropped, but an article inside is INNER; an article inside DROP is LAST
-OPEN, ARTICLE, DROP, SOFT, INNER, LAST = range(6)
+# TEXT and ITEM (of a list) are lines of an ARTICLE
+OPEN, ARTICLE, DROP, SOFT, INNER, LAST, TEXT, ITEM = range(8)
+PROSE_WORDS = 12
+_TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 td th caption dt dd pre blockquote figcaption".split())
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\u061f\u06d4\u0964][\"'\u201d\u2019\u00bb)\]]*\Z")
 
 
 def _named(name: str) -> tuple[str | None, bool]:
@@ -111,7 +118,11 @@ def _zone(tag: str, attrs: str, zone: int) -> int:
         return zone
     if tag == "form":
         return DROP if zone in (DROP, LAST) else SOFT
-    return within if any(marked for _, marked in said) and not dropped and tag in ("div", "section", "td") else zone
+    if any(marked for _, marked in said) and not dropped and tag in ("div", "section", "td"):
+        return within
+    if zone in (ARTICLE, ITEM) and tag in _TEXT_TAGS:
+        return TEXT
+    return ITEM if zone == ARTICLE and tag == "li" else zone
 
 
 def lines(page: str | None) -> list[tuple[int, str]]:
@@ -197,10 +208,26 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
+def _template(article: list[tuple[int, int, str]], shared: set[int]) -> set[int]:
+    """Places of the shared lines of an article that nothing marks as text."""
+    size = lambda rows: sum(len(t.split()) for _, _, t in rows)
+    both = [x for x in article if x[0] in shared]
+    if 2 * size(both) > size(article):
+        return set()
+    out: set[int] = set()
+    for zone, group in groupby(article, key=lambda x: x[1]):
+        rows = list(group)
+        if zone == TEXT or (zone == ITEM and not all(i in shared for i, _, _ in rows)):
+            continue
+        out.update(i for i, _, t in rows if i in shared and len(t.split()) < PROSE_WORDS and not _SENTENCE.search(t))
+    return out
+
+
 def main_text(own: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> str:
     shared = common([t for _, t in own], [t for _, t in other]) if other else set()
-    if article := [t for z, t in own if z == ARTICLE]:
-        return " ".join(article)
+    if article := [(i, z, t) for i, (z, t) in enumerate(own) if z in (ARTICLE, TEXT, ITEM)]:
+        gone = _template(article, shared)
+        return " ".join(t for i, _, t in article if i not in gone)
     kept = [(i, z, t) for i, (z, t) in enumerate(own) if z in (OPEN, INNER)] or [(i, INNER, t) for i, (z, t) in enumerate(own) if z == LAST]
     fresh = [t for i, z, t in kept if z == INNER or i not in shared]
     return " ".join(fresh or [t for _, _, t in kept])

@@ -91,6 +91,19 @@ def test_html_keeps_articles_in_named_wrappers():
     assert text("<div class='sidebar'><article>Aside.</article></div><p>Body text.</p>") == "Aside. Body text."
 
 
+def test_html_differences_articles_too():
+    def page(i):
+        return (
+            f"<article><h1>Same head</h1><p>Own story number {i} is told here at some length, with words {i}{i} of its own.</p><p>Share this on every network</p><ul><li>Print page</li><li>Send page</li></ul>"
+            f"<p>Quoted in both.</p><ul><li>salt</li><li>spice {i}</li></ul><table><tr><td>Weight</td><td>{i}</td></tr></table></article>"
+        )
+
+    a, b = htmltext.lines(page(1)), htmltext.lines(page(2))
+    assert htmltext.main_text(a, b) == "Same head Own story number 1 is told here at some length, with words 11 of its own. Quoted in both. salt spice 1 Weight 1"
+    assert "Share this on every network" in htmltext.main_text(a, None)
+    assert htmltext.main_text(a, a) == " ".join(t for _, t in a)
+
+
 def test_html_does_not_depend_on_shards(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").unionByName(spark.createDataFrame([(-1, None, None), (-2, None, None)], "page_id long, url string, html string"))
     one, many = (sorted(map(str, htmltext.extract(pages, shard_rows=k).collect())) for k in (10_000, 3))
