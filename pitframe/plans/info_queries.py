@@ -273,6 +273,21 @@ def i2(spark, sf):
     return t.agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("hands").cast("long").alias("volume")).select("symbol", F.col("w.start").alias("start"), "open", "high", "low", "close", "volume")
 
 
+SCALES = (1, 5, 15, 30, 60)
+
+
+@query("i2_minute_bars_scales", " union all ".join(f"select {n} as minutes, symbol, time_bucket(interval {n} minute, ts) as start, arg_min(price, (ts, event_id)) as \"open\", max(price) as high, min(price) as low, arg_max(price, (ts, event_id)) as \"close\", sum(hands)::bigint as volume from ticks group by all" for n in SCALES), "ticks")
+def i2_scales(spark, sf):
+    order = F.struct("ts", "event_id")
+    out = None
+    for n in SCALES:
+        t = fx.ticks(spark, sf).groupBy("symbol", F.window("ts", f"{n} minutes").alias("w"))
+        bars = t.agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("hands").cast("long").alias("volume"))
+        bars = bars.select(F.lit(n).alias("minutes"), "symbol", F.col("w.start").alias("start"), "open", "high", "low", "close", "volume")
+        out = bars if out is None else out.unionByName(bars)
+    return out
+
+
 @query("i28_action_changes", "select * from (select record_id, symbol, action, lag(action) over w as previous, row_number() over w as cycle from recommendations window w as (partition by symbol order by decision_time, record_id)) where previous is null or previous <> action", "recommendations")
 def i28(spark, sf):
     w = Window.partitionBy("symbol").orderBy("decision_time", "record_id")

@@ -94,6 +94,15 @@ def c9(spark, sf):
     return fx.predictions(spark, sf).groupBy("variant").agg(rnd(F.avg(-(p * F.ln(p) + (1 - p) * F.ln(1 - p)))).alias("entropy"), share(p < 0.1).alias("low"), share(p > 0.9).alias("high"), share(p.between(0.45, 0.55)).alias("middle"))
 
 
+@query("c9_probability_histogram", """
+with n as (select variant, least(floor(p * 10), 9)::int as bin, count(*) as n from predictions group by all), v as (select variant, count(*) as m from predictions group by variant)
+select v.variant, b.b::int as bin, coalesce(n.n, 0) as n, rnd(coalesce(n.n, 0) / m::double, 9) as frequency from v cross join (select unnest(range(0, 10)) as b) b left join n on n.variant = v.variant and n.bin = b.b""", "predictions")
+def c9_histogram(spark, sf):
+    g = me.binned(fx.predictions(spark, sf), 10).groupBy("variant", "bin").agg(F.count("*").alias("n"))
+    every = g.groupBy("variant").agg(F.sum("n").alias("m")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    return every.join(g, ["variant", "bin"], "left").fillna(0, ["n"]).select("variant", "bin", "n", rnd(F.col("n") / F.col("m")).alias("frequency"))
+
+
 def _sides(spark, sf):
     p = fx.predictions(spark, sf).filter("variant = 'baseline'")
     return p.filter(F.col("trade_date") < SPLIT), p.filter(F.col("trade_date") >= SPLIT)
@@ -204,6 +213,29 @@ def l8(spark, sf):
     return x.groupBy("symbol").agg(rnd(F.corr("a", "b"), 6).alias("rho"))
 
 
+_PAIRS = [(a, b) for i, a in enumerate(FACTORS) for b in FACTORS[i + 1 :]]
+
+
+@query("l7_pearson_matrix", " union all ".join(f"select '{a}' as a, '{b}' as b, rnd(coalesce(corr({a}, {b}), 0), 6) as r from design" for a, b in _PAIRS), "design")
+def l7_matrix(spark, sf):
+    from ..operators.factors import design_rows
+
+    return me.correlations(design_rows(fx.bars(spark, sf)), FACTORS)
+
+
+_RANKS = ", ".join(f"row_number() over (partition by symbol order by {c}, trade_date) as {c}" for c in FACTORS)
+
+
+@query("l8_spearman_matrix", f"with r as (select symbol, {_RANKS} from design) " + " union all ".join(f"select symbol, '{a}' as a, '{b}' as b, rnd(corr({a}, {b}), 6) as rho from r group by symbol" for a, b in _PAIRS), "design")
+def l8_matrix(spark, sf):
+    from ..operators.factors import design_rows
+
+    rank = lambda c: F.row_number().over(Window.partitionBy("symbol").orderBy(c, "trade_date"))
+    x = design_rows(fx.bars(spark, sf)).select("symbol", *[rank(c).alias(c) for c in FACTORS])
+    g = x.groupBy("symbol").agg(*[rnd(F.corr(a, b), 6).alias(f"{a}|{b}") for a, b in _PAIRS])
+    return g.select("symbol", F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("rho")) for a, b in _PAIRS])))
+
+
 @query("l9_decorrelated_factors")
 def l9(spark, sf):
     from ..operators.factors import design_rows

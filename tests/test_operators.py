@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
+from pitframe import plans
 from pitframe.operators import factors, infoquality, metrics, portfolio, walkforward
 
 BARS = "symbol string, trade_date date, event_time timestamp_ntz, available_time timestamp_ntz, revision int, open double, high double, low double, close double, volume double, amount double"
@@ -83,3 +84,14 @@ def test_cap_and_top_k(spark):
     assert sorted(r["o"] for r in portfolio.cap_per_group(df, "d", "g", "o", 1).collect()) == [1, 3, 4]
     t = spark.createDataFrame([(1, 0.5, "b"), (1, 0.5, "a"), (1, 0.4, "c")], "d int, p double, s string")
     assert [r["s"] for r in portfolio.top_k(t, "d", "p", "s", 1).collect()] == ["a"]
+
+
+def test_incremental_models_have_a_full_window(spark, sf):
+    rows = {(r["variant"], r["period"]): r["n"] for r in plans.QUERIES["o9_incremental_models"](spark, sf).collect()}
+    for v in {v for v, _ in rows}:
+        assert rows[v, "full"] == rows.get((v, "discovery"), 0) + rows.get((v, "validation"), 0)
+
+
+def test_reports_give_the_whole_matrix(spark, sf):
+    pairs = lambda name: {(r["a"], r["b"]) for r in plans.QUERIES[name](spark, sf).select("a", "b").distinct().collect()}
+    assert len(pairs("l7_pearson_matrix")) == len(pairs("l8_spearman_matrix")) == 6
