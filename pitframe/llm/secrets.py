@@ -3,7 +3,8 @@ r"""Secret scanning: fixed patterns, and a token-efficiency test for random stri
 The base patterns (assign, access, hex) are those of the contract. The method adds kind ``random``: runs of 20 or
 more characters of keys whose characters per token under a byte-level BPE vocabulary are few (a vocabulary learned on
 texts spends many tokens on random strings), unless the run is a known digest (hex of a digest's length, or listed),
-an identifier (UUID, number, words or dotted and dashed words) or overlaps a base span.
+an identifier (UUID, number, words or dotted and dashed words) or overlaps a base span. Limit: a run without a digit or without
+a letter counts as an identifier and is never measured, so random keys of letters only are not found.
 
 The driver reads the vocabulary file (its path is a parameter) and broadcasts it, a fixed size. A long run is
 measured in pieces of 256 characters, so its cost is linear.
