@@ -7,17 +7,21 @@ end when all are filled, so that small sets fill every coordinate too and agreei
 similarity with concentration bounds. ``bands`` groups of coordinates are bucket keys: with 32 bands of 5, two sets of
 similarity 0.8 share no bucket with a probability of 3e-6, and less above.
 
-Documents with equal sets form classes first (their links are certain), so groups of copies cost one row each.
-Buckets of classes are then linked without making all their pairs:
-
-1. every member is verified against its bucket's hub, the smallest id, on full sets; components of what holds follow;
-2. in buckets that still hold several components, members are verified against ``MORE_HUBS`` other members, one after
-   another, which joins most of the copies that differ much from the first hub;
-3. what is still apart then is paired within the bucket across components, where sizes and prefixes (``prefixes``) say,
-   exactly, that the pair can reach the threshold; these pairs are verified, and components follow.
-
-So every pair that shares a bucket is verified, ruled out by its sizes or prefixes, or already connected: nothing is capped. Joins are plain equi-joins on
-bucket or id, whose hot keys AQE can split; components run by label spreading with pointer jumping over written tables.
+Documents with equal sets form classes first (their links are certain), so groups of copies cost one row each: a node.
+Nodes that share a bucket, directly or through others, are a family. Its links are found without making its pairs:
+
+1. the family's hub is the node with the most company in its buckets, so a central text of a group of near copies. Every
+   member keeps its difference from the hub, the elements that one of both lacks, instead of its set: two members differ in
+   as many elements as one of their two differences holds and the other does not, so that sizes and differences decide exactly
+   whether they link. What links with the hub is one component.
+2. the members left over are compared with the most central one left in each of their buckets: groups beside the hub's collapse.
+3. a member left over and any other of the family can link only if their differences share a number of elements that their
+   sizes give. So they must meet in a prefix of the differences, rarest elements first, at places that leave room for that
+   number. The equi-join on family and element with that condition makes few rows, since edits are scattered where texts
+   are shared; what it makes is verified.
+
+So every pair of a family is verified, ruled out exactly, or already connected: nothing is capped. Joins are plain equi-joins
+whose hot keys AQE can split; components run by label spreading with pointer jumping over written tables.
 
 Defined results: null text, empty text and text without words have no shingles, link with nothing and stay; fewer words
 than the shingle length make one shingle of the whole sequence; rows with the same id are one node whose links unite; a row
@@ -31,15 +35,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, ship, written
+from .common import col, discard, ship, written
 
 ship(__name__)
 
 BANDS, BAND_ROWS = 32, 5
-MORE_HUBS = 3
 _CACHE_WORDS = 400_000
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -114,21 +117,28 @@ def _signatures(width: int):
             for text in pdf["text"]:
                 s = shingle_set(text, width, cache)
                 n.append(len(s))
-                d = xxhash.xxh3_128_intdigest(s.tobytes())
-                a.append((d & (2**64 - 1)) - 2**63)
-                b.append((d >> 64) - 2**63)
+                low, high = _digest(s)
+                a.append(low)
+                b.append(high)
                 keys.append(band_keys(sketch(s, BANDS * BAND_ROWS)) if len(s) else None)
             yield pd.DataFrame({"id": pdf["id"], "n": n, "set_a": a, "set_b": b, "keys": keys})
 
     return run
 
 
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (d & (2**64 - 1)) - 2**63, (d >> 64) - 2**63
+
+
 def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _Words()
         np.seterr(over="ignore")
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "s": [shingle_set(t, width, cache).view(np.int64) for t in pdf["text"]]})
+            sets = [shingle_set(t, width, cache) for t in pdf["text"]]
+            own = np.array([_digest(s) == (a, b) for s, a, b in zip(sets, pdf["set_a"], pdf["set_b"])], bool)  # an id may stand on several texts
+            yield pd.DataFrame({"node": pdf["node"][own], "family": pdf["family"][own], "s": [s.view(np.int64) for s, o in zip(sets, own) if o]})
 
     return run
 
@@ -145,25 +155,60 @@ def components(edges: DataFrame) -> DataFrame:
         new = labels.join(around, labels["id"] == around["a"]).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = new.select(F.col("id").alias("root"), F.col("label").alias("up"))
         new = written(new.join(up, new["label"] == up["root"]).select("id", "old", F.least("label", "up").alias("label")), "labels")
+        discard(labels)
         if not new.filter("old <> label").limit(1).count():
+            discard(edges)
             return new.select("id", F.col("label").alias("component"))
-        labels = new.select("id", "label")
+        labels = new
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, prefix): the elements by which two sets that reach the threshold must meet.
+def family_links(sets: DataFrame, hubs: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between nodes that give the components of all links within each family.
 
-    ``sets`` has node and s. With elements in one order, the rarest first, two sets of n elements or fewer
-    that reach the threshold have a common element among the first n - ceil(n * percent / 100) + 1 of each. Elements
-    that one set alone holds come first and pair nothing, so copies that differ in many places meet nowhere.
+    ``sets`` has node, family and s; ``hubs`` the family and its hub; ``buckets`` the node, key and weight of nodes with company.
+    With n elements and a difference of d from the hub, let excess be (100 + percent) * d - (100 - percent) * n. Two nodes link
+    if and only if their excesses add up to (100 + percent) times twice the size of what their differences share, or less. The
+    hub has no difference and the smallest excess of its family.
     """
-    parts = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("x"))
-    common = parts.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1")
-    seen = parts.join(common, "x")
-    by_node = Window.partitionBy("node")
-    place = F.col("n") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("df", "x"))
-    first = seen.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    return first.groupBy("node").agg(F.collect_list("x").alias("prefix"))
+    more, less = 100 + percent, 100 - percent
+    of_hub = sets.join(hubs.select(F.col("hub").alias("node"), "family"), ["node", "family"]).select("family", F.col("node").alias("hub"), F.col("s").alias("hub_s"))
+    beside = sets.join(of_hub, "family")
+    diff = F.concat(F.array_except("s", "hub_s"), F.array_except("hub_s", "s")).alias("diff")
+    beside = beside.select("family", "hub", "node", F.size("s").cast("long").alias("n"), F.size("hub_s").cast("long").alias("hub_n"), diff)
+    beside = beside.select("*", (F.size("diff").cast("long") * more - F.col("n") * less).alias("excess"))
+    nodes = written(beside.select("family", "hub", "node", "diff", "excess", (F.col("excess") > F.col("hub_n") * less).alias("apart"), (-F.col("hub_n") * less).alias("least")), "differences")
+    links = nodes.filter("not apart and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    sides = nodes.select("node", "diff", "excess")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sides.toDF("a", "diff_a", "excess_a"), "a").join(sides.toDF("b", "diff_b", "excess_b"), "b")
+        return both.filter(F.col("excess_a") + F.col("excess_b") <= F.size(F.array_intersect("diff_a", "diff_b")) * (2 * more)).select("a", "b")
+
+    apart = nodes.filter("apart").select("node")
+    left = buckets.join(apart, "node")
+    middle = left.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
+    beside_middle = left.join(middle, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    found = written(verified(beside_middle), "links")
+    label = components(found).select(F.col("id").alias("node"), "component")
+    spread = nodes.filter("apart").groupBy("family").agg(F.min("excess").alias("least_apart"))
+    open_ = nodes.join(spread, "family").join(label, "node", "left")
+    # what a link with the best partner, among all for those apart and among those apart for the others, has to share at least
+    partner = F.when(F.col("apart"), F.col("least")).otherwise(F.col("least_apart"))
+    share = F.greatest(F.lit(1), F.ceil((F.col("excess") + partner) / (2 * more)))
+    home = F.when(F.col("apart"), F.coalesce("component", "node")).otherwise(F.col("hub"))
+    open_ = written(open_.select("family", "node", "diff", "excess", "apart", share.alias("share"), home.alias("home")).filter(F.size("diff") >= F.col("share")), "open")
+    parts = open_.select("family", "node", F.explode("diff").alias("x"))
+    common = parts.groupBy("family", "x").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = parts.join(common, ["family", "x"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("ranked"))
+    ranked = ranked.join(open_.drop("diff"), "node").withColumn("size", F.size("ranked")).filter("size >= share")
+    place = F.posexplode(F.expr("slice(ranked, 1, cast(size - share + 1 as int))")).alias("place", "e")
+    ahead = ranked.select("family", "node", "excess", "apart", "home", "size", place)
+    ahead = written(ahead.select("family", "node", "excess", "apart", "home", (F.col("size") - F.col("place")).alias("room"), F.col("e.x").alias("x")), "prefixes")
+    a, b = ahead.filter("apart").alias("a"), ahead.alias("b")
+    meet = (F.col("a.family") == F.col("b.family")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.home") != F.col("b.home")) & (~F.col("b.apart") | (F.col("a.node") < F.col("b.node")))
+    meet = meet & (F.col("a.excess") + F.col("b.excess") <= F.least("a.room", "b.room") * (2 * more))
+    rest = a.join(b, meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    return links.unionByName(found).unionByName(verified(rest))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -171,60 +216,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     sig = written(rows.mapInPandas(_signatures(shingle), "id long, n int, set_a long, set_b long, keys array<long>"), "signatures")
     linked = sig.filter("n > 0 and id is not null")
-    classes = linked.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
-    classes = written(classes, "classes")
-    # a class's bands come from the row that gave its id; an id on several rows may have several
-    member = linked.select("id", "n", "set_a", "set_b", "keys")
-    reps = member.join(classes.withColumnRenamed("rep", "id").select("id", "set_a", "set_b"), ["id", "set_a", "set_b"], "left_semi")
-    buckets = reps.select(F.xxhash64("id", "set_a", "set_b").alias("node"), "id", "n", F.explode("keys").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min(F.struct("id", "node", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    shared = written(buckets.join(hubs.select("key", "hub"), "key"), "buckets")  # only rows of buckets with company
-    fits = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-    first = shared.filter((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n")))
-    first = first.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    wanted = shared.select("node", "id").distinct()
-    sets = rows.join(wanted.select("id").distinct(), "id", "left_semi").mapInPandas(_sets(shingle), "id long, s array<long>")
-    sets = sets.join(wanted, "id")
-    by_node = reps.select(F.xxhash64("id", "set_a", "set_b").alias("node"), "n")
-    sets = written(sets.join(by_node, "node").filter(F.size("s") == F.col("n")).select("node", "s"), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "sa"}), "a")
-        both = with_a.join(sets.withColumnsRenamed({"node": "b", "s": "sb"}), "b")
-        inter = F.size(F.array_intersect("sa", "sb"))
-        ok = inter * 100 >= (F.size("sa") + F.size("sb") - inter) * percent
-        return both.filter(ok).select("a", "b")
-
-    links = written(verified(first), "links")
-
-    def still_mixed(links: DataFrame) -> DataFrame:
-        """The members of buckets that hold several components, with their components."""
-        of = components(links)
-        placed = shared.join(of, shared["node"] == of["id"], "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
-        return written(placed.join(mixed, "key"), "mixed")
-
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    placed = still_mixed(links)
-    for turn in range(MORE_HUBS):
-        hub = F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", F.lit(turn)))
-        hubs = placed.groupBy("key").agg(hub.alias("hub"))
-        again = placed.join(hubs, "key").filter((F.col("component") != F.col("hub.component")) & fits(F.col("n"), F.col("hub.n")))
-        again = again.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        again = written(again, "pairs")
-        links, tried = written(links.unionByName(verified(again)), "links"), tried.unionByName(again)
-        placed = still_mixed(links)
-    ahead = prefixes(sets.join(placed.select("node").distinct(), "node"), percent)
-    placed = written(placed.join(ahead, "node"), "open")
-    x, y = placed.alias("x"), placed.alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.n"), F.col("y.n")) & F.arrays_overlap("x.prefix", "y.prefix")
-    rest = x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    links = links.unionByName(verified(rest.join(tried, ["a", "b"], "left_anti")))
+    classes = linked.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("keys").alias("keys"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # node numbers hold from here on
+    keyed = classes.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("company")).filter("company > 1")
+    buckets = written(keyed.join(shared, "key"), "buckets")  # only rows of buckets with company
+    weights = buckets.groupBy("node").agg(F.sum("company").alias("weight"))
+    families = components(buckets.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
+    families = written(families.withColumnsRenamed({"id": "node", "component": "family"}).join(weights, "node"), "families")
+    hubs = families.groupBy("family").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    wanted = families.join(classes, "node").select(F.col("rep").alias("id"), "node", "family", "set_a", "set_b")
+    sets = rows.join(wanted, "id").mapInPandas(_sets(shingle), "node long, family long, s array<long>")
+    sets = written(sets.dropDuplicates(["node"]), "sets")
+    links = family_links(sets, hubs, buckets.join(weights, "node").select("node", "key", "weight"), percent)
     # nodes back to ids: rows of one class, and rows with one id, are one
-    names = reps.select(F.xxhash64("id", "set_a", "set_b").alias("node"), "id")
-    edges = links.join(names.withColumnsRenamed({"node": "a", "id": "ia"}), "a").join(names.withColumnsRenamed({"node": "b", "id": "ib"}), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
-    with_rep = linked.join(classes.filter("rows > 1"), ["set_a", "set_b"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    names = classes.select("node", "rep")
+    edges = links.join(names.toDF("a", "rep_a"), "a").join(names.toDF("b", "rep_b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    with_rep = linked.join(classes.filter("rows > 1").select("set_a", "set_b", "rep"), ["set_a", "set_b"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     of = components(edges.filter("a <> b").unionByName(with_rep))
+    discard(sets, buckets)
     out = sig.select("id", F.col("n").cast("long").alias("n_shingles")).join(of.withColumnRenamed("id", "of_id"), F.col("id") == F.col("of_id"), "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
 
