@@ -17,17 +17,26 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+with recursive d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 n as (select *, row_number() over (order by encode(source) asc nulls last) - 1 as nth from s),
 w as (select *, case nth % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight, source_size * 2.0::double as most from n),
 l as (select *, (sum(source_size) over () * 1.5::double - coalesce(sum(most) over before, 0)) / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as lev
   from w window before as (order by most / weight, nth rows between unbounded preceding and 1 preceding)),
 t as (select source, source_size, least(most, weight * (select max(lev) from l)) as target from l),
-r as (select *, case when source_size > 0 then target / source_size else 0 end as rate from t)
-select doc_id, size, source_size, target,
-  size * (floor(rate)::bigint + case when ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint / 4294967296.0::double < rate - floor(rate) then 1 else 0 end) as taken
-from d join r on d.source is not distinct from r.source
+r as (select *, case when source_size > 0 then target / source_size else 0 end as rate from t),
+j as (select doc_id, coalesce(doc_id::varchar, 'null') as key, size, d.source, source_size, target, rate,
+  ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint / 4294967296.0::double as u from d join r on d.source is not distinct from r.source),
+g as (select source, key, size, u, count(*) as n from j where size * 200 > source_size group by all),
+f as (select *, row_number() over (partition by source order by size desc, u, key) as pos from g),
+walk(source, pos, due, open_, key, size, took) as (
+  select source, 0::bigint, target - floor(rate) * source_size, source_size::double, null::varchar, null::bigint, false from r
+  union all select w.source, f.pos, case when f.u < w.due / w.open_ then w.due - f.size * f.n else w.due end, w.open_ - f.size * f.n, f.key, f.size, f.u < w.due / w.open_
+  from walk w join f on f.source is not distinct from w.source and f.pos = w.pos + 1),
+last as (select source, case when max_by(open_, pos) > 0 then max_by(due, pos) / max_by(open_, pos) else 0 end as short_rate from walk group by source)
+select j.doc_id, j.size, j.source_size, j.target,
+  j.size * (floor(j.rate)::bigint + (case when j.size * 200 > j.source_size then coalesce(w.took, false) else j.u < last.short_rate end)::bigint) as taken
+from j join last on j.source is not distinct from last.source left join walk w on w.pos > 0 and j.source is not distinct from w.source and j.key = w.key and j.size = w.size
 """
 
 
