@@ -1,16 +1,17 @@
 """Language identification with word-first backoff.
 
-Training counts words by language over labelled texts (Spark counts; a bounded sample of rows for each language, as
-many as ``sample_rows``, chosen by a hash) and character n-grams of orders ``orders`` over those words. A text is
-scored by its words: a known word adds its log frequency in each language; an unseen word backs off to its longest
-n-grams of which at least one is known, adding their mean log frequency, order by order, each order at a cost.
-Languages are compared by the sum over words.
-
-The model is bounded: ``words`` words and ``grams`` n-grams of each order for each language; it is broadcast.
-
-Defined results: a null text, or one without a letter, is ``und`` with score 0; ties go to the first language in code-point
-order; rows with a null text or language teach nothing; with nothing to learn from every row is ``und``; other columns
-are ignored.
+Training counts words by language over labelled texts (Spark counts; a sample of ``sample_rows`` distinct texts a language
+as expected number, chosen by a hash of the text, each taught once however often it repeats) and character n-grams of
+orders ``orders`` over those words. A text is scored by its words: a known word adds its log frequency in each language; an
+unseen word backs off to its longest n-grams of which at least one is known, and adds their mean log frequency, weighed
+by ``BACKOFF`` once for each order down to it, so that shorter evidence decides less. Languages are compared by the sum.
+
+The model is bounded: ``words`` words and ``grams`` n-grams of each order for each language, the most frequent ones, ties by
+code point; it is broadcast. Words beyond them are seldom and are scored by their n-grams.
+
+Words are runs of letters (``str.isalpha``; signs for numbers such as superscripts are none), lower-cased. Defined results: a null text, or one without a
+letter, is ``und`` with score 0; ties go to the first language in code-point order; rows with a null text or language teach
+nothing; with nothing to learn from every row is ``und``; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,22 +26,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, ship
+from .common import col, ship, written
 
 ship(__name__)
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 200_000
+_RUNS = re.compile(r"[^\W\d_]+")
+_CACHE_WORDS, _CACHE_CHARS = 200_000, 10_000_000
 BACKOFF = 0.4
-LONGEST_WORD = 40
+
+
+def runs_of(text: str) -> list[str]:
+    """Runs of letters, and of letters with number signs, which ``letters_of`` takes apart."""
+    return _RUNS.findall(text.lower())
+
+
+def letters_of(run: str) -> list[str]:
+    return [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
 
 
 def words_of(text: str) -> Counter:
-    return Counter(_LETTERS.findall(text.lower()))
+    total: Counter = Counter()
+    for run, n in Counter(runs_of(text)).items():
+        for w in letters_of(run):
+            total[w] += n
+    return total
 
 
 def grams_of(word: str, n: int) -> list[str]:
-    """n-grams of the word between marks; a word longer than LONGEST_WORD is taken in full all the same."""
+    """n-grams of the whole word between marks."""
     padded = f"\u0002{word}\u0003"
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
@@ -73,35 +86,59 @@ class Model:
 
     def __init__(self, langs: list[str], words: dict, grams: dict[int, dict]):
         self.langs, self.words, self.grams = langs, words, grams
-        self.cache: dict[str, np.ndarray] = {}
-
-    def word(self, w: str) -> np.ndarray:
-        known = self.words.get(w)
-        if known is not None:
-            return known
-        if (known := self.cache.get(w)) is None:
-            known = self._backoff(w)
-            if len(self.cache) >= _CACHE_WORDS:
-                self.cache.clear()
-            if len(w) <= LONGEST_WORD:
-                self.cache[w] = known
-        return known
+
+    def evidence(self, run: str) -> tuple[int, np.ndarray]:
+        """How many words a run holds, and what they add to each language."""
+        words = letters_of(run)
+        return len(words), sum((self.words[w] if w in self.words else self._backoff(w) for w in words), np.zeros(len(self.langs)))
 
     def _backoff(self, w: str) -> np.ndarray:
         for step, (k, table) in enumerate(self.grams.items(), 1):
             hits = [table[g] for g in grams_of(w, k) if g in table]
             if hits:
-                return np.mean(hits, axis=0) + step * np.log(BACKOFF)
-        return np.zeros(len(self.langs), np.float32)
+                return np.mean(hits, axis=0, dtype=np.float64) * BACKOFF**step
+        return np.zeros(len(self.langs))
+
+
+class Scorer(dict):
+    """Scores texts: runs to rows of one matrix, which also keeps unseen runs until they are many."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.start = model, True
+
+    def _reset(self) -> None:
+        self.clear()
+        self.update({w: i for i, w in enumerate(self.model.words)})
+        self.known, self.chars, self.start = len(self), 0, False
+        self.rows = np.zeros((self.known + 4096, len(self.model.langs) + 1))  # the last column counts words
+        if self.known:
+            self.rows[: self.known, :-1] = list(self.model.words.values())
+            self.rows[: self.known, -1] = 1
+
+    def __missing__(self, run: str) -> int:
+        i = self[run] = len(self)
+        if i >= len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        n, logs = self.model.evidence(run)
+        self.rows[i, :-1], self.rows[i, -1] = logs, n
+        self.chars += len(run)
+        return i
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = words_of(text or "")
-        if not counts or not self.langs:
+        runs = runs_of(text or "")
+        if not runs or not self.model.langs:
+            return "und", 0.0
+        if self.start or len(self) > self.known + _CACHE_WORDS or self.chars > _CACHE_CHARS:
+            self._reset()
+        at = np.fromiter(map(self.__getitem__, runs), np.int64, len(runs))
+        total = self.rows.take(at, axis=0).sum(axis=0) if len(at) < 100_000 else np.bincount(at, minlength=len(self)) @ self.rows[: len(self)]
+        if not total[-1]:
             return "und", 0.0
-        total = np.array(list(counts.values()), np.float64) @ np.array([self.word(w) for w in counts], np.float64)
+        total = total[:-1]
         p = np.exp(total - total.max())
         best = int(np.argmax(total))
-        return self.langs[best], float(p[best] / p.sum())
+        return self.model.langs[best], float(p[best] / p.sum())
 
 
 def _tables(rows: pd.DataFrame, key: str, langs: list[str]) -> dict[str, np.ndarray]:
@@ -123,8 +160,9 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     if not langs:
         return Model([], {}, {})
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_rows / n))]), F.col("lang"))
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(2**30)) < share * 2**30)
+    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(2**30)) < share * 2**30).dropDuplicates(["lang", "text"])
     counted = sample.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = written(counted, "words")
 
     def most(df: DataFrame, by: list[str], key: str, k: int) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), key))
@@ -133,7 +171,6 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     word_rows = most(counted, ["lang"], "word", words).toPandas()
     gram_rows = counted.mapInPandas(_count_grams(orders), "lang string, k int, gram string, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
     gram_rows = most(gram_rows, ["lang", "k"], "gram", grams).toPandas()
-    word_rows = word_rows[word_rows["n"] > 1] if (word_rows["n"] > 1).any() else word_rows
     return Model(langs, _tables(word_rows, "word", langs), {k: _tables(gram_rows[gram_rows["k"] == k], "gram", langs) for k in orders})
 
 
@@ -142,7 +179,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Model(*shared.value)
+        m = Scorer(Model(*shared.value))
         for pdf in batches:
             found = [m.predict(t) for t in pdf["text"]]
             yield pd.DataFrame({"row": pdf["row"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
