@@ -1,135 +1,265 @@
 """Nearest neighbours by inner product with vantage-point trees, one for each shard.
 
 Vectors get one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm, queries get 0 there; the nearest by
-Euclidean distance are then exactly those of largest inner product, and the triangle inequality holds. Rows are dealt
-to shards by a hash of their id; a shard's tree splits its points at the median distance from a vantage point and keeps
-the least and greatest distance of each side. A query leaves out a side whose distances lie further from its own than
-its k-th best so far; ``relax`` multiplies that gap, so larger values prune more, and 1 restores exact search. Blocks of
-queries go down a tree together.
+Euclidean distance are then exactly those of largest inner product, and the triangle inequality holds. A tree splits its
+points at the median distance from a vantage point and keeps the least and greatest distance of each side. A query
+leaves out a side whose distances lie further from its own than its k-th best so far; ``relax`` multiplies that gap, so
+larger values prune more, and 1 restores exact search.
 
-Each (shard, block of queries) is a task's group of bounded size: a shard has about ``shard_rows`` vectors, a block about
-``block_rows`` queries. Results of the shards meet as k rows for each query and shard.
+Shards are regions: the top of one tree, with at most ``TOP_LEAVES`` leaves, is fitted on a bounded sample (about
+``SAMPLE`` distinct vectors a leaf), every row is routed to its leaf, and the bounds of the leaves are taken over all rows. A
+leaf with more than ``shard_rows`` rows, such as one of many copies, is dealt to several shards. Each query first searches
+the shards of its own leaf; with the k-th best found there it then goes to the other leaves that the relaxed bounds leave
+open, and to no others. A shard's tree is built once for up to ``block_rows`` queries that visit it.
+
+Each group has at most about ``shard_rows`` vectors and ``block_rows`` queries. Results meet as k rows for each query and shard.
 
 Defined results: vectors that are null, zero, of another length than most, or holding null or non-finite components take no
-part; ids that repeat are rows of their own; a query never finds its own id; ties go to the smaller id; fewer candidates than k
-give fewer rows; an empty table gives none; other columns are ignored.
+part; ids that repeat are rows of their own, as queries too; a query never finds its own id; scores are summed in the order of
+components, and equal scores go to the smaller id; fewer candidates than k give fewer rows; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import ceil, log2
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, ship
+from .common import col, ship, written
 
 ship(__name__)
 
-LEAF = 512
+LEAF = 32
+TOP_LEAVES, SAMPLE = 4096, 64
+
+
+def distances(points: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.sqrt(((points - v) ** 2).sum(axis=1))
 
 
 class Tree:
-    def __init__(self, points: np.ndarray, seed: int = 1):
-        self.points, self.rng = points, np.random.default_rng(seed)
-        self.root = self._build(np.arange(len(points)))
-
-    def _build(self, own: np.ndarray):
-        if len(own) <= LEAF:
-            return own
-        v = own[self.rng.integers(len(own))]
-        d = np.sqrt(np.maximum(((self.points[own] - self.points[v]) ** 2).sum(axis=1), 0))
+    def __init__(self, points: np.ndarray, leaf: int = LEAF, depth: int | None = None, seed: int = 1):
+        self.points, self.leaf, self.leaves, self.rng = points, leaf, 0, np.random.default_rng(seed)
+        self.root = self._build(np.arange(len(points)), depth)
+
+    def _build(self, own: np.ndarray, depth: int | None):
+        if len(own) <= self.leaf or depth == 0:
+            self.leaves += 1
+            return own if depth is None else self.leaves - 1
+        v = self.points[own[self.rng.integers(len(own))]]
+        d = distances(self.points[own], v)
         order = np.argsort(d, kind="stable")
         half = len(own) // 2
-        sides = [order[:half], order[half:]]
-        return v, [(d[s].min(), d[s].max(), self._build(own[s])) for s in sides]
+        below = None if depth is None else depth - 1
+        return v, d[order[half]], [(d[s].min(), d[s].max(), self._build(own[s], below)) for s in (order[:half], order[half:])]
+
+
+def route(root, points: np.ndarray) -> tuple[np.ndarray, list[list[float]]]:
+    """The leaf of a top tree for each point, and its distances from the vantage points on the way."""
+    leaf, ways = np.zeros(len(points), np.int64), [[] for _ in points]
+
+    def down(node, own: np.ndarray) -> None:
+        if not isinstance(node, tuple):
+            leaf[own] = node
+            return
+        d = distances(points[own], node[0])
+        for i, x in zip(own.tolist(), d.tolist()):
+            ways[i].append(x)
+        for (_, _, side), mine in zip(node[2], (d < node[1], d >= node[1])):
+            if mine.any():
+                down(side, own[mine])
+
+    if len(points):
+        down(root, np.arange(len(points)))
+    return leaf, ways
+
+
+def rebound(node, bounds: dict[int, tuple[list[float], list[float]]], depth: int = 0):
+    """The top tree with the bounds of all rows routed; empty sides go. Returns the node, and the bounds of each depth below it."""
+    if not isinstance(node, tuple):
+        return (node, *bounds[node]) if node in bounds else None
+    sides = [x for x in (rebound(side, bounds, depth + 1) for _, _, side in node[2]) if x]
+    if not sides:
+        return None
+    low = [min(x[1][i] for x in sides) for i in range(depth + 1)]
+    high = [max(x[2][i] for x in sides) for i in range(depth + 1)]
+    return (node[0], node[1], [(x[1][depth], x[2][depth], x[0]) for x in sides]), low, high
+
+
+def open_sides(node, queries: np.ndarray, active: np.ndarray, reach, relax: float) -> Iterator[tuple[object, np.ndarray]]:
+    """The sides of a node with the queries that may not leave them out, first the side that is nearer to more of them."""
+    d = distances(queries[active], node[0])
+    gaps = np.stack([np.maximum(np.maximum(d - hi, lo - d), 0) for lo, hi, _ in node[2]])
+    nearer = np.bincount(gaps.argmin(axis=0), minlength=len(gaps))
+    for s in np.argsort(-nearer, kind="stable"):
+        go = active[gaps[s] * relax <= reach(active)]
+        if len(go):
+            yield node[2][s][2], go
+
 
+def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, biggest: float, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k best of each query (-1: none) and their scores; ``least``: scores below it are of no use.
 
-def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the tree of the k nearest of each query (-1: none), and their squared distances; equal ones by smaller id."""
-    best = np.full((len(queries), k), -1)
-    dist = np.full((len(queries), k), np.inf)
-    norms = (tree.points**2).sum(axis=1)
+    Each query first takes the leaf it falls into, then all go down the tree together, so that a leaf is opened once more at most.
+    """
+    lift = np.sqrt(np.maximum(biggest**2 - (vectors**2).sum(axis=1), 0))
+    tree = Tree(np.c_[vectors, lift])
+    lifted = np.c_[queries, np.zeros(len(queries))]
+    best, score = np.full((len(queries), k), -1), np.full((len(queries), k), -np.inf)
+    home = np.full(len(queries), -1)
     q2 = (queries**2).sum(axis=1)
+    margin = 1e-9 * (np.sqrt(q2) + biggest)
+    error = 1e-13 * queries.shape[1] * np.sqrt(q2) * biggest  # of a sum of products taken in another order
     big = np.iinfo(np.int64).max
 
+    def reach(active: np.ndarray) -> np.ndarray:
+        kth = np.maximum(score[active, -1], least[active])
+        return np.where(np.isinf(kth), np.inf, np.sqrt(np.maximum(q2[active] + biggest**2 - 2 * np.where(np.isinf(kth), 0, kth), 0)) + margin[active])
+
     def leaf(own: np.ndarray, active: np.ndarray) -> None:
-        d = np.maximum(q2[active, None] + norms[own] - 2 * queries[active] @ tree.points[own].T, 0)
-        d[ids[own][None, :] == query_ids[active, None]] = np.inf
-        d = np.round(d, 12)
-        some = (d <= dist[active, -1:]).any(axis=1)
-        active, d = active[some], d[some]
-        if not len(active):
+        y, x = queries[active], vectors[own]
+        a, b = np.nonzero((y @ x.T >= (np.maximum(score[active, -1], least[active]) - error[active])[:, None]) & (ids[own][None, :] != query_ids[active, None]))
+        if not len(a):
             return
-        all_d = np.concatenate([dist[active], d], axis=1)
-        all_i = np.concatenate([best[active], np.broadcast_to(own, d.shape)], axis=1)
-        if all_d.shape[1] > 2 * k:  # the k nearest, unless ties at the k-th reach further
-            part = np.argpartition(all_d, k - 1, axis=1)[:, :k]
-            tied = (all_d <= np.take_along_axis(all_d, part, 1).max(axis=1)[:, None]).sum(axis=1) > k
-            put(active[tied], all_d[tied], all_i[tied])
-            active, all_d, all_i = active[~tied], np.take_along_axis(all_d[~tied], part[~tied], 1), np.take_along_axis(all_i[~tied], part[~tied], 1)
-        put(active, all_d, all_i)
-
-    def put(active: np.ndarray, all_d: np.ndarray, all_i: np.ndarray) -> None:
-        key = np.where(np.isinf(all_d), big, np.where(all_i >= 0, ids[all_i], big))
-        order = np.lexsort((key, all_d), axis=1)[:, :k]
-        dist[active], best[active] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-        best[active] = np.where(np.isinf(dist[active]), -1, best[active])
+        exact = np.zeros(len(a))
+        for j in range(x.shape[1]):  # in order of components, so that equal sums are equal
+            exact += y[a, j] * x[b, j]
+        rows, a = np.unique(a, return_inverse=True)
+        s = np.full((len(rows), len(own)), -np.inf)
+        s[a, b] = exact
+        active = active[rows]
+        all_s = np.concatenate([score[active], s], axis=1)
+        all_i = np.concatenate([best[active], np.broadcast_to(own, s.shape)], axis=1)
+        key = np.where(np.isinf(all_s), big, np.where(all_i >= 0, ids[all_i], big))
+        order = np.lexsort((key, -all_s), axis=1)[:, :k]
+        score[active], best[active] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
+        best[active] = np.where(np.isinf(score[active]), -1, best[active])
 
-    def visit(node, active: np.ndarray) -> None:
+    def settle(node, active: np.ndarray) -> None:
         if isinstance(node, np.ndarray):
+            home[active] = node[0]
             return leaf(node, active)
-        v, sides = node
-        d = np.sqrt(np.maximum(((queries[active] - tree.points[v]) ** 2).sum(axis=1), 0))
-        gaps = np.stack([np.maximum(np.maximum(d - hi, lo - d), 0) for lo, hi, _ in sides])
-        middle = np.stack([np.abs(d - (lo + hi) / 2) for lo, hi, _ in sides])
-        first = np.lexsort((middle, gaps), axis=0)[0]
-        for turn in (0, 1):
-            for s in (0, 1):
-                mine = first == (s if turn == 0 else 1 - s)
-                near = gaps[s] * relax <= np.sqrt(dist[active, k - 1]) + 1e-9
-                go = active[mine & near]
-                if len(go):
-                    visit(sides[s][2], go)
+        d = distances(lifted[active], node[0])
+        for (_, _, side), mine in zip(node[2], (d < node[1], d >= node[1])):
+            if mine.any():
+                settle(side, active[mine])
+
+    def visit(node, active: np.ndarray) -> None:
+        if isinstance(node, np.ndarray):
+            active = active[home[active] != node[0]]
+            return leaf(node, active) if len(active) else None
+        for side, go in open_sides(node, lifted, active, reach, relax):
+            visit(side, go)
 
+    settle(tree.root, np.arange(len(queries)))
     visit(tree.root, np.arange(len(queries)))
-    return best, dist
+    return best, score
 
 
 def nearest(
     vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 20, k: int = 20,
-    relax: float = 4.0, shard_rows: int = 16384, block_rows: int = 1024,
+    relax: float = 2.0, shard_rows: int = 16384, block_rows: int = 16384,
 ) -> DataFrame:
     """query_id, rank, id and score: for each row whose id is divisible by ``query_every``, its k nearest other rows."""
+    spark = vectors.sparkSession
     v = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.filter(~F.coalesce(bad, F.lit(False)) & F.exists("v", lambda x: x != 0))
-    sizes = v.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.sum((F.col("id") % query_every == 0).cast("long")).alias("q")).collect()
+    sizes = v.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).collect()
     schema = "query_id long, rank int, id long, score double"
     if not sizes:
-        return vectors.sparkSession.createDataFrame([], schema)
-    width, n, m, q = max(sizes, key=lambda r: (r["n"], r["d"]))
+        return spark.createDataFrame([], schema)
+    width, n, m = max(sizes, key=lambda r: (r["n"], r["d"]))
     v = v.filter(F.size("v") == width)
-    shards, blocks, biggest = -(-n // shard_rows), max(1, -(-q // block_rows)), float(np.sqrt(m))
-    to = lambda count, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    points = v.select("id", "v", to(shards, 1).alias("shard"), every(blocks).alias("block"))
-    queries = v.filter(F.col("id") % query_every == 0).select("id", "v", every(shards).alias("shard"), to(blocks, 2).alias("block"))
+    biggest = float(np.sqrt(m))
+    levels = min(int(log2(TOP_LEAVES)), max(0, ceil(log2(n / shard_rows))))
+
+    def lift(x: np.ndarray) -> np.ndarray:
+        return np.c_[x, np.sqrt(np.maximum(biggest**2 - (x**2).sum(axis=1), 0))]
+
+    top = 0
+    if levels:
+        share = min(1.0, SAMPLE * 2**levels / n)
+        some = v.filter(F.pmod(F.xxhash64("v"), F.lit(2**30)) < share * 2**30).select("v").distinct().sort("v").collect()
+        if some:
+            top = Tree(lift(np.array([r["v"] for r in some])), leaf=1, depth=levels).root
+
+    def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                leaf, ways = route(top, lift(np.stack(pdf["v"].to_numpy())))
+                yield pdf.assign(leaf=leaf, way=ways)
+
+    rows = v.mapInPandas(routed, "id long, v array<double>, leaf long, way array<double>").withColumn("row", F.monotonically_increasing_id())
+    rows = written(rows, "routed")  # row numbers hold from here on
+    least = [F.min(F.get("way", F.lit(i))).alias(f"low{i}") for i in range(levels)]
+    most = [F.max(F.get("way", F.lit(i))).alias(f"high{i}") for i in range(levels)]
+    leaves = rows.groupBy("leaf").agg(F.count("*").alias("n"), *least, *most).collect()  # one row a leaf
+    whole = rebound(top, {r["leaf"]: ([r[f"low{i}"] for i in range(levels)], [r[f"high{i}"] for i in range(levels)]) for r in leaves})[0]
+    shards = {r["leaf"]: -(-r["n"] // shard_rows) for r in leaves}
 
     def pair(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if points.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        points = points.sort_values("id", kind="stable")
+            return pd.DataFrame({"query": [], "query_id": [], "id": [], "score": []})
+        points = points.sort_values(["id", "row"], kind="stable")
         x, y = np.stack(points["v"].to_numpy()), np.stack(queries["v"].to_numpy())
-        ids, query_ids = points["id"].to_numpy(), queries["id"].to_numpy()
-        lift = np.sqrt(np.maximum(biggest**2 - (x**2).sum(axis=1), 0))
-        best, _ = search(Tree(np.c_[x, lift]), ids, np.c_[y, np.zeros(len(y))], query_ids, k, relax)
+        ids = points["id"].to_numpy()
+        best, score = search(x, ids, y, queries["id"].to_numpy(), queries["least"].to_numpy(float), biggest, k, relax)
         at, place = np.nonzero(best >= 0)
-        found = best[at, place]
-        score = np.cumsum((y[at] * x[found]).T, axis=0)[-1] if len(at) else np.empty(0)  # summed in order of components
-        return pd.DataFrame({"query_id": query_ids[at], "id": ids[found], "score": score})
+        return pd.DataFrame({"query": queries["row"].to_numpy()[at], "query_id": queries["id"].to_numpy()[at], "id": ids[best[at, place]], "score": score[at, place]})
+
+    def searched(queries: DataFrame) -> DataFrame:
+        """What the shards of ``leaf`` have for each query; no leaf's table here has more than TOP_LEAVES rows."""
+        visits = queries.groupBy("leaf").count().collect()
+        plan = spark.createDataFrame([(r["leaf"], shards[r["leaf"]], -(-r["count"] // block_rows)) for r in visits], "leaf long, shards int, blocks int")
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+        to = lambda count: F.pmod(F.xxhash64("row"), F.col(count)).cast("int")
+        points = rows.join(F.broadcast(plan), "leaf").select("leaf", to("shards").alias("shard"), every("blocks").alias("block"), "id", "v", "row")
+        asked = queries.join(F.broadcast(plan), "leaf").select("leaf", every("shards").alias("shard"), to("blocks").alias("block"), "id", "v", "row", "least")
+        asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # new columns: both sides come from one table
+        keys = ["leaf", "shard", "block"]
+        return points.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(pair, "query long, query_id long, id long, score double")
+
+    def best_of(found: DataFrame) -> DataFrame:
+        best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id"))), 1, k)
+        return found.groupBy("query", "query_id").agg(best.alias("best"))
+
+    queries = rows.filter(F.col("id") % query_every == 0).select("id", "v", "leaf", "row")
+    found = searched(queries.withColumn("least", F.lit(float("-inf"))))
+    if len(leaves) > 1:
+        found = written(best_of(found), "home")
+        kth = found.select(F.col("query").alias("row"), F.when(F.size("best") == k, -F.element_at("best", -1)["minus"]).alias("kth"))
+        asked = queries.join(kth, "row", "left").withColumn("least", F.coalesce("kth", F.lit(float("-inf")))).drop("kth")
+
+        def elsewhere(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                y, home, least = np.stack(pdf["v"].to_numpy()), pdf["leaf"].to_numpy(), pdf["least"].to_numpy(float)
+                q2, lifted = (y**2).sum(axis=1), np.c_[y, np.zeros(len(y))]
+                far = np.sqrt(np.maximum(q2 + biggest**2 - 2 * np.where(np.isinf(least), 0, least), 0)) + 1e-9 * (np.sqrt(q2) + biggest)
+                far = np.where(np.isinf(least), np.inf, far)
+                at, to = [], []
+
+                def visit(node, active: np.ndarray) -> None:
+                    if isinstance(node, tuple):
+                        for side, go in open_sides(node, lifted, active, lambda x: far[x], relax):
+                            visit(side, go)
+                    else:
+                        active = active[home[active] != node]
+                        at.append(active)
+                        to.append(np.full(len(active), node))
+
+                visit(whole, np.arange(len(y)))
+                yield pdf.iloc[np.concatenate(at)].assign(leaf=np.concatenate(to))
 
-    found = points.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(pair, "query_id long, id long, score double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id"))), 1, k)
-    ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "b"))
+        more = written(asked.select("id", "v", "leaf", "row", "least").mapInPandas(elsewhere, "id long, v array<double>, leaf long, row long, least double"), "visits")
+        other = searched(more)
+        again = found.select("query", "query_id", F.explode("best").alias("b")).select("query", "query_id", F.col("b.id").alias("id"), (-F.col("b.minus")).alias("score"))
+        found = again.unionByName(other)
+    ranked = best_of(found).select("query_id", F.posexplode("best").alias("at", "b"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.id").alias("id"), (-F.col("b.minus")).alias("score"))
