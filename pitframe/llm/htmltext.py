@@ -2,20 +2,22 @@
 
 Pages of a host are ordered by URL path, and each is paired with the neighbour that shares more of its path (the one
 before it at a tie). A page is cut into text lines at block tags; the lines of the pair are aligned by longest common
-subsequence, and the lines that both share are deleted as template. Inside an element that marks the article (article, main, or
+subsequence, and the lines that both share are deleted as template, whatever tags they stand in; ``n_shared`` counts them. What
+is left, lines of the page's own and lines protected as text, is then sorted by tags. Inside an element that marks the article (article, main, or
 a content container) a shared line goes too unless something speaks for text: at least ``PROSE_WORDS`` words, a sentence's end,
 a heading, table cell, quotation, caption or preformatted text, a list of which not all is shared (lists side by side are one), or an article that shares
 more than half of its words (a copy). Lines in elements that are never
 article text (navigation, header, footer, aside, forms, scripts, adverts, notices, comments and so on, by tag, class
-or id) take part in the alignment only. Where a page marks an article, lines outside it go as well.
+or id) and differ from page to page, so that no alignment finds them, go by those names. Where a page marks an article, lines outside it go as well.
 
 A class, id or role names an element by its head ("main-navigation" is navigation, "content-sidebar-wrap" a wrap, "has-sidebar" says
 nothing), and the header of an article is part of it. An article or main element inside a dropped wrapper counts where it is all the
 page has: beside the open lines if the wrapper was dropped by a soft word or is a form, else if there is no other text.
 
-Order and pairs are global: pages are dealt to shards by split points of (host, path), and the pages at the ends of a
-shard are given to the shards beside it as context, so the result does not depend on how pages are partitioned, and a
-host with a third of all pages is spread over many shards.
+Order and pairs are global: pages are dealt to shards of about ``shard_bytes`` by split points of (host, path), one partition a
+shard, and the pages at the ends of a shard are given to the shards beside it as context, so the result does not depend on
+how pages are partitioned, and a host with a third of all pages is spread over many shards. There are at most ``MOST_SHARDS``, which
+then grow; a shard is streamed, and only two pages are held at a time.
 
 Defined results: null or empty html gives an empty text; a null url is the host '' with path ''; a page without a
 neighbour keeps its open lines, and so does a page all of whose open lines are shared; repeated pages each give a row;
@@ -26,15 +28,16 @@ from __future__ import annotations
 
 import html as _html
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, ship
+from .common import col, ship, written
 
 ship(__name__)
 
@@ -70,6 +73,8 @@ _ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"
 # TEXT and ITEM (of a list) are lines of an ARTICLE
 OPEN, ARTICLE, DROP, SOFT, INNER, LAST, TEXT, ITEM = range(8)
 PROSE_WORDS = 12
+ALIGN_BITS = 1 << 28
+MOST_SHARDS, SAMPLE = 100_000, 20
 _TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 td th caption dt dd pre blockquote figcaption".split())
 _SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\u061f\u06d4\u0964][\"'\u201d\u2019\u00bb)\]]*\Z")
 
@@ -178,34 +183,65 @@ def lines(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
+def _rows(masks: list[int], width: int) -> Iterator[int]:
+    """For each line of one text, the bits of the other's lines at which the longest common subsequence does not grow."""
+    every = row = (1 << width) - 1
+    for mask in masks:
+        hit = row & mask
+        row = ((row + hit) | (row - hit)) & every
+        yield row
+
+
+def _align(a: list[int], b: list[int], base: int, out: set[int]) -> None:
+    """Adds to ``out`` the places in ``a`` (counted from ``base``) of a longest common subsequence of ``a`` and ``b``."""
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    masks = [where.get(x, 0) for x in a]
+    if len(a) == 1 or len(a) * len(b) <= ALIGN_BITS:
+        rows = list(_rows(masks, len(b)))
+        i, j = len(a), len(b)
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
+                if not i or rows[i - 1] >> (j - 1) & 1:
+                    out.add(base + i)
+                    j -= 1
+        return
+    # too large to keep all rows: find where the first half of a meets its part of b, and align the halves
+    half, last = len(a) // 2, 0
+
+    def lengths(masks: list[int]) -> np.ndarray:
+        for last in _rows(masks, len(b)):
+            pass
+        bits = np.unpackbits(np.frombuffer(last.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little")[: len(b)]
+        return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+    back = {x: int(format(m, f"0{len(b)}b")[::-1], 2) for x, m in where.items()}
+    met = int((lengths(masks[:half]) + lengths([back.get(x, 0) for x in reversed(a[half:])])[::-1]).argmax())
+    if met:
+        _align(a[:half], b[:met], base, out)
+    if met < len(b):
+        _align(a[half:], b[met:], base + half, out)
+
+
 def common(a: list[str], b: list[str]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence of ``a`` and ``b``."""
+    """Places in ``a`` of a longest common subsequence of ``a`` and ``b``, in memory bounded by ALIGN_BITS and the texts."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
     hi = 0
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
-    where: dict[str, list[int]] = {}
-    for j in range(len(b) - hi - 1, lo - 1, -1):
-        where.setdefault(b[j], []).append(j)
-    tails: list[int] = []
-    nodes: list[tuple[int, tuple | None]] = []
-    for i in range(lo, len(a) - hi):
-        for j in where.get(a[i], ()):
-            k = bisect_left(tails, j)
-            node = (i, nodes[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                nodes.append(node)
-            else:
-                tails[k], nodes[k] = j, node
     found = set(range(lo)) | set(range(len(a) - hi, len(a)))
-    node = nodes[-1] if nodes else None
-    while node:
-        found.add(node[0])
-        node = node[1]
-    return found
+    shared = {x: i for i, x in enumerate(set(a[lo : len(a) - hi]) & set(b[lo : len(b) - hi]))}
+    own = [i for i in range(lo, len(a) - hi) if a[i] in shared]  # other lines are in no alignment
+    places: set[int] = set()
+    if own:
+        _align([shared[a[i]] for i in own], [shared[x] for x in b[lo : len(b) - hi] if x in shared], 0, places)
+    return found | {own[i] for i in places}
 
 
 def _template(article: list[tuple[int, int, str]], shared: set[int]) -> set[int]:
@@ -223,14 +259,26 @@ def _template(article: list[tuple[int, int, str]], shared: set[int]) -> set[int]
     return out
 
 
-def main_text(own: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> str:
+def differenced(own: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> tuple[list[tuple[int, str]], int]:
+    """What is left of a page's lines without those its pair shares, and how many went."""
     shared = common([t for _, t in own], [t for _, t in other]) if other else set()
     if article := [(i, z, t) for i, (z, t) in enumerate(own) if z in (ARTICLE, TEXT, ITEM)]:
-        gone = _template(article, shared)
-        return " ".join(t for i, _, t in article if i not in gone)
-    kept = [(i, z, t) for i, (z, t) in enumerate(own) if z in (OPEN, INNER)] or [(i, INNER, t) for i, (z, t) in enumerate(own) if z == LAST]
-    fresh = [t for i, z, t in kept if z == INNER or i not in shared]
-    return " ".join(fresh or [t for _, _, t in kept])
+        shared -= {i for i, _, _ in article} - _template(article, shared)
+    elif not any(z == INNER or (z == OPEN and i not in shared) for i, (z, _) in enumerate(own)):
+        shared = {i for i in shared if own[i][0] != OPEN}  # a copy of the other page
+    shared = {i for i in shared if own[i][0] not in (INNER, LAST)}
+    return [x for i, x in enumerate(own) if i not in shared], len(shared)
+
+
+def main_text(own: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> str:
+    return chosen(differenced(own, other)[0], any(z in (ARTICLE, TEXT, ITEM) for z, _ in own))
+
+
+def chosen(left: list[tuple[int, str]], article: bool) -> str:
+    """The text among the lines that differencing has left."""
+    if article:
+        return " ".join(t for z, t in left if z in (ARTICLE, TEXT, ITEM))
+    return " ".join([t for z, t in left if z in (OPEN, INNER)] or [t for z, t in left if z == LAST])
 
 
 def _prefix(a: str, b: str) -> int:
@@ -249,7 +297,8 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def done(before, now, after):
         near = [x for x in (before, after) if x and (x["shard"], x["host"]) == (now["shard"], now["host"])]
         best = max(near, key=lambda x: _prefix(x["path"], now["path"]), default=None)
-        return now["page_id"], now["url"], main_text(now["lines"], best and best["lines"])
+        left, gone = differenced(now["lines"], best and best["lines"])
+        return now["page_id"], now["url"], chosen(left, any(z in (ARTICLE, TEXT, ITEM) for z, _ in now["lines"])), gone
 
     for pdf in batches:
         out = []
@@ -258,14 +307,13 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if now and not now["ctx"]:
                 out.append(done(before, now, row))
             before, now = now, row
-        yield pd.DataFrame(out, columns=["page_id", "url", "text"])
+        yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_shared"])
     if now and not now["ctx"]:
-        yield pd.DataFrame([done(before, now, None)], columns=["page_id", "url", "text"])
+        yield pd.DataFrame([done(before, now, None)], columns=["page_id", "url", "text", "n_shared"])
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_rows: int = 500) -> DataFrame:
-    """page_id, url and text of every page."""
-    spark = pages.sparkSession
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = 32 << 20) -> DataFrame:
+    """page_id, url, text and n_shared, the number of lines deleted because the paired page shares them, of every page."""
     url = F.coalesce(col(url_col), F.lit(""))
     p = pages.select(
         col(id_col).cast("long").alias("page_id"), col(url_col).alias("url"), F.coalesce(col(html_col), F.lit("")).alias("html"),
@@ -274,17 +322,24 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     )
     number = F.lpad(F.hex(F.coalesce("page_id", F.lit(0)).bitwiseXOR(F.lit(-(2**63)))), 16, "0")
     p = p.withColumn("key", F.concat_ws("\u0001", "host", "path", number))
-    n = p.count()
-    shards = max(1, min(-(-n // shard_rows), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    some = sorted(r[0] for r in p.select("key").sample(min(1.0, 40 * shards / max(n, 1)), seed=7).collect())
-    splits = sorted({some[i * len(some) // shards] for i in range(1, shards)}) if some else []
+    keys = written(p.select("key", F.octet_length("html").cast("long").alias("bytes")), "keys")  # pages are read once more only
+    n, size = keys.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    shards = max(1, min(-(-size // shard_bytes), MOST_SHARDS))
+    some = sorted(keys.sample(min(1.0, SAMPLE * shards / max(n, 1)), seed=7).collect()) if shards > 1 else []
+    share = sum(r["bytes"] for r in some) / shards
+    splits, seen = [], 0
+    for r in some:
+        seen += r["bytes"]
+        if seen >= share * (len(splits) + 1) and len(splits) < shards - 1:
+            splits.append(r["key"])
+    splits = sorted(set(splits))
 
     @F.pandas_udf("int")
     def shard_of(key: pd.Series) -> pd.Series:
         return key.map(lambda k: bisect_right(splits, k)).astype("int32")
 
-    p = p.withColumn("shard", shard_of("key"))
-    ends = sorted((r["shard"], r["least"], r["most"]) for r in p.select("shard", "key").groupBy("shard").agg(F.min("key").alias("least"), F.max("key").alias("most")).collect())
+    ends = keys.withColumn("shard", shard_of("key")).groupBy("shard").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+    ends = sorted((r["shard"], r["least"], r["most"]) for r in ends.collect())  # one row a shard
     beside: dict[str, list[int]] = {}
     for (a, _, most), (b, least, _) in zip(ends, ends[1:]):
         beside.setdefault(most, []).append(b)
@@ -295,7 +350,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         return key.map(lambda k: beside.get(k, []))
 
     # the page itself, and context for the shards beside its own if it is at an end
-    places = F.concat(F.array(F.struct(F.col("shard").alias("to"), F.lit(False).alias("ctx"))), F.transform(also("key"), lambda s: F.struct(s.alias("to"), F.lit(True).alias("ctx"))))
+    places = F.concat(F.array(F.struct(shard_of("key").alias("to"), F.lit(False).alias("ctx"))), F.transform(also("key"), lambda s: F.struct(s.alias("to"), F.lit(True).alias("ctx"))))
     p = p.withColumn("place", F.explode(places)).select("page_id", "url", "html", "host", "path", "key", F.col("place.to").alias("shard"), F.col("place.ctx").alias("ctx"))
-    dealt = p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "key", "html")
-    return dealt.drop("key").mapInPandas(_extract, "page_id long, url string, text string")
+    dealt = p.repartitionById(len(splits) + 1, "shard").sortWithinPartitions("key", "html")
+    return dealt.drop("key").mapInPandas(_extract, "page_id long, url string, text string, n_shared long")

@@ -61,7 +61,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pagetext(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = htmltext.extract(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

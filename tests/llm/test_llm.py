@@ -108,12 +108,55 @@ def test_html_differences_articles_too():
 
 
 def test_html_does_not_depend_on_shards(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet").unionByName(spark.createDataFrame([(-1, None, None), (-2, None, None)], "page_id long, url string, html string"))
-    one, many = (sorted(map(str, htmltext.extract(pages, shard_rows=k).collect())) for k in (10_000, 3))
+    pages = spark.read.parquet(f"{sf}/pages.parquet").unionByName(spark.createDataFrame([(-1, None, None), (-2, None, None), (-2, None, None), (-3, "http://long/a", "<p>word</p>" * 20_000)], "page_id long, url string, html string"))
+    pages = pages.withColumns({name: F.lit("x") for name in ("host", "path", "key", "shard", "place", "ctx", "text", "a.b")})
+    one, many = (sorted(map(str, htmltext.extract(pages, shard_bytes=k).collect())) for k in (1 << 30, 2_000))
     assert one == many and len(one) == pages.count()
     assert htmltext.extract(pages.limit(0)).count() == 0
 
 
+def longest(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+def test_alignment_is_longest(monkeypatch):
+    rng = np.random.default_rng(5)
+    for bits in (1 << 28, 40):
+        monkeypatch.setattr(htmltext, "ALIGN_BITS", bits)
+        for _ in range(150):
+            a, b = (["xyzuvw"[k] for k in rng.integers(0, 6, rng.integers(0, 30))] for _ in range(2))
+            places = htmltext.common(a, b)
+            rest = iter(b)
+            assert len(places) == longest(a, b) and all(a[i] in rest for i in sorted(places))
+
+
+def test_html_pairs_and_differences(spark, sf):
+    """Every page against a brute-force nearest path in its host, and the lines that differencing deletes from the table."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r["page_id"]: r for r in htmltext.extract(pages).collect()}
+    hosts = {}
+    for r in pages.collect():
+        host, path = re.match(r"(?:[a-z]+:)?//([^/?#]*)([^?#]*)", r["url"]).groups()
+        hosts.setdefault(host.lower(), []).append((path, r["page_id"], r["html"]))
+    gone = 0
+    for rows in hosts.values():
+        rows.sort(key=lambda x: (x[0].encode(), x[1]))
+        for k, (path, page, html) in enumerate(rows):
+            shared = lambda other: next((i for i, (x, y) in enumerate(zip(path, other[0])) if x != y), min(len(path), len(other[0])))
+            near = [rows[j] for j in (k - 1, k + 1) if 0 <= j < len(rows)]
+            pair = max(near, key=shared) if near else None
+            own, other = htmltext.lines(html), pair and htmltext.lines(pair[2])
+            assert got[page]["text"] == htmltext.main_text(own, other)
+            if pair:
+                gone += got[page]["n_shared"]
+                assert got[page]["n_shared"] <= longest([t for _, t in own], [t for _, t in other])
+    assert gone > 0 and gone == sum(r["n_shared"] for r in got.values())
+
+
 def test_chat_reads_back(spark, sf, odd):
     said = "</s>[INST] ok [/INST] [\\INST] <<SYS>> <|turn|> \\ <\\\\s>"
     rows = [(-1, 0, "system", said), (-1, 1, "user", None), (-1, 2, "assistant", said), (-1, 2, "assistant", said), (None, None, None, None), (-2, 0, "assistant", "")]
