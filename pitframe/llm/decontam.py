@@ -3,14 +3,16 @@
 Words are runs of letters, digits and underscores, lower-cased. The index holds, for each word, the BM25 impacts of
 the items that have it, divided by the score of the item against itself, so that 1 means a passage with all words of an item.
 Items stand in blocks, and each word keeps its largest impact in each block. Every document is cut into
-overlapping passages, long enough that an item lies whole in one; a passage's bound for a block is the sum of its words' block
-maxima, taken for many passages at once. Only blocks whose bound reaches ``threshold`` are opened, and every
-item at or above the threshold is retrieved. A retrieved item counts as leaked if its question and its answer are both there
+overlapping passages, long enough that an item lies whole in one. Of a passage's words in order of their largest impacts, those
+that cannot reach ``threshold`` together are no reason to look at a block. So only blocks that hold one of the others are
+looked at: first with the impacts of those in the block and the largest ones of the rest, then with all words' block maxima.
+Blocks that still reach the threshold are opened, and every item at or above it is retrieved; all others are skipped.
+A retrieved item counts as leaked if its question and its answer are both there
 around any of the passages it was retrieved for: at least ``overlap`` of the word trigrams of each occur there. Question and answer are the parts before and
 after the last question mark or line break, or the first two thirds and the rest of the words.
 
-The index is bounded: ``index_items`` items at a time are broadcast; more items are taken in several passes. Document
-frequencies, mean length and the longest item are those of all items, so rows and scores do not depend on the passes.
+The index is bounded: about ``index_items`` items of ``index_words`` words at a time are broadcast; more are taken in several passes over the
+documents. Document frequencies, mean length and the longest item are those of all items, so rows and scores do not depend on the passes.
 
 Defined results: null and empty texts and items match nothing; items of equal text each match; a document yields one row for
 each leaked item (the best-scoring passage of those that hold it); a null id gives a null id; other columns are ignored.
@@ -19,14 +21,17 @@ each leaked item (the best-scoring passage of those that hold it); a null id giv
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,41 +79,80 @@ class Index:
         self.items = [(i, t) for i, t in items if words(t)]
         counts = [Counter(words(t)) for _, t in self.items]
         sizes = [sum(c.values()) for c in counts]
-        held = Counter(w for c in counts for w in c)
+        held = Counter(w for c in counts for w in c)  # of these items
         n, size, self.longest, df = stats or Stats(len(counts), sum(sizes), max(sizes, default=1), held)
         df = {w: df[w] for w in held}
         mean = size / max(1, n)
         self.place = {w: k for k, w in enumerate(sorted(df))}
         idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-        self.postings: list[dict[int, list[tuple[int, float]]]] = [defaultdict(list) for _ in range(-(-len(counts) // BLOCK_ITEMS) or 1)]
-        self.bound = np.zeros((len(df) + 1, len(self.postings)), np.float32)
+        entries = []
         for k, c in enumerate(counts):
             size = sum(c.values())
             impact = {w: idf[w] * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for w, f in c.items()}
             whole = sum(impact.values())
-            for w, x in impact.items():
-                at, block = self.place[w], k // BLOCK_ITEMS
-                self.postings[block][at].append((k, x / whole))
-                self.bound[at, block] = max(self.bound[at, block], x / whole)
-        self.qa = [tuple(map(trigrams, parts(t))) for _, t in self.items]
-
-    def bounds(self, passages: np.ndarray) -> np.ndarray:
-        """Of each passage (a row of word places, distinct or none) for each block; most words are in no item, and are cut off."""
-        used = int((passages < len(self.place)).sum(axis=1).max(initial=0))
-        return self.bound[passages[:, :used]].sum(axis=1)
-
-    def opened(self, passage: set[int], block: int, threshold: float) -> list[tuple[int, float]]:
-        """The items of a block at or above the threshold, for a passage's distinct words."""
+            entries += [(self.place[w], k, x / whole) for w, x in impact.items()]
+        entries.sort()
+        word, self.item = np.array([e[0] for e in entries], np.int64), np.array([e[1] for e in entries], np.int64)
+        self.impact = np.array([e[2] for e in entries], np.float64)
+        self.blocks = -(-len(counts) // BLOCK_ITEMS) or 1
+        self.keys, first = np.unique(word * self.blocks + self.item // BLOCK_ITEMS, return_index=True)  # a word in a block
+        self.first = np.r_[first, len(entries)]
+        self.bound = np.maximum.reduceat(self.impact, first) if len(entries) else np.zeros(0)
+        self.of_word = np.searchsorted(self.keys, np.arange(len(df) + 2) * self.blocks)  # where a word's blocks stand; none for the last
+        self.most = np.zeros(len(df) + 1)
+        np.maximum.at(self.most, word, self.impact)
+
+    @cached_property
+    def qa(self) -> dict[int, tuple[set, set]]:
+        return {}
+
+    def question_answer(self, item: int) -> tuple[set, set]:
+        if item not in self.qa:
+            self.qa[item] = tuple(map(trigrams, parts(self.items[item][1])))
+        return self.qa[item]
+
+    def at(self, ws: np.ndarray, block) -> tuple[np.ndarray, np.ndarray]:
+        """Where words stand in a block, and whether they do."""
+        key = ws * self.blocks + block
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        return at, (self.keys[at] == key) & (ws < len(self.place))
+
+    def candidates(self, passages: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) whose bounds reach the threshold; a row is a passage of distinct word places, or the number of words for none."""
+        least = threshold - 1e-9
+        most = self.most[passages]
+        order = np.argsort(most, axis=1, kind="stable")
+        ws, most = np.take_along_axis(passages, order, 1), np.take_along_axis(most, order, 1)
+        reached = np.cumsum(most, axis=1)
+        asks = reached >= least
+        rest = np.where(asks, 0, most).sum(axis=1)
+        p, w = np.nonzero(asks & (ws < len(self.place)))
+        w = ws[p, w]
+        count = self.of_word[w + 1] - self.of_word[w]
+        at = np.repeat(self.of_word[w] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()) if len(w) else np.zeros(0, np.int64)
+        key, back = np.unique(np.repeat(p, count) * self.blocks + self.keys[at] % self.blocks, return_inverse=True)
+        p, block = key // self.blocks, key % self.blocks
+        near = np.bincount(back, self.bound[at], len(key)) + rest[p] >= least
+        p, block = p[near], block[near]
+        if not len(p):
+            return p, block
+        at, held = self.at(passages[p], block[:, None])
+        fit = np.where(held, self.bound[at], 0).sum(axis=1) >= least
+        return p[fit], block[fit]
+
+    def opened(self, passage: np.ndarray, block: int, threshold: float) -> list[tuple[int, float]]:
+        """The items of a block at or above the threshold, for a passage's distinct words in order, so that sums are the same in any index."""
+        at, held = self.at(passage, block)
         score: dict[int, float] = defaultdict(float)
-        postings = self.postings[block]
-        for at in sorted(postings.keys() & passage):  # in the words' order, so that sums are the same in any index
-            for k, x in postings[at]:
-                score[k] += x
+        for x in at[held].tolist():
+            for e in range(self.first[x], self.first[x + 1]):
+                score[int(self.item[e])] += float(self.impact[e])
         return [(k, s) for k, s in score.items() if s >= threshold - 1e-9]
 
 
-def _search(index: Index, threshold: float, overlap: float):
+def _search(shared, threshold: float, overlap: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index: Index = pickle.loads(shared.value)  # with its class
         width = 2 * max(index.longest, 32)
         none = len(index.place)
 
@@ -130,17 +174,13 @@ def _search(index: Index, threshold: float, overlap: float):
                 rows.sort(axis=1)
                 rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = none
                 rows.sort(axis=1)
-                p, b = np.nonzero(index.bounds(rows) >= threshold - 1e-4)
-                last, own = -1, set()
-                for k, block in zip(p.tolist(), b.tolist()):
-                    if k != last:
-                        own, last = set(rows[k].tolist()), k
-                    for item, score in index.opened(own, block, threshold):
+                for k, block in zip(*(x.tolist() for x in index.candidates(rows, threshold))):
+                    for item, score in index.opened(rows[k], block, threshold):
                         retrieved[int(owner[i + k]), item].append((-score, int(starts[i + k] - begin[owner[i + k]])))
             out = []
             for (d, item), passages in retrieved.items():
                 doc, ws = docs[d]
-                question, answer = index.qa[item]
+                question, answer = index.question_answer(item)
                 for score, start in sorted(passages):
                     around = trigrams(ws[max(0, start - width) : start + 2 * width])
                     q, a = (len(x & around) / len(x) if x else 1.0 for x in (question, answer))
@@ -179,13 +219,14 @@ def _item_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    threshold: float = 0.6, overlap: float = 0.5, index_items: int = 4096,
+    threshold: float = 0.6, overlap: float = 0.5, index_items: int = 16_384, index_words: int = 2_000_000,
 ) -> DataFrame:
     """id, item_id, score, question_overlap and answer_overlap of every leaked item in every document."""
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).filter("text is not null")
     items = benchmark.select(col(item_col).cast("long").alias("i"), col(item_text_col).alias("t")).filter("i is not null and t is not null").distinct()
-    n = items.count()
-    passes = max(1, -(-n // index_items))
+    spaces = F.length("t") - F.length(F.translate("t", " \t\n", ""))
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(spaces + 1), F.lit(0))).first()
+    passes = max(1, -(-n // index_items), -(-size // index_words))
     of = lambda part: part.mapInPandas(_item_words, "w string, size long")
     if passes > 1:
         whole = of(items).filter("w is null").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(1))).first()
@@ -197,7 +238,8 @@ def leaks(
             chunk = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k)
             stats = Stats(*whole, {r["w"]: r["df"] for r in df.join(of(chunk).select("w").distinct(), "w").collect()})
         index = Index(sorted((r["i"], r["t"]) for r in chunk.collect()), stats)
-        found = rows.mapInPandas(_search(index, threshold, overlap), _SCHEMA)
+        shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
+        found = rows.mapInPandas(_search(shared, threshold, overlap), _SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
