@@ -106,6 +106,26 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(two)
 
 
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of providers, with missing stamps, fallbacks, warnings and empty data among them."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    source = F.when(i % 4 == 0, "sina").when(i % 4 == 1, "sina_Fallback").when(i % 4 == 2, "tencent")
+    ts = F.col("ts").cast("timestamp_ntz")
+    return e.select(
+        i.alias("payload_id"), F.lpad(F.col("user_id").cast("string"), 6, "0").alias("symbol"), source.alias("source"), F.when(i % 11 != 0, ts).alias("fetched_at"),
+        F.when(i % 10 != 0, ts + F.make_dt_interval(mins=(i % 30).cast("int"))).alias("available_time"), (ts + F.make_dt_interval(secs=(i % 900).cast("int"))).alias("now"), (i % 13 == 0).alias("fallback"), (i % 7 == 0).alias("is_stale"),
+        F.when(i % 5 == 0, "slow").alias("warning"), F.when(i % 6 == 0, "note").alias("note"), F.when(i % 9 != 0, F.col("value")).alias("data"),
+    )
+
+
+def late_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bars`` with a second revision, three days after its day, of every seventh symbol's first days of a month: later than the next decision."""
+    b = bars(spark, sf_dir)
+    late = b.filter((F.col("revision") == 0) & (F.col("symbol").cast("int") % 7 == 3) & (F.dayofmonth("trade_date") <= 4))
+    late = late.withColumn("available_time", F.col("trade_date").cast("timestamp_ntz") + hours(75)).withColumn("revision", F.lit(2)).withColumn("close", rnd(F.col("close") * 1.03, 4))
+    return b.unionByName(late)
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """variant, symbol, trade_date, p, y, baseline_p, next_return and the four factors."""
     from .operators.factors import design_rows
@@ -153,6 +173,18 @@ outcomes as (select o_orderkey as record_id, horizon, ((o_orderkey * horizon) %
     "reviews": ("", """
 reviews as (select o_orderkey as record_id, o_orderkey * 10 + 1 as seq, 'FIRST' as verdict from orders where o_orderkey % 3 = 0
   union all select o_orderkey, o_orderkey * 10 + 2, 'SECOND' from orders where o_orderkey % 9 = 0)"""),
+    "payloads": ("", """
+payloads as (select event_id as payload_id, lpad(cast(user_id as varchar), 6, '0') as symbol, case event_id % 4 when 0 then 'sina' when 1 then 'sina_Fallback' when 2 then 'tencent' end as source, case when event_id % 11 <> 0 then ts end as fetched_at,
+    case when event_id % 10 <> 0 then ts + to_minutes(event_id % 30) end as available_time, ts + to_seconds(event_id % 900) as now, event_id % 13 = 0 as fallback, event_id % 7 = 0 as is_stale,
+    case when event_id % 5 = 0 then 'slow' end as warning, case when event_id % 6 = 0 then 'note' end as note, case when event_id % 9 <> 0 then value end as data from events)"""),
+    "late_bars": ("bars", """
+late_bars as (select * from bars union all select symbol, trade_date, event_time, cast(trade_date as timestamp) + interval 75 hour, 2, "open", high, low, rnd("close" * 1.03, 4), volume, amount
+    from bars where revision = 0 and cast(symbol as integer) % 7 = 3 and extract(day from trade_date) <= 4)"""),
+    "pit": ("late_bars", """
+days_ as (select symbol, trade_date, cast(trade_date as timestamp) + interval 8 hour as dt, row_number() over (partition by symbol order by trade_date) as i from (select distinct symbol, trade_date from late_bars)),
+seen_ as (select d.symbol, d.dt, d.i as at, e.i, e.trade_date as day, max_by(b."close", b.revision) as c, max_by(b.revision, b.revision) as revision from days_ d join days_ e on e.symbol = d.symbol and e.i between d.i - 26 and d.i
+    join late_bars b on b.symbol = e.symbol and b.trade_date = e.trade_date and b.available_time <= d.dt group by all),
+pit as (select a.symbol, a.dt, cast(a.dt as date) as trade_date, a.at, a.i, a.day, a.c as "close", a.c / b.c - 1 as r from seen_ a left join seen_ b on b.symbol = a.symbol and b.at = a.at and b.i = a.i - 1 and b.c > 0 and a.c > 0)"""),
     "settled": ("bars", """
 settled as (select a.symbol, a.trade_date, a."close" as look, a.high, a.low, a.volume, a.amount, max_by(b."close", b.revision) as final from bars a join bars b on a.symbol = b.symbol and a.trade_date = b.trade_date where a.revision = 0 group by all)"""),
     "design": ("settled", """

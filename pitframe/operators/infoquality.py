@@ -74,3 +74,46 @@ def completeness(expected: DataFrame, actual: DataFrame, absences: DataFrame, ke
     a, b = actual.select(*key).distinct().withColumn("seen", F.lit(True)), absences.select(*key).distinct().withColumn("excused", F.lit(True))
     x = expected.select(*key).distinct().join(a, key, "left").join(b, key, "left")
     return x.select(*key, F.when(F.col("seen"), "OBSERVED").when(F.col("excused"), "EXPECTED_ABSENCE").otherwise("UNEXPECTED_MISSING").alias("status"))
+
+
+def project_info(raw: DataFrame, registry: DataFrame) -> DataFrame:
+    """Raw records as information records: without availability they are UNRESOLVED, and each carries its source's freshness policy."""
+    known = F.broadcast(registry.select("source", F.col("policy").alias("freshness_policy_id")))  # one row a registered source
+    return raw.join(known, "source", "left").withColumn("quality_status", F.when(F.col("available_time").isNull(), "UNRESOLVED").otherwise(F.col("quality_status")))
+
+
+#: Source -> entity type, payload field with the value, unit, currency, payload field with the text.
+PROJECTIONS = {
+    "cn_index_daily": ("INDEX", "close", "points", None, None),
+    "company_announcement": ("LISTED_COMPANY", None, None, None, "content"),
+    "macro_pmi_cn": ("ECONOMY", "value", "index", None, None),
+    "us_index_daily": ("INDEX", "close", "points", "USD", None),
+}
+
+
+def source_projection(raw: DataFrame, source: str) -> DataFrame:
+    """Payloads (struct ``payload``) of a source as information records."""
+    entity, value, unit, currency, content = PROJECTIONS[source]
+    field = lambda name, kind: F.col(f"payload.{name}") if name else F.lit(None).cast(kind)
+    return raw.select(
+        F.lit(source).alias("source"), "payload.source_id", "payload.revision", F.lit(entity).alias("entity_type"), field(value, "double").alias("value"),
+        F.lit(unit).cast("string").alias("unit"), F.lit(currency).cast("string").alias("currency"), field(content, "string").alias("content"),
+    )
+
+
+def summarize_status(rows: DataFrame, *keys: str) -> DataFrame:
+    """Counts of each admission status, the admissible share, and whether all are."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    ok = n("ADMISSIBLE")
+    return rows.groupBy(*keys).agg(
+        ok.alias("admissible"), n("FUTURE").alias("future"), n("MISSING_TIME").alias("missing_time"), n("FALLBACK").alias("fallback"), rnd(ok / F.count("*")).alias("admissible_ratio"), (ok == F.count("*")).alias("all_admissible"),
+    )
+
+
+def select_asof(info: DataFrame, decision: str, holdout_start: str) -> DataFrame:
+    """Admissible records at a decision, one for each key and revision; a decision in the holdout is an error."""
+    if decision[:10] >= holdout_start:
+        raise ValueError(f"decision {decision} lies in the holdout from {holdout_start}")
+    seen = info.filter((F.col("available_time") >= F.col("event_time")) & (F.col("available_time") <= F.lit(decision).cast("timestamp_ntz")))
+    w = Window.partitionBy("source", "source_id", "revision").orderBy("entity_id", "value", "available_time")
+    return seen.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
