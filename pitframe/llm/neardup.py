@@ -21,7 +21,7 @@ Nodes that share a bucket, directly or through others, are a family. Its links a
    are shared; what it makes is verified.
 
 So every pair of a family is verified, ruled out exactly, or already connected: nothing is capped. Joins are plain equi-joins
-whose hot keys AQE can split; components run by label spreading with pointer jumping over written tables.
+whose hot keys AQE can split; components run by pointer jumping over written tables, with fewer edges each round.
 
 Defined results: null text, empty text and text without words have no shingles, link with nothing and stay; fewer words
 than the shingle length make one shingle of the whole sequence; rows with the same id are one node whose links unite; a row
@@ -146,20 +146,31 @@ def _sets(width: int):
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over ``edges`` (a, b), for every id in them.
 
-    Each round every node takes the smallest label around it, then its label's label; rounds end when none changes.
+    Each round every node points to its smallest neighbour below it, pointers jump until they reach a node without one, and
+    edges are drawn between these ends only; rounds end when no edge is left. So the edges shrink from round to round.
     """
-    edges = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(edges.groupBy("a").agg(F.min(F.least("a", "b")).alias("label")).withColumnRenamed("a", "id"), "labels")
-    while True:
-        around = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(around, labels["id"] == around["a"]).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = new.select(F.col("id").alias("root"), F.col("label").alias("up"))
-        new = written(new.join(up, new["label"] == up["root"]).select("id", "old", F.least("label", "up").alias("label")), "labels")
-        discard(labels)
-        if not new.filter("old <> label").limit(1).count():
-            discard(edges)
-            return new.select("id", F.col("label").alias("component"))
-        labels = new
+    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    labels = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct().withColumn("component", F.col("id"))
+    labels = written(labels, "labels")
+    while edges.limit(1).count():
+        up = written(edges.groupBy("a").agg(F.min("b").alias("up")), "up")
+        while True:
+            above = up.select(F.col("a").alias("mid"), F.col("up").alias("top"))
+            higher = written(up.join(above, up["up"] == above["mid"], "left").select("a", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "up")
+            discard(up)
+            up = higher
+            if not up.filter("moved").limit(1).count():
+                break
+        up = up.select("a", "up")
+        to = up.withColumnsRenamed({"a": "component", "up": "to_component"})
+        new = written(labels.join(to, "component", "left").select("id", F.coalesce("to_component", "component").alias("component")), "labels")
+        ends = edges.join(up, "a").select("b", F.col("up").alias("end_a")).join(up.toDF("b", "end_b"), "b", "left").select("end_a", F.coalesce("end_b", "b").alias("end_b"))
+        ends = ends.filter("end_a <> end_b").select(F.greatest("end_a", "end_b").alias("a"), F.least("end_a", "end_b").alias("b")).distinct()
+        drawn = written(ends, "edges")
+        discard(edges, labels, higher)
+        edges, labels = drawn, new
+    discard(edges)
+    return labels
 
 
 def family_links(sets: DataFrame, hubs: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
@@ -189,7 +200,7 @@ def family_links(sets: DataFrame, hubs: DataFrame, buckets: DataFrame, percent:
     middle = left.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
     beside_middle = left.join(middle, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
     found = written(verified(beside_middle), "links")
-    label = components(found).select(F.col("id").alias("node"), "component")
+    label = components(found).select(F.col("id").alias("node"), F.col("component"))
     spread = nodes.filter("apart").groupBy("family").agg(F.min("excess").alias("least_apart"))
     open_ = nodes.join(spread, "family").join(label, "node", "left")
     # what a link with the best partner, among all for those apart and among those apart for the others, has to share at least
