@@ -62,8 +62,14 @@ def isotonic_steps(fit_on: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
 
 
 def isotonic(rows: DataFrame, steps: DataFrame, p: str = "p", out: str = "isotonic") -> DataFrame:
-    """``rows`` with the step that holds each p. There are as many steps as distinct fitted values, far fewer than rows."""
-    return rows.join(steps, (F.col(p) >= F.col("lo")) & (F.col(p) < F.col("hi")), "left").withColumn(out, F.col("value")).drop("lo", "hi", "value")
+    """``rows`` with the step that holds each p: a search in one array of the steps, which are far fewer than rows."""
+    ladder = F.broadcast(steps.agg(F.array_sort(F.collect_list(F.struct("lo", "value"))).alias("__steps")))  # one row
+    x = rows.crossJoin(ladder)
+    # halve the range until one step is left: 2^30 steps at most
+    at = F.aggregate(
+        F.sequence(F.lit(29), F.lit(0)), F.lit(-1), lambda a, k: F.when((a + F.pow(F.lit(2), k).cast("int") < F.size("__steps")) & (F.get("__steps", a + F.pow(F.lit(2), k).cast("int"))["lo"] <= F.col(p)), a + F.pow(F.lit(2), k).cast("int")).otherwise(a)
+    )
+    return x.withColumn(out, F.get("__steps", at)["value"]).drop("__steps")
 
 
 def bootstrap_delta(preds: DataFrame, better: Column, rounds: int = 1000, seed: int = 20260929, by: str = "symbol") -> DataFrame:

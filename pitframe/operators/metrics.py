@@ -53,9 +53,10 @@ def expected_calibration_error(preds: DataFrame, bins: int, *keys: str) -> DataF
 def time_slices(preds: DataFrame, time: str = "trade_date", recent_days: int = 730) -> DataFrame:
     """Rows once for each slice they belong to: all, thirds by distinct time, the last days, and years. Ranks are taken on the distinct times."""
     times = preds.select(time).distinct()
-    n, last = times.agg(F.count("*"), F.max(time)).first()
-    third = F.concat(F.lit("third_"), (F.floor((F.row_number().over(Window.orderBy(time)) - 1) * 3 / max(n, 1)) + 1).cast("string"))
-    names = F.array_compact(F.array(F.lit("all"), third, F.when(F.datediff(F.lit(last), F.col(time)) < recent_days, F.lit("recent")), F.concat(F.lit("year_"), F.year(time).cast("string"))))
+    every = Window.partitionBy()  # over one row a time
+    third = F.concat(F.lit("third_"), (F.floor((F.row_number().over(Window.orderBy(time)) - 1) * 3 / F.count("*").over(every)) + 1).cast("string"))
+    recent = F.when(F.datediff(F.max(time).over(every), F.col(time)) < recent_days, F.lit("recent"))
+    names = F.array_compact(F.array(F.lit("all"), third, recent, F.concat(F.lit("year_"), F.year(time).cast("string"))))
     return preds.join(times.withColumn("names", names), time).select("*", F.explode("names").alias("slice")).drop("names")
 
 
@@ -87,6 +88,63 @@ def performance(curve: DataFrame, key: str, order: str, value: str, per_year: in
     )
 
 
+def performance_full(curve: DataFrame, key: str, order: str, value: str, per_year: int = 252) -> DataFrame:
+    """``performance`` with the annualised return, the Calmar ratio and the number of observations; null where they are not defined."""
+    w = Window.partitionBy(key).orderBy(order)
+    x = curve.withColumn("r", F.col(value) / F.lag(value).over(w) - 1).withColumn("peak", F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sd = F.stddev_pop("r")
+    g = x.groupBy(key).agg(
+        (F.max_by(value, order) / F.min_by(value, order) - 1).alias("total"), (F.count("r") / float(per_year)).alias("years"), sd.alias("sd"), F.avg("r").alias("m"),
+        F.min(F.col(value) / F.col("peak") - 1).alias("dd"), F.avg(F.when(F.col("r").isNotNull(), (F.col("r") > 0).cast("double"))).alias("win"), F.count("*").alias("observations"),
+    )
+    annual = F.when((F.col("years") > 0) & (F.col("total") > -1), F.pow(1 + F.col("total"), F.try_divide(F.lit(1.0), F.col("years"))) - 1)
+    g = g.withColumn("annual", annual)
+    root = F.sqrt(F.lit(float(per_year)))
+    return g.select(
+        key, rnd("total").alias("total"), rnd("annual", 6).alias("annual"), rnd(F.col("sd") * root, 6).alias("volatility"), rnd(F.when(F.col("sd") > 0, F.col("m") / F.col("sd") * root), 6).alias("sharpe"),
+        rnd("dd").alias("max_drawdown"), rnd(F.when(F.col("dd") < 0, F.col("annual") / F.abs("dd")), 6).alias("calmar"), rnd("win").alias("win_rate"), "observations",
+    )
+
+
+def evaluate_oos(preds: DataFrame) -> DataFrame:
+    """Accuracy and Brier score of each variant and symbol, with total and drawdown of the curve that holds where p >= 0.5."""
+    w = Window.partitionBy("variant", "symbol").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    x = preds.withColumn("equity", F.product(1 + F.when(F.col("p") >= 0.5, F.col("next_return")).otherwise(0.0)).over(w)).withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(w)))
+    y = F.col("y").cast("double")
+    return x.groupBy("variant", "symbol").agg(
+        rnd(F.avg(((F.col("p") >= 0.5) == (y == 1)).cast("double"))).alias("accuracy"), rnd(F.avg((F.col("p") - y) * (F.col("p") - y))).alias("brier"),
+        rnd(F.max_by("equity", "trade_date") - 1, 6).alias("total"), rnd(F.min(F.col("equity") / F.col("peak") - 1), 6).alias("max_drawdown"),
+    )
+
+
+def align(a: DataFrame, b: DataFrame, keys: list[str], by: str = "symbol") -> DataFrame:
+    """Whether two models' rows are the same rows with the same outcomes, for each value of ``by``."""
+    j = a.select(*keys, F.col("y").alias("ya")).join(b.select(*keys, F.col("y").alias("yb")), keys, "full")
+    return j.groupBy(by).agg(F.count("*").alias("n"), F.bool_and(F.coalesce(F.col("ya") == F.col("yb"), F.lit(False))).alias("aligned"), F.count_if(F.col("ya").isNull() | F.col("yb").isNull()).alias("unmatched"))
+
+
+def ranks(df: DataFrame, columns: list[str], ties: list[str]) -> DataFrame:
+    """``df`` with r_<column> for each: its place in the order of that column, then of ``ties``.
+
+    Rows are sorted in ranges, counted by range, and numbered within their range, so no task holds a whole column."""
+    for c in columns:
+        part = df.repartitionByRange(c, *ties).sortWithinPartitions(c, *ties).withColumn("__part", F.spark_partition_id())
+        nth = F.row_number().over(Window.partitionBy("__part").orderBy(c, *ties))
+        counts = part.groupBy("__part").agg(F.count("*").alias("__n"))
+        before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
+        df = part.withColumn("__nth", nth).join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(f"r_{c}", F.col("__nth") + F.col("__before")).drop("__part", "__nth", "__before")
+    return df
+
+
+def redundancy(df: DataFrame, factors: list[str], ties: list[str], close: float = 0.85) -> DataFrame:
+    """Pearson and Spearman correlation of every pair of factors, and whether the pair falls into one cluster."""
+    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
+    r = ranks(df.select(*factors, *ties), factors, ties)
+    each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("pearson"), F.corr(f"r_{a}", f"r_{b}").alias("spearman")) for a, b in pairs]
+    x = r.agg(F.array(*each).alias("e")).select(F.inline("e"))
+    return x.select("a", "b", rnd("pearson", 6).alias("pearson"), rnd("spearman", 6).alias("spearman"), (F.abs("pearson") >= close).alias("cluster_pair"))
+
+
 def mean_shift(ref: DataFrame, now: DataFrame, column: str, alarm: float = 2.0) -> DataFrame:
     """Absolute shift of the mean in population deviations of the reference."""
     a = ref.agg(F.avg(column).alias("m0"), F.stddev_pop(column).alias("s0"))
@@ -98,7 +156,8 @@ def mean_shift(ref: DataFrame, now: DataFrame, column: str, alarm: float = 2.0)
 def population_stability(ref: DataFrame, now: DataFrame, column: str, bins: int = 10, floor: float = 1e-6, alarm: float = 0.2) -> DataFrame:
     """Index over equal-width bins of the reference range, right-closed; values outside go to the end bins."""
     edges = F.broadcast(ref.agg(F.min(column).alias("lo"), F.max(column).alias("hi")))
-    b = F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((F.col(column) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).cast("int")
+    place = F.coalesce(F.try_divide(F.col(column) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))  # a constant reference has one bin
+    b = F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil(place * bins))).cast("int")
     side = lambda df, name: df.crossJoin(edges).groupBy(b.alias("bin")).agg(F.count("*").alias(name))
     every = ref.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     x = every.join(side(ref, "a"), "bin", "left").join(side(now, "b"), "bin", "left").fillna(0, ["a", "b"])
