@@ -185,6 +185,8 @@ days_ as (select symbol, trade_date, cast(trade_date as timestamp) + interval 8
 seen_ as (select d.symbol, d.dt, d.i as own_i, e.i, e.trade_date as day, max_by(b."close", b.revision) as c, max_by(b.revision, b.revision) as revision from days_ d join days_ e on e.symbol = d.symbol and e.i between d.i - 26 and d.i
     join late_bars b on b.symbol = e.symbol and b.trade_date = e.trade_date and b.available_time <= d.dt group by all),
 pit as (select a.symbol, a.dt, cast(a.dt as date) as trade_date, a.own_i, a.i, a.day, a.c as "close", a.c / b.c - 1 as r from seen_ a left join seen_ b on b.symbol = a.symbol and b.own_i = a.own_i and b.i = a.i - 1 and b.c > 0 and a.c > 0)"""),
+    "looks": ("bars", """
+looks as (select symbol, trade_date, "open", high, low, "close" as final, volume, amount from bars where revision = 0)"""),
     "settled": ("bars", """
 settled as (select a.symbol, a.trade_date, a."close" as look, a.high, a.low, a.volume, a.amount, max_by(b."close", b.revision) as final from bars a join bars b on a.symbol = b.symbol and a.trade_date = b.trade_date where a.revision = 0 group by all)"""),
     "design": ("settled", """

@@ -162,3 +162,10 @@ def design_rows(bars: DataFrame, lookback: int = LOOKBACK, horizon: int = 1) ->
     rows = compute_factors(bars, names, lookback).na.drop(subset=names).join(next_returns(bars, horizon), ["symbol", "trade_date"]).filter("ahead is not null and close > 0")
     rows = rows.withColumn("next_return", rnd(F.col("ahead") / F.col("close") - 1, 9))
     return rows.select("symbol", "trade_date", "close", *names, "next_return", (F.col("next_return") > 0).cast("int").alias("label"))
+
+
+def fundamental(df: DataFrame) -> DataFrame:
+    """quality and valuation of rows with ratios and percentiles; a column that is missing altogether counts as null."""
+    c = lambda n: F.col(n).cast("double") if n in df.columns else F.lit(None).cast("double")
+    quality = 0.3 * c("roe") + 0.3 * c("roic") + 0.2 * c("ocf_to_profit") - 0.2 * c("debt_ratio")
+    return df.withColumn("quality", quality).withColumn("valuation", -(c("pe_percentile") + c("pb_percentile")) / 2)

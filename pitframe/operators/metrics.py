@@ -210,3 +210,37 @@ def bucket_report(df: DataFrame, column: str, label: str, k: int, by: str) -> Da
     x = df.withColumn("i", F.row_number().over(w) - 1).withColumn("m", F.count("*").over(Window.partitionBy(by)))
     b = F.floor((F.col("i") * k + k - 1) / F.col("m"))  # the b with floor(b m / k) <= i < floor((b + 1) m / k)
     return x.withColumn("b", F.least(b, F.lit(k - 1)).cast("int")).groupBy(by, "b").agg(F.count("*").alias("n"), rnd(F.avg(column)).alias("mean"), rnd(F.avg(label)).alias("rate"))
+
+
+def normalize_frame(df: DataFrame, columns: list[str], by: list[str], lo: float = 0.05, hi: float = 0.95) -> DataFrame:
+    """Columns cut at their quantiles within each group, then in population deviations from its mean; 0 where they are constant."""
+    w = Window.partitionBy(*by)
+    for c in columns:
+        df = df.withColumn("__lo", F.percentile(c, F.lit(lo)).over(w)).withColumn("__hi", F.percentile(c, F.lit(hi)).over(w)).withColumn(c, F.least(F.greatest(c, "__lo"), F.col("__hi")))
+        sd = F.stddev_pop(c).over(w)
+        df = df.withColumn(c, F.when(sd > 1e-12, (F.col(c) - F.avg(c).over(w)) / sd).otherwise(0.0)).drop("__lo", "__hi")
+    return df
+
+
+def train_scaler(train: DataFrame, test: DataFrame, columns: list[str], by: list[str], lo: float = 0.05, hi: float = 0.95) -> DataFrame:
+    """``test`` with its columns cut at the bounds and scaled by the mean and deviation that ``train`` gives, group by group; groups without training rows go."""
+    ends = train.groupBy(*by).agg(*[F.percentile(c, F.lit(q)).alias(f"__{n}_{c}") for c in columns for n, q in (("lo", lo), ("hi", hi))])
+    cut = lambda df: df.join(ends, by).withColumns({c: F.least(F.greatest(F.col(c), F.col(f"__lo_{c}")), F.col(f"__hi_{c}")) for c in columns})
+    fit = cut(train).groupBy(*by).agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("mu", F.avg), ("sd", F.stddev_pop))])
+    x = cut(test).join(fit, by)
+    x = x.withColumns({c: F.when(F.col(f"__sd_{c}") > 0, (F.col(c) - F.col(f"__mu_{c}")) / F.col(f"__sd_{c}")).otherwise(0.0) for c in columns})
+    return x.drop(*[f"__{n}_{c}" for c in columns for n in ("lo", "hi", "mu", "sd")])
+
+
+def correlation_clusters(df: DataFrame, columns: list[str], close: float = 0.85) -> DataFrame:
+    """cluster and members: each column not yet in a group opens one with all columns at least ``close`` in absolute correlation. Only the matrix reaches the driver."""
+    pairs = [(a, b) for a in columns for b in columns]
+    row = df.agg(*[F.abs(F.corr(a, b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)]).first()
+    near = {p: row[f"c{k}"] for k, p in enumerate(pairs)}
+    groups, seen = [], set()
+    for a in columns:
+        if a not in seen:
+            own = [b for b in columns if a == b or (near[a, b] or 0.0) >= close]
+            seen.update(own)
+            groups.append((len(groups), own))
+    return df.sparkSession.createDataFrame(groups, "cluster int, members array<string>")

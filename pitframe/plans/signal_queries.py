@@ -15,28 +15,28 @@ SPLIT = "1999-01-01"
 _MEAN = lambda c, n, w: f"case when count(*) over ({w} rows {n - 1} preceding) = {n} then avg({c}) over ({w} rows {n - 1} preceding) end"
 _O = "partition by symbol order by trade_date"
 _MOVED = "mv_ as (select symbol, trade_date, final, high, volume, " + ", ".join(f"rnd({_MEAN('final', n, _O)}, 6) as ma{n}" for n in (5, 10, 20, 60)) + f""",
-  rnd(volume / {_MEAN('volume', 20, _O)}, 6) as lr, rnd((final / lag(final) over ({_O}) - 1) * 100, 6) as pct from settled)"""
+  rnd(volume / {_MEAN('volume', 20, _O)}, 6) as lr, rnd((final / lag(final) over ({_O}) - 1) * 100, 6) as pct from looks)"""
 
 
-def settled(spark, sf):
-    """One row a symbol and day: the final close, and the first revision's high, volume and amount."""
-    return fx.bars(spark, sf).groupBy("symbol", "trade_date").agg(
-        F.max_by("close", "revision").alias("final"), *[F.min_by(c, "revision").alias(c) for c in ("high", "volume", "amount")]
-    )
+def looks(spark, sf):
+    """One row a symbol and day as the day's own decision saw it, so that no rule over them looks ahead; the close is named final."""
+    seen = F.col("available_time") <= F.col("trade_date").cast("timestamp_ntz") + fx.hours(8)
+    x = fx.bars(spark, sf).filter(seen).groupBy("symbol", "trade_date").agg(F.max_by(F.struct("open", "high", "low", F.col("close").alias("final"), "volume", "amount"), "revision").alias("b"))
+    return x.select("symbol", "trade_date", "b.*")
 
 
 def moved(spark, sf):
-    return si.moving(settled(spark, sf))
+    return si.moving(looks(spark, sf))
 
 
 @query("f10_technical_pack", f"""
-with s_ as (select *, greatest(final - lag(final) over o, 0) as up, greatest(lag(final) over o - final, 0) as down, row_number() over o as rn from settled window o as ({_O})),
+with s_ as (select *, greatest(final - lag(final) over o, 0) as up, greatest(lag(final) over o - final, 0) as down, row_number() over o as rn from looks window o as ({_O})),
 t_ as (select *, avg(up) over (o rows 13 preceding) as u14, avg(down) over (o rows 13 preceding) as d14, lag(final, 5) over o as l5, lag(final, 20) over o as l20, lag(final, 60) over o as l60,
   {_MEAN('final', 5, _O)} as m5, {_MEAN('final', 20, _O)} as m20, {_MEAN('final', 60, _O)} as m60, {_MEAN('volume', 20, _O)} as v20, case when rn >= 20 then stddev_samp(volume) over (o rows 19 preceding) end as sd from s_ window o as ({_O}))
 select symbol, trade_date, rnd(final / l5 - 1, 9) as ret_5, rnd(final / m5 - 1, 9) as ma_gap_5, rnd(final / l20 - 1, 9) as ret_20, rnd(final / m20 - 1, 9) as ma_gap_20, rnd(final / l60 - 1, 9) as ret_60, rnd(final / m60 - 1, 9) as ma_gap_60,
-  rnd(case when sd > 0 then (volume - v20) / sd end, 6) as vol_z20, rnd(case when rn > 14 and d14 > 1e-9 then 100 - 100 / (1 + u14 / d14) end, 6) as rsi14 from t_""", "settled")
+  rnd(case when sd > 0 then (volume - v20) / sd end, 6) as vol_z20, rnd(case when rn > 14 and d14 > 1e-9 then 100 - 100 / (1 + u14 / d14) end, 6) as rsi14 from t_""", "looks")
 def f10(spark, sf):
-    return si.technical(settled(spark, sf))
+    return si.technical(looks(spark, sf))
 
 
 @query("f19_index_volatility_z", """
@@ -49,17 +49,17 @@ def f19(spark, sf):
 
 
 @query("f20_turnover_z", """
-with d_ as (select trade_date, sum(amount) as amount from settled group by trade_date), z_ as (select *, avg(amount) over b as m, stddev_pop(amount) over b as s, count(amount) over b as n from d_ window b as (order by trade_date rows between 59 preceding and 1 preceding))
-select trade_date, rnd(amount, 2) as amount, rnd(case when n >= 19 and s > 0 then (amount - m) / s end, 4) as turnover_z from z_""".replace("d_ as", "dd_ as").replace("from d_", "from dd_"), "settled")
+with d_ as (select trade_date, sum(amount) as amount from looks group by trade_date), z_ as (select *, avg(amount) over b as m, stddev_pop(amount) over b as s, count(amount) over b as n from d_ window b as (order by trade_date rows between 59 preceding and 1 preceding))
+select trade_date, rnd(amount, 2) as amount, rnd(case when n >= 19 and s > 0 then (amount - m) / s end, 4) as turnover_z from z_""".replace("d_ as", "dd_ as").replace("from d_", "from dd_"), "looks")
 def f20(spark, sf):
-    return si.turnover_z(settled(spark, sf))
+    return si.turnover_z(looks(spark, sf))
 
 
 @query("i4_bias_risk", f"""
 with {_MOVED}, b_ as (select *, rnd((final - ma5) / ma5 * 100, 2) as bias5, rnd((final - ma10) / ma10 * 100, 2) as bias10, rnd((final - ma20) / ma20 * 100, 2) as bias20, rnd((final - ma60) / ma60 * 100, 2) as bias60 from mv_)
 select symbol, trade_date, bias5, bias10, bias20, bias60, case when bias5 is null then 'UNKNOWN' when greatest(bias5, bias10, bias20, bias60) > 40 then 'EXTREME_OVERHEAT'
   when coalesce(bias20, 0) > 25 or greatest(bias5, coalesce(bias10, 0)) > 30 then 'OVERHEAT' when greatest(bias5, coalesce(bias10, 0)) > 15 then 'WARM'
-  when least(bias5, bias10, bias20, bias60) < -20 then 'EXTREME_OVERSOLD' when least(bias5, bias10, bias20, bias60) < -10 then 'OVERSOLD' else 'NORMAL' end as risk from b_""", "settled")
+  when least(bias5, bias10, bias20, bias60) < -20 then 'EXTREME_OVERSOLD' when least(bias5, bias10, bias20, bias60) < -10 then 'OVERSOLD' else 'NORMAL' end as risk from b_""", "looks")
 def i4(spark, sf):
     return si.bias_risk(moved(spark, sf)).select("symbol", "trade_date", "bias5", "bias10", "bias20", "bias60", "risk")
 
@@ -67,21 +67,21 @@ def i4(spark, sf):
 @query("i6_trend_verdict", f"""
 with {_MOVED} select symbol, trade_date, case when ma60 is null then 'NO_DATA' when final > ma5 and ma5 > ma10 and ma10 > ma20 and ma20 > ma60 then 'BULL_STRONG'
   when final > ma20 and final > ma60 and ma5 > ma20 and final > ma5 then 'BULL' when final > ma20 and final > ma60 and final > ma5 then 'BULL_RESTING' when final > ma20 and final > ma60 and ma5 > ma20 then 'BULL_PULLBACK'
-  when final < ma5 and ma5 < ma10 and ma10 < ma20 then 'BEAR' when final <= ma20 and final <= ma60 and ma5 < ma20 and ma20 < ma60 and final < ma5 then 'BEAR_STRONG' when abs(final - ma20) / ma20 < 0.02 then 'TANGLED' else 'MIXED' end as verdict from mv_""", "settled")
+  when final < ma5 and ma5 < ma10 and ma10 < ma20 then 'BEAR' when final <= ma20 and final <= ma60 and ma5 < ma20 and ma20 < ma60 and final < ma5 then 'BEAR_STRONG' when abs(final - ma20) / ma20 < 0.02 then 'TANGLED' else 'MIXED' end as verdict from mv_""", "looks")
 def i6(spark, sf):
     return si.trend_verdict(moved(spark, sf)).select("symbol", "trade_date", "verdict")
 
 
 @query("i8_volume_regime", f"""
 with {_MOVED} select symbol, trade_date, lr, pct, case when lr is null then 'UNKNOWN' when lr < 0.6 then 'FROZEN' when lr < 0.9 then 'DRY' when lr < 1.1 then 'EVEN' when lr < 1.5 then 'FULL' else 'FLOOD' end as volume_tier,
-  case when pct > 3 and lr < 0.9 then 'RISE_ON_LOW_VOLUME' when pct < -3 and lr > 1.3 then 'FALL_ON_HIGH_VOLUME' when pct > 3 and lr > 1.3 then 'RISE_ON_HIGH_VOLUME' when pct > -1 and pct < 1 and lr > 1.5 then 'STALL_ON_HIGH_VOLUME' end as divergence from mv_""", "settled")
+  case when pct > 3 and lr < 0.9 then 'RISE_ON_LOW_VOLUME' when pct < -3 and lr > 1.3 then 'FALL_ON_HIGH_VOLUME' when pct > 3 and lr > 1.3 then 'RISE_ON_HIGH_VOLUME' when pct > -1 and pct < 1 and lr > 1.5 then 'STALL_ON_HIGH_VOLUME' end as divergence from mv_""", "looks")
 def i8(spark, sf):
     return si.volume_regime(moved(spark, sf)).select("symbol", "trade_date", "lr", "pct", "volume_tier", "divergence")
 
 
 @query("i16_trend_stock", f"""
 with {_MOVED}, x_ as (select *, lag(final, 1) over o as f1, lag(final, 2) over o as f2, lag(high, 1) over o as h1, lag(high, 2) over o as h2, lag(high, 3) over o as h3 from mv_ window o as ({_O}))
-select symbol, trade_date, coalesce(final > ma5 and f1 > ma5 and f2 > ma5 and (high > h1)::int + (h1 > h2)::int + (h2 > h3)::int >= 2 and lr > 1.2, false) as is_trend from x_""", "settled")
+select symbol, trade_date, coalesce(final > ma5 and f1 > ma5 and f2 > ma5 and (high > h1)::int + (h1 > h2)::int + (h2 > h3)::int >= 2 and lr > 1.2, false) as is_trend from x_""", "looks")
 def i16(spark, sf):
     return si.trend_stock(moved(spark, sf)).select("symbol", "trade_date", "is_trend")
 
@@ -97,7 +97,7 @@ def i17(spark, sf):
     return si.index_weather(fx.index_bars(spark, sf))
 
 
-@query("i19_ma20_rule", f"with {_MOVED} select symbol, trade_date, final, ma20, lr from mv_ where final < ma20 and lr > 1.2", "settled")
+@query("i19_ma20_rule", f"with {_MOVED} select symbol, trade_date, final, ma20, lr from mv_ where final < ma20 and lr > 1.2", "looks")
 def i19(spark, sf):
     return si.ma20_breaks(moved(spark, sf)).select("symbol", "trade_date", "final", "ma20", "lr")
 
@@ -105,7 +105,7 @@ def i19(spark, sf):
 @query("i19_sector_catalyst", f"""
 with {_MOVED}, s_ as (select mv_.symbol, mv_.trade_date, mv_.pct, max_by(industry_code, effective_from) as industry_code from mv_ join membership m on m.symbol = mv_.symbol and m.effective_from <= mv_.trade_date
   and m.available_time <= cast(mv_.trade_date as timestamp) + interval 8 hour where pct > 5 group by all)
-select trade_date, industry_code, count(distinct symbol) as risers from s_ group by all having count(distinct symbol) >= 2""", "settled membership")
+select trade_date, industry_code, count(distinct symbol) as risers from s_ group by all having count(distinct symbol) >= 2""", "looks membership")
 def i19_sector(spark, sf):
     at = F.col("trade_date").cast("timestamp_ntz") + fx.hours(8)
     up = moved(spark, sf).filter("pct > 5").select("symbol", "trade_date", "pct")
