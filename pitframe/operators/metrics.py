@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import rnd
+from ..sources.scratch import stored
 
 
 def log_loss(p: Column, y: Column, eps: float = 1e-15) -> Column:
@@ -62,7 +63,7 @@ def time_slices(preds: DataFrame, time: str = "trade_date", recent_days: int = 7
 
 def quintiles(preds: DataFrame, factor: str, edges_from: DataFrame | None = None, k: int = 5) -> DataFrame:
     """With column q (1..k): how many of the interior edges (of ``edges_from``, else the rows themselves) the value reaches."""
-    e = (edges_from if edges_from is not None else preds).agg(*[F.percentile(factor, F.lit(i / k)).alias(f"e{i}") for i in range(1, k)])
+    e = exact_quantiles(edges_from if edges_from is not None else preds, factor, [i / k for i in range(1, k)])
     reached = sum((F.col(factor) >= F.col(f"e{i}")).cast("int") for i in range(1, k))
     return preds.crossJoin(F.broadcast(e)).withColumn("q", (reached + 1).cast("int")).drop(*[f"e{i}" for i in range(1, k)])
 
@@ -126,9 +127,10 @@ def align(a: DataFrame, b: DataFrame, keys: list[str], by: str = "symbol") -> Da
 def ranks(df: DataFrame, columns: list[str], ties: list[str]) -> DataFrame:
     """``df`` with r_<column> for each: its place in the order of that column, then of ``ties``.
 
-    Rows are sorted in ranges, counted by range, and numbered within their range, so no task holds a whole column."""
+    Rows are dealt by range and written with their range (so that it holds for both uses), counted by range, and numbered within it:
+    no task holds a whole column."""
     for c in columns:
-        part = df.repartitionByRange(c, *ties).sortWithinPartitions(c, *ties).withColumn("__part", F.spark_partition_id())
+        part = stored(df.repartitionByRange(c, *ties).withColumn("__part", F.spark_partition_id()), "ranges")
         nth = F.row_number().over(Window.partitionBy("__part").orderBy(c, *ties))
         counts = part.groupBy("__part").agg(F.count("*").alias("__n"))
         before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
@@ -136,6 +138,20 @@ def ranks(df: DataFrame, columns: list[str], ties: list[str]) -> DataFrame:
     return df
 
 
+def exact_quantiles(df: DataFrame, column: str, at: list[float], prefix: str = "e") -> DataFrame:
+    """One row of linear quantiles e1, e2, ... of a whole column, from the two ranks beside each, without gathering the column."""
+    x = ranks(df.select(column).filter(F.col(column).isNotNull()), [column], [])
+    n = F.broadcast(df.agg(F.count(column).alias("__n")))  # one row
+    x = x.crossJoin(n)
+    r, c = F.col(f"r_{column}"), F.col(column)
+    ends = []
+    for i, q in enumerate(at, 1):
+        place = (F.col("__n") - 1) * F.lit(float(q))
+        ends += [F.max(F.when(r == F.floor(place) + 1, c)).alias(f"__a{i}"), F.max(F.when(r == F.least(F.floor(place) + 2, F.col("__n")), c)).alias(f"__b{i}"), F.max(place - F.floor(place)).alias(f"__f{i}")]
+    g = x.agg(*ends)
+    return g.select(*[(F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * F.col(f"__f{i}")).alias(f"{prefix}{i}") for i in range(1, len(at) + 1)])
+
+
 def redundancy(df: DataFrame, factors: list[str], ties: list[str], close: float = 0.85) -> DataFrame:
     """Pearson and Spearman correlation of every pair of factors, and whether the pair falls into one cluster."""
     pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]

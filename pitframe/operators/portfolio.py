@@ -65,3 +65,16 @@ def turnover(selected: DataFrame, day: str = "trade_date", member: str = "symbol
     prev = size.select((F.col("i") + 1).alias("i"), F.col("n").alias("before"))
     y = size.join(prev, "i").join(stay, "i", "left").fillna(0, ["stay"])
     return y.agg(rnd(F.coalesce(F.sum(F.col("n") + F.col("before") - 2 * F.col("stay")) / F.sum(F.greatest("n", F.lit(1))), F.lit(0.0))).alias("turnover"))
+
+
+def append_outcomes(store: DataFrame, batch: DataFrame) -> DataFrame:
+    """``batch`` (record_id, run_id, symbol) with outcome created or already_exists, against the store and the batch's own earlier rows.
+
+    A row's identity is its run and record, or record and symbol where it has no run; the store knows its rows by both."""
+    by_run = F.concat_ws(":", "run_id", F.col("record_id").cast("string"))
+    plain = F.concat_ws("|", F.col("record_id").cast("string"), "symbol")
+    known = store.select(by_run.alias("key")).unionByName(store.select(plain.alias("key"))).distinct().withColumn("known", F.lit(True))
+    x = batch.withColumn("key", F.when(F.col("run_id").isNotNull(), by_run).otherwise(plain))
+    x = x.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("symbol"))).join(known, "key", "left")
+    seen = (F.col("nth") > 1) | F.coalesce("known", F.lit(False))
+    return x.select(*batch.columns, F.when(seen, "already_exists").otherwise("created").alias("outcome"))

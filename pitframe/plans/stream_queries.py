@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import fixtures as fx
 from ..fixtures import rnd
 from ..streaming import jobs
 from .registry import query
@@ -28,3 +29,41 @@ def s4(spark, sf):
 def s1(spark, sf):
     t = jobs.tick_stream(spark, sf).select("symbol", "side", F.col("hands").cast("string").alias("hash"))
     return jobs.ingest_stream(t, ["symbol", "side"], "hash", "ingest").select("symbol", "side", "hash", "outcome")
+
+
+@query("s5_stream_late_revisions", "select symbol, trade_date, revision, date_diff('hour', cast(trade_date as timestamp) + interval 8 hour, available_time) as hours from late_bars where available_time > cast(trade_date as timestamp) + interval 8 hour and symbol in (select symbol from membership)", "late_bars membership")
+def s5(spark, sf):
+    stream = jobs.table_stream(fx.late_bars(spark, sf), "bars-feed", 4, "available_time")
+    late = jobs.late_revisions(stream, fx.membership(spark, sf)).select("symbol", "trade_date", "revision", "hours")
+    return jobs.latest(late, ["symbol", "trade_date", "revision"], "late", "append")
+
+
+@query("s6_stream_ledger", "select record_id, any_value(symbol) as symbol from recommendations group by record_id", "recommendations")
+def s6(spark, sf):
+    """Every third record arrives twice, and the copies in other batches."""
+    r = fx.recommendations(spark, sf).select("record_id", "symbol", "decision_time")
+    again = r.filter("record_id % 3 = 0").withColumn("decision_time", F.col("decision_time") + fx.hours(24 * 400))
+    return jobs.append_stream(jobs.table_stream(r.unionByName(again), "ledger-feed", 4, "decision_time"), ["record_id"], "ledger").select("record_id", "symbol")
+
+
+@query("s7_stream_action_alerts", """
+with o as (select symbol, row_number() over (order by decision_time, record_id) as seq, action from recommendations), l as (select *, lag(action) over (partition by symbol order by seq) as previous from o)
+select symbol, seq, action, previous, sum((previous is null or previous <> action)::int) over (partition by symbol order by seq)::bigint as changes from l qualify previous is null or previous <> action""", "recommendations")
+def s7(spark, sf):
+    from pyspark.sql import Window
+
+    r = fx.recommendations(spark, sf)
+    seq = F.row_number().over(Window.orderBy("decision_time", "record_id"))  # the feed's own order, which a ledger has as a column
+    return jobs.action_alerts(jobs.table_stream(r.select("symbol", seq.cast("long").alias("seq"), "action"), "action-feed", 4, "seq"), "alerts")
+
+
+@query("s4_stream_breadth", """
+with t as (select symbol, ts, price, lag(price) over (partition by symbol order by ts, event_id) as prev from ticks), m as (select ts, (price / prev - 1) * 100 as pct from t where prev > 0), b as (select unnest([time_bucket(interval 30 minute, ts), time_bucket(interval 30 minute, ts) - interval 30 minute]) as start, pct from m)
+select start, count(*) filter (pct >= 0) as up, count(*) filter (pct < 0) as down, count(*) filter (pct >= 9.8) as limit_up, count(*) filter (pct <= -9.8) as limit_down, count(*) as n from b group by start""", "ticks")
+def s4_breadth(spark, sf):
+    """Moves arrive with the price before them, as quotes do; the window slides by half an hour."""
+    from pyspark.sql import Window
+
+    t = fx.ticks(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("prev", F.lag("price").over(Window.partitionBy("symbol").orderBy("ts", "event_id")))
+    quotes = t.filter("prev > 0").select("ts", ((F.col("price") / F.col("prev") - 1) * 100).alias("pct"))
+    return jobs.latest(jobs.breadth(jobs.table_stream(quotes, "quote-feed", 4, "ts")), ["start"], "breadth").withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -6,11 +6,14 @@ replayed batch overwrites itself; ``latest`` reads the newest row of each key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.infoquality import ingest
-from ..sources.scratch import new_path
+from ..sources.scratch import new_path, stored
+
+
+KEY_BUCKETS = 64
 
 
 def tick_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
@@ -41,26 +44,98 @@ def side_counts(ticks: DataFrame, late: str = "60 days") -> DataFrame:
     return g.agg(F.count_if(F.col("side") == "B").alias("buys"), F.count_if(F.col("side") == "S").alias("sells"), F.count("*").alias("n")).select(F.col("w.start").alias("start"), "buys", "sells", "n")
 
 
-def latest(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
+def breadth(quotes: DataFrame, late: str = "60 days") -> DataFrame:
+    """Advancers, decliners and limit moves of quotes (ts, pct) in sliding hours, each half hour."""
+    n = lambda c: F.count_if(c)
+    p = F.col("pct")
+    g = quotes.withWatermark("ts", late).groupBy(F.window("ts", "1 hour", "30 minutes").alias("w"))
+    return g.agg(n(p >= 0).alias("up"), n(p < 0).alias("down"), n(p >= 9.8).alias("limit_up"), n(p <= -9.8).alias("limit_down"), F.count("*").alias("n")).select(F.col("w.start").alias("start"), "up", "down", "limit_up", "limit_down", "n")
+
+
+def latest(stream: DataFrame, keys: list[str], name: str, mode: str = "update") -> DataFrame:
     """Run the stream over what is there now and return the newest row of each key."""
     spark = stream.sparkSession
     out, state = new_path(spark, name), new_path(spark, f"{name}-state")
     write = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch_no={n}")
-    stream.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     rest = [c for c in stream.columns if c not in keys]
     rows = spark.read.parquet(out).drop("batch_no")
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
 def ingest_stream(stream: DataFrame, key: list[str], hash_col: str, name: str) -> DataFrame:
-    """Each micro-batch against the store so far: outcomes of every attempt are returned, accepted rows form the store."""
+    """Each micro-batch against the store so far: outcomes of every attempt are returned, accepted rows form the store.
+
+    Accepted keys lie apart from the outcomes, by bucket of the key, and a batch reads only the buckets that it touches. A
+    replayed batch overwrites what it wrote, and never reads it."""
+    spark = stream.sparkSession
+    out, keys, state = new_path(spark, name), new_path(spark, f"{name}-keys"), new_path(spark, f"{name}-state")
+    schema = stream.select(*key, hash_col).schema.add("bucket", "integer").add("batch_no", "integer")
+
+    def step(batch: DataFrame, n: int) -> None:
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(KEY_BUCKETS)).cast("int"))
+        touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # KEY_BUCKETS at most
+        store = spark.read.schema(schema).parquet(keys).filter(F.col("bucket").isin(touched) & (F.col("batch_no") < n)) if n else spark.createDataFrame([], schema)
+        done = ingest(store.select(*key, hash_col), batch, key, hash_col, hash_col)
+        done.drop("bucket").write.mode("overwrite").parquet(f"{out}/batch_no={n}")
+        fresh = spark.read.parquet(f"{out}/batch_no={n}").filter("outcome = 'ACCEPTED'").select(*key, hash_col).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(KEY_BUCKETS)).cast("int")).withColumn("batch_no", F.lit(n))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_no", "bucket").parquet(keys)
+
+    stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return spark.read.parquet(out).drop("batch_no")
+
+
+def late_revisions(stream: DataFrame, members: DataFrame) -> DataFrame:
+    """Bars of the members (a static side) whose availability lies after their own day's decision, with the delay in hours."""
+    decision = F.col("trade_date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(8))
+    late = stream.filter(F.col("available_time") > decision).withColumn("hours", F.timestamp_diff("HOUR", decision, F.col("available_time")))
+    return late.join(members.select("symbol").distinct(), "symbol", "left_semi")
+
+
+def append_stream(stream: DataFrame, key: list[str], name: str) -> DataFrame:
+    """A ledger that takes each key once: micro-batches append what is not there yet; a replayed batch writes the same rows again in its place."""
     spark = stream.sparkSession
     out, state = new_path(spark, name), new_path(spark, f"{name}-state")
 
     def step(batch: DataFrame, n: int) -> None:
-        done = [f"{out}/batch_no={i}" for i in range(n)]
-        store = spark.read.parquet(*done).filter("outcome = 'ACCEPTED'") if n else batch.limit(0).select(*key, hash_col)
-        ingest(store.select(*key, hash_col), batch, key, hash_col, hash_col).write.mode("overwrite").parquet(f"{out}/batch_no={n}")
+        new = batch.dropDuplicates(key)
+        if n:
+            done = spark.read.parquet(out).filter(F.col("batch_no") < n).select(*key)
+            new = new.join(done, key, "left_anti")
+        new.write.mode("overwrite").parquet(f"{out}/batch_no={n}")
 
     stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
     return spark.read.parquet(out).drop("batch_no")
+
+
+def action_alerts(stream: DataFrame, name: str) -> DataFrame:
+    """Rows (symbol, seq, action) whose action differs from the symbol's last one, with that and how often it has changed.
+
+    State is one row a symbol (last seq, action, changes), kept as a table: a batch joins the state of the batch before and writes its own,
+    so a replayed batch does the same again. Rows of a batch are taken in the order of seq."""
+    spark = stream.sparkSession
+    out, state, check = (new_path(spark, f"{name}{x}") for x in ("", "-last", "-state"))
+    last_schema = "symbol string, last_action string, changes long"
+
+    def step(batch: DataFrame, n: int) -> None:
+        before = spark.read.schema(last_schema).parquet(f"{state}/{n - 1}") if n else spark.createDataFrame([], last_schema)
+        w = Window.partitionBy("symbol").orderBy("seq")
+        x = batch.join(before, "symbol", "left").withColumn("previous", F.coalesce(F.lag("action").over(w), "last_action"))
+        moved = F.col("previous").isNull() | (F.col("previous") != F.col("action"))
+        x = x.withColumn("moved", moved).withColumn("changes", F.coalesce("changes", F.lit(0)) + F.sum(F.col("moved").cast("long")).over(w))
+        x.filter("moved").select("symbol", "seq", "action", "previous", "changes").write.mode("overwrite").parquet(f"{out}/batch_no={n}")
+        now = x.groupBy("symbol").agg(F.max_by("action", "seq").alias("last_action"), F.max("changes").alias("changes"))
+        kept = before.join(now.select("symbol"), "symbol", "left_anti").unionByName(now)
+        kept.write.mode("overwrite").parquet(f"{state}/{n}")
+
+    stream.writeStream.option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return spark.read.parquet(out).drop("batch_no")
+
+
+def table_stream(df: DataFrame, name: str, files: int, order: str) -> DataFrame:
+    """A table as a stream of ``files`` files, one a micro-batch, written one after another by ranges of ``order``: for replays of history."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    dealt = stored(df.repartitionByRange(files, order).withColumn("__file", F.spark_partition_id()), f"{name}-ranges")
+    for k in range(files):  # a file's time is its place in the stream
+        dealt.filter(F.col("__file") == k).drop("__file").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
