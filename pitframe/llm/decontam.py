@@ -2,11 +2,11 @@
 
 Words are runs of letters, digits and underscores, lower-cased. The index holds, for each word, the BM25 impacts of
 the items that have it, divided by the score of the item against itself, so that 1 means a passage with all words of an item.
-Items stand in blocks, and each word keeps its largest impact in each block. Every document is cut into
-overlapping passages, long enough that an item lies whole in one. Of a passage's words in order of their largest impacts, those
-that cannot reach ``threshold`` together are no reason to look at a block. So only blocks that hold one of the others are
-looked at: first with the impacts of those in the block and the largest ones of the rest, then with all words' block maxima.
-Blocks that still reach the threshold are opened, and every item at or above it is retrieved; all others are skipped.
+Items stand in blocks, and each word keeps its largest impact in each block, in groups of blocks, and over all. Every document is
+cut into overlapping passages, long enough that an item lies whole in one. A passage whose words' largest impacts together stay below
+``threshold`` is skipped; of the others, the groups of blocks whose bound (the sum of the words' largest impacts there, taken for many
+passages at once) stays below it, and of the rest the blocks. Only blocks whose own bound reaches it are opened, and every item
+at or above the threshold is retrieved.
 A retrieved item counts as leaked if its question and its answer are both there
 around any of the passages it was retrieved for: at least ``overlap`` of the word trigrams of each occur there. Question and answer are the parts before and
 after the last question mark or line break, or the first two thirds and the rest of the words.
@@ -41,6 +41,7 @@ ship(__name__)
 
 _WORD = re.compile(r"\w+")
 K1, B, BLOCK_ITEMS, STEP, PASSAGES = 1.2, 0.75, 4, 150_000, 512
+GROUPS, GROUP_CELLS = 128, 1 << 24
 _SCHEMA = "id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
@@ -98,9 +99,10 @@ class Index:
         self.keys, first = np.unique(word * self.blocks + self.item // BLOCK_ITEMS, return_index=True)  # a word in a block
         self.first = np.r_[first, len(entries)]
         self.bound = np.maximum.reduceat(self.impact, first) if len(entries) else np.zeros(0)
-        self.of_word = np.searchsorted(self.keys, np.arange(len(df) + 2) * self.blocks)  # where a word's blocks stand; none for the last
-        self.most = np.zeros(len(df) + 1)
-        np.maximum.at(self.most, word, self.impact)
+        self.per_group = -(-self.blocks // max(1, min(GROUPS, GROUP_CELLS // (len(df) + 1))))  # blocks in a group
+        self.groups = np.zeros((len(df) + 1, -(-self.blocks // self.per_group)), np.float32)
+        np.maximum.at(self.groups, (word, self.item // BLOCK_ITEMS // self.per_group), self.impact.astype(np.float32))
+        self.most = self.groups.max(axis=1)
 
     @cached_property
     def qa(self) -> dict[int, tuple[set, set]]:
@@ -118,26 +120,21 @@ class Index:
         return at, (self.keys[at] == key) & (ws < len(self.place))
 
     def candidates(self, passages: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, block) whose bounds reach the threshold; a row is a passage of distinct word places, or the number of words for none."""
-        least = threshold - 1e-9
-        most = self.most[passages]
-        order = np.argsort(most, axis=1, kind="stable")
-        ws, most = np.take_along_axis(passages, order, 1), np.take_along_axis(most, order, 1)
-        reached = np.cumsum(most, axis=1)
-        asks = reached >= least
-        rest = np.where(asks, 0, most).sum(axis=1)
-        p, w = np.nonzero(asks & (ws < len(self.place)))
-        w = ws[p, w]
-        count = self.of_word[w + 1] - self.of_word[w]
-        at = np.repeat(self.of_word[w] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()) if len(w) else np.zeros(0, np.int64)
-        key, back = np.unique(np.repeat(p, count) * self.blocks + self.keys[at] % self.blocks, return_inverse=True)
-        p, block = key // self.blocks, key % self.blocks
-        near = np.bincount(back, self.bound[at], len(key)) + rest[p] >= least
-        p, block = p[near], block[near]
-        if not len(p):
-            return p, block
-        at, held = self.at(passages[p], block[:, None])
-        fit = np.where(held, self.bound[at], 0).sum(axis=1) >= least
+        """(passage, block) whose bounds reach the threshold; a row is a passage of distinct word places, rising, the number of words for none."""
+        least = threshold - 1e-4  # groups are single precision
+        passages = passages[:, : int((passages < len(self.place)).sum(axis=1).max(initial=0))]
+        rows = np.flatnonzero(self.most[passages].sum(axis=1) >= least)
+        p, group = np.nonzero(self.groups[passages[rows]].sum(axis=1) >= least)
+        p = rows[p]
+        if self.per_group == 1 or not len(p):
+            return p, group
+        block = (group[:, None] * self.per_group + np.arange(self.per_group)).ravel()
+        p = np.repeat(p, self.per_group)[block < self.blocks]
+        block = block[block < self.blocks]
+        fit = np.zeros(len(p), bool)
+        for i in range(0, len(p), 4096):
+            at, held = self.at(passages[p[i : i + 4096]], block[i : i + 4096, None])
+            fit[i : i + 4096] = np.where(held, self.bound[at], 0).sum(axis=1) >= least
         return p[fit], block[fit]
 
     def opened(self, passage: np.ndarray, block: int, threshold: float) -> list[tuple[int, float]]:
@@ -173,7 +170,7 @@ def _search(shared, threshold: float, overlap: float):
                 rows = np.where(places < ends[i : i + PASSAGES, None], ids[np.minimum(places, len(ids) - 1)], none)
                 rows.sort(axis=1)
                 rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = none
-                rows.sort(axis=1)
+                rows.sort(axis=1)  # none last
                 for k, block in zip(*(x.tolist() for x in index.candidates(rows, threshold))):
                     for item, score in index.opened(rows[k], block, threshold):
                         retrieved[int(owner[i + k]), item].append((-score, int(starts[i + k] - begin[owner[i + k]])))
