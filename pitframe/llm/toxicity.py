@@ -83,8 +83,9 @@ def train(
     if not n:
         return Chain(None, [(k, 0.0) for k in names])
     some = marks.filter(F.pmod(F.xxhash64("id"), F.lit(2**30)) < min(1.0, sample_rows / n) * 2**30)
-    texts = docs.select(col(id_col).alias("id"), tokens(col(text_col)).alias("tokens"))
-    rows = written(texts.join(F.broadcast(some), "id").withColumn("fold", F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(folds))), "labelled").cache()
+    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(some.select("id")), "id")
+    texts = texts.groupBy("id").agg(F.min("text").alias("text")).join(F.broadcast(some), "id")  # an id on several documents teaches its least text
+    rows = written(texts.withColumn("tokens", tokens(F.col("text"))).drop("text").withColumn("fold", F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(folds))), "labelled").cache()
     if not rows.count():
         return Chain(None, [(k, 0.0) for k in names])
     vectors = CountVectorizer(inputCol="tokens", outputCol="words", vocabSize=vocabulary, minDF=min(min_docs, rows.count()), binary=True).fit(rows)
