@@ -312,7 +312,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([done(before, now, None)], columns=["page_id", "url", "text", "n_shared"])
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = 32 << 20) -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = 8 << 20) -> DataFrame:
     """page_id, url, text and n_shared, the number of lines deleted because the paired page shares them, of every page."""
     url = F.coalesce(col(url_col), F.lit(""))
     p = pages.select(
