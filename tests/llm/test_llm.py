@@ -314,10 +314,12 @@ def test_decontamination_does_not_depend_on_passes(spark, sf):
     assert one == many and any(score < 0.99 for _, _, score, _, _ in one)
 
 
-def test_blocks_are_skipped_and_lose_nothing(spark, sf):
+@pytest.mark.parametrize("groups", [128, 3])
+def test_blocks_are_skipped_and_lose_nothing(spark, sf, groups, monkeypatch):
+    monkeypatch.setattr(decontam, "GROUPS", groups)
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    index, few = decontam.Index(sorted(bench)), 0
     texts = [t for _, t in bench] + [" ".join(decontam.words(t)[::2]) for _, t in bench]
+    index, few = decontam.Index(sorted(bench)), 0
     rows = [sorted({index.place.get(w, len(index.place)) for w in decontam.words(t)}) for t in texts]
     rows = np.array([ws + [len(index.place)] * (max(map(len, rows)) - len(ws)) for ws in rows])
     found = set(zip(*(x.tolist() for x in index.candidates(rows, 0.6))))
@@ -352,3 +354,141 @@ def test_pipeline(spark, sf):
             assert out.columns == docs.columns and out.count() == len(kept)
         docs = out
     assert max(Counter(r[0] for r in docs.select("doc_id").collect()).values()) <= 2
+
+
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(9)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(1, 90)] + [(7, 7)]
+    label = {i: i for e in edges for i in e if e[0] != e[1]}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a != b and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    assert {r["id"]: r["component"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()} == label
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_near_duplicates_of_chained_clusters(spark, percent):
+    """Groups of near copies with very different numbers of edits, chained by a shared passage, repeated rows and ids on several texts."""
+    rng = np.random.default_rng(4)
+    shared = [f"s{i}" for i in range(40)]
+    docs, n = [], 0
+    for c in range(4):
+        base = [f"c{c}w{i}" for i in range(60)] + shared
+        for _ in range(30):
+            words = [w if rng.random() > rng.choice([0.01, 0.04, 0.12]) else f"v{rng.integers(60)}" for w in base]
+            docs.append((n, " ".join(words)))
+            n += 1
+    docs += docs[:3] + [(500, docs[0][1]), (501, docs[40][1]), (501, docs[70][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in neardup.near_duplicates(df, shingle=2, percent=percent).collect()}
+    sets = [(i, shingles(t, 2)) for i, t in docs]
+    label = {i: i for i, _ in sets}
+    links = [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[:k] if len(x & y) * 100 >= percent * len(x | y)]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    found = {i: {j for j in got if got[j] == got[i]} for i in got}
+    want = {i: {j for j in label if label[j] == label[i]} for i in label}
+    if percent == 80:
+        assert found == want
+    assert all(found[i] <= want[i] for i in got)
+
+
+def test_langid_equals_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs.filter("doc_id % 4 <> 2"), words=300, grams=200)
+    odd = spark.createDataFrame([(-1, "\u00bd \u00b2 \u2167", None), (-2, "x\u00b2y", None), (-3, "zq" * 40_000, None), (-4, "the " * 120_000, None)], "doc_id long, text string, lang string")
+    got = {r["row"]["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs.unionByName(odd), model).collect()}
+    for r in docs.unionByName(odd).collect():
+        words = "".join(c if c.isalpha() else " " for c in (r["text"] or "").lower()).split()
+        total = np.zeros(len(model.langs))
+        for w in words:
+            if w in model.words:
+                total += model.words[w]
+                continue
+            padded = f"\u0002{w}\u0003"
+            for depth, k in enumerate((4, 3, 2, 1), 1):
+                hits = [model.grams[k][padded[i : i + k]] for i in range(len(padded) - k + 1) if padded[i : i + k] in model.grams[k]]
+                if hits:
+                    total += 0.4**depth * np.mean(hits, axis=0, dtype=float)
+                    break
+        lang, score = got[r["doc_id"]]
+        if not words:
+            assert (lang, score) == ("und", 0.0)
+        else:
+            p = np.exp(total - total.max())
+            assert abs(score - p.max() / p.sum()) < 1e-6 and (lang == model.langs[int(total.argmax())] or np.sort(total)[-1] - np.sort(total)[-2] < 1e-6)
+    assert got[-1] == ("und", 0.0)
+
+
+def test_langid_copies_do_not_fill_the_sample(spark):
+    rows = [("same words here", "en")] * 500 + [(f"wort{i} zahl{i}", "en") for i in range(40)] + [(f"mot{i} nombre", "fr") for i in range(40)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert np.ptp(model.words["same"]) < np.ptp(model.words["nombre"])
+
+
+SECRETS = {"assign": (r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 6), "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24)}
+
+
+def test_secrets_base_spans_of_the_table(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace("0.001", "0.01")}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    n = 0
+    for r in secrets.scan(docs).collect():
+        want = []
+        for place, (kind, (pattern, ok)) in enumerate(SECRETS.items()):
+            want += [(m.start(), place, kind, m.end()) for m in re.finditer(pattern, texts[r["row"]["doc_id"]], re.A | (re.I if kind == "assign" else 0)) if ok(m)]
+        got = [(x["start"], x["kind"], x["end"]) for x in r["spans"] if x["kind"] != "random"]
+        assert got == [(s, k, e) for s, _, k, e in sorted(want)]
+        n += len(got)
+    assert n
+
+
+def test_toxicity_chain_equals_brute_force(spark):
+    """The chain's scores from its own weights, by hand: the later model reads the earlier probability."""
+    rows = [(i, f"plain words number {i % 17} here" + (" idiot scum" if i % 4 == 0 else "") + (" blah blah" if i % 5 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows + [(7, "second text of an id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), int(i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels)
+    got = toxicity.predict(docs, chain).collect()
+    words = {w: k for k, w in enumerate(chain.vectors.vocabulary)}
+    held = {r["row"]["text"]: {words[t] for t in r["tokens"] if t in words} for r in docs.select(F.struct("doc_id", "text").alias("row"), toxicity.tokens(F.col("text")).alias("tokens")).collect()}
+    for r in got:
+        before = []
+        for name, model in chain.models:
+            w = model.coefficients.toArray()
+            z = model.intercept + sum(w[k] for k in held[r["row"]["text"]]) + sum(w[len(words) + j] * p for j, p in enumerate(before))
+            before.append(round(1 / (1 + np.exp(-z)), 6))
+            assert abs(r[f"p_{name}"] - before[-1]) < 2e-6
+    assert len(chain.models) == 2 and len(got) == 301
+
+
+def test_pipeline_edges(spark, sf, odd, none, tmp_path):
+    import corpus_pipeline as cp
+
+    for docs in (odd, none):
+        out = docs
+        for _, stage in cp.STAGES:
+            out = stage(spark, out, sf)
+        ids = {r["doc_id"] for r in out.select("doc_id").collect()}
+        assert ids <= {1, 2, 3, 4, 5, None} and out.columns == docs.columns
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, str(tmp_path)).columns == list(cp.COLUMNS)
+
+
+def test_decontamination_of_two_passages_and_odd_names(spark):
+    item = "Which stone bridge crosses the silver river near the mill? The old one with seven arches stands there"
+    filler = " ".join(f"pad{i}" for i in range(300))
+    docs = spark.createDataFrame([(1, f"{item} {filler} {item}", "x", "y"), (None, item, "x", "y"), (2, filler * 30, "x", "y")], "doc_id long, text string, id string, score string")
+    bench = spark.createDataFrame([(7, item, "z"), (8, item, "z"), (None, item, "z"), (9, None, "z")], "item_id long, text string, i string")
+    assert sorted(map(str, ((r["id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()))) == sorted(map(str, [(1, 7), (1, 8), (None, 7), (None, 8)]))
