@@ -3,7 +3,7 @@
 A decision at 16:00+08:00 of a trading day sees, for every earlier or equal day, the highest revision available by then. On
 most symbols every revision of a day is available by the symbol's next decision; there the history at a decision is the
 settled closes of the days before and the first look at the day itself, which plain windows give. Symbols with later
-revisions take an exact range join instead; both give the same arrays of history, and the factors are written once on arrays.
+revisions take windows of revision arrays instead; both give the same history, and the factors of those are written on arrays.
 """
 
 from __future__ import annotations
@@ -39,17 +39,26 @@ def _days(bars: DataFrame) -> DataFrame:
     return d.withColumn("late_symbol", F.max(late).over(Window.partitionBy("symbol")))
 
 
-def histories(bars: DataFrame, lookback: int = LOOKBACK, late: DataFrame | None = None) -> DataFrame:
+def histories(bars: DataFrame, lookback: int = LOOKBACK, late: DataFrame | None = None, slack: int = LOOKBACK) -> DataFrame:
     """symbol, trade_date, close, and h: the last lookback + 1 usable days at the decision, oldest first (close, high, low, volume), own day last.
 
-    By the range join, for the symbols of ``late`` (all by default)."""
-    d = _days(bars)
-    own = (d if late is None else d.join(late, "symbol", "left_semi")).select("symbol", "decision_time", "trade_date")
-    seen = asof_bars(own.select("symbol", "decision_time"), bars.join(own.select("symbol").distinct(), "symbol", "left_semi").filter("close > 0"))
-    each = seen.groupBy("symbol", "decision_time").agg(F.array_sort(F.collect_list(F.struct("trade_date", "close", "high", "low", "volume"))).alias("h"))
-    each = each.join(own, ["symbol", "decision_time"]).withColumn("own", F.element_at("h", -1)).filter(F.col("own.trade_date") == F.col("trade_date"))
+    For the symbols of ``late`` (all by default). The revisions of a day are a short array; those of the last lookback + ``slack`` own days
+    meet at each decision in a window, and what was available then is picked there. So up to ``slack`` unusable days among them are made up for."""
+    rev = F.struct("revision", "available_time", "close", "high", "low", "volume")
+    d = (bars if late is None else bars.join(late, "symbol", "left_semi")).filter("close > 0").groupBy("symbol", "trade_date").agg(F.sort_array(F.collect_list(rev)).alias("revs"))
+    w = Window.partitionBy("symbol").orderBy("trade_date").rowsBetween(-lookback - slack, 0)
+    d = d.withColumn("dt", F.col("trade_date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(8))).withColumn("last", F.collect_list(F.struct("trade_date", "revs")).over(w))
+    dt = F.col("dt")
+
+    def look(x: Column) -> Column:
+        seen = F.filter(x["revs"], lambda r: r["available_time"] <= dt)
+        r = F.get(seen, F.size(seen) - 1)
+        return F.struct(x["trade_date"].alias("day"), *[r[c].alias(c) for c in ("close", "high", "low", "volume")])
+
+    d = d.withColumn("h", F.filter(F.transform("last", look), lambda x: x["close"].isNotNull())).filter(F.element_at("h", -1)["day"] == F.col("trade_date"))
     tail = F.slice("h", F.greatest(F.size("h") - lookback, F.lit(1)), F.lit(lookback + 1))
-    return each.select("symbol", "trade_date", F.col("own.close").alias("close"), F.transform(tail, lambda x: F.struct(x["close"].alias("close"), x["high"].alias("high"), x["low"].alias("low"), x["volume"].alias("volume"))).alias("h"))
+    fields = ("close", "high", "low", "volume")
+    return d.select("symbol", "trade_date", F.element_at("h", -1)["close"].alias("close"), F.transform(tail, lambda x: F.struct(*[x[c].alias(c) for c in fields])).alias("h"))
 
 
 def _windowed(plain: DataFrame, n: int) -> tuple[DataFrame, dict[str, Column]]:

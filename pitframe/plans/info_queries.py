@@ -222,7 +222,7 @@ def _judged(spark, sf):
 @query("g3_outcome_stats", f"with x as (select horizon, actual_return, {_SIGNED} as s from outcomes join recommendations using (record_id)) select horizon, count(*) as samples, count(*) filter (s > 0) as correct, count(*) filter (s < 0) as incorrect, count(*) filter (s = 0) as unresolved, rnd(count(*) filter (s > 0)::double / count(*) filter (s <> 0), 9) as hit_rate, rnd(avg(actual_return), 9) as mean_return from x group by horizon", "recommendations outcomes")
 def g3(spark, sf):
     s = F.col("signed")
-    return _judged(spark, sf).groupBy("horizon").agg(F.count("*").alias("samples"), F.count_if(s > 0).alias("correct"), F.count_if(s < 0).alias("incorrect"), F.count_if(s == 0).alias("unresolved"), rnd(F.count_if(s > 0) / F.count_if(s != 0)).alias("hit_rate"), rnd(F.avg("actual_return")).alias("mean_return"))
+    return _judged(spark, sf).groupBy("horizon").agg(F.count("*").alias("samples"), F.count_if(s > 0).alias("correct"), F.count_if(s < 0).alias("incorrect"), F.count_if(s == 0).alias("unresolved"), rnd(F.try_divide(F.count_if(s > 0), F.count_if(s != 0))).alias("hit_rate"), rnd(F.avg("actual_return")).alias("mean_return"))
 
 
 @query("g5_review_outcome", f"select record_id, horizon, case when {_SIGNED} > 0 then 'CORRECT' when {_SIGNED} < 0 then 'INCORRECT' else 'UNRESOLVED' end as outcome from outcomes join recommendations using (record_id)", "recommendations outcomes")
@@ -263,7 +263,7 @@ def g8(spark, sf):
 @query("i1_vwap", "select symbol, cast(ts as date) as day, rnd(sum(price * hands) / sum(hands), 6) as vwap, sum(hands)::bigint as volume, coalesce(sum(hands) filter (side = 'B'), 0)::bigint as buy, coalesce(sum(hands) filter (side = 'S'), 0)::bigint as sell from ticks group by all", "ticks")
 def i1(spark, sf):
     side = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("hands"))), F.lit(0)).cast("long")
-    return fx.ticks(spark, sf).groupBy("symbol", F.to_date("ts").alias("day")).agg(rnd(F.sum(F.col("price") * F.col("hands")) / F.sum("hands"), 6).alias("vwap"), F.sum("hands").cast("long").alias("volume"), side("B").alias("buy"), side("S").alias("sell"))
+    return fx.ticks(spark, sf).groupBy("symbol", F.to_date("ts").alias("day")).agg(rnd(F.try_divide(F.sum(F.col("price") * F.col("hands")), F.sum("hands")), 6).alias("vwap"), F.sum("hands").cast("long").alias("volume"), side("B").alias("buy"), side("S").alias("sell"))
 
 
 @query("i2_minute_bars", "select symbol, time_bucket(interval 30 minute, ts) as start, arg_min(price, (ts, event_id)) as \"open\", max(price) as high, min(price) as low, arg_max(price, (ts, event_id)) as \"close\", sum(hands)::bigint as volume from ticks group by all", "ticks")
@@ -309,4 +309,4 @@ def f18(spark, sf):
     w = Window.partitionBy("symbol").orderBy("trade_date")
     r = lambda n: w.rowsBetween(-n + 1, 0)
     prev = F.lag("final").over(w)
-    return f.select("symbol", "trade_date", rnd(F.avg("final").over(r(5)), 6).alias("ma5"), rnd(F.avg("final").over(r(20)), 6).alias("ma20"), rnd(F.col("volume") / F.avg("volume").over(r(20)), 6).alias("lr"), F.max("final").over(r(20)).alias("high20"), F.min("final").over(r(20)).alias("low20"), prev.alias("prev_close"), rnd((F.col("final") / prev - 1) * 100, 6).alias("pct"))
+    return f.select("symbol", "trade_date", rnd(F.avg("final").over(r(5)), 6).alias("ma5"), rnd(F.avg("final").over(r(20)), 6).alias("ma20"), rnd(F.try_divide(F.col("volume"), F.avg("volume").over(r(20))), 6).alias("lr"), F.max("final").over(r(20)).alias("high20"), F.min("final").over(r(20)).alias("low20"), prev.alias("prev_close"), rnd((F.col("final") / prev - 1) * 100, 6).alias("pct"))
