@@ -22,6 +22,20 @@ def provenance_issues() -> Column:
     ))
 
 
+def record_decision(info: DataFrame, decision: Column, freshness: Column) -> DataFrame:
+    """``info`` with reasons and decision: UNRESOLVED without availability, REJECTED without a confirmed origin, a warning for any other reason."""
+    av, event = F.col("available_time"), F.col("event_time")
+    origin = F.transform(provenance_issues(), lambda x: F.concat(F.lit("PROVENANCE_"), F.upper(x)))
+    rest = F.array_compact(F.array(
+        F.when(av.isNull() | (F.col("quality_status") == "UNRESOLVED"), "AVAILABLE_TIME_UNRESOLVED"), F.when(av.isNull(), "AVAILABLE_TIME_MISSING"), F.when((av > decision) | (av < event), "PIT_REJECTED"),
+        F.when(av < event, "AVAILABLE_BEFORE_EVENT"), F.when(F.col("ingested_at") < av, "INGESTED_BEFORE_AVAILABLE"),
+        F.when(freshness == "stale", "SOURCE_STALE").when(freshness == "unknown", "FRESHNESS_UNKNOWN").when(freshness == "missing_policy", "FRESHNESS_MISSING_POLICY"),
+    ))
+    x = info.withColumn("__origin", origin).withColumn("reasons", F.concat("__origin", rest))
+    out = F.when(av.isNull() | (F.col("quality_status") == "UNRESOLVED"), "UNRESOLVED").when(F.size("__origin") > 0, "REJECTED").when(F.size("reasons") > 0, "ADMISSIBLE_WITH_WARNING").otherwise("ADMISSIBLE")
+    return x.withColumn("decision", out).drop("__origin")
+
+
 def source_health(m: DataFrame) -> DataFrame:
     """``m`` (attempted, accepted, rejected, duplicates, mutations, errors, fresh, stale, coverage) with health and reasons.
 

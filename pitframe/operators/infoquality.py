@@ -39,19 +39,35 @@ def ingest(store: DataFrame, batch: DataFrame, key: list[str], hash_col: str, or
     return x.withColumn("outcome", out).drop("first", "nth", "known", "against")
 
 
-def conflict_groups(info: DataFrame) -> DataFrame:
-    """Entities and events with two or more sources and two or more values."""
-    g = info.groupBy("entity_id", "entity_type", "event_time").agg(F.count_distinct("source").alias("sources"), F.count_distinct("value").alias("values"))
+def smallest_text(info: DataFrame) -> DataFrame:
+    """One row for each (source, source_id, revision): that of the smallest text in ``canonical``."""
+    w = Window.partitionBy(*LINEAGE, "revision").orderBy("canonical")
+    return info.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+
+
+def conflict_groups(info: DataFrame, keys: tuple[str, ...] = ("entity_id", "entity_type", "event_time")) -> DataFrame:
+    """Entities and events (and units, where ``keys`` names them; null is a unit too) with two or more sources and two or more values."""
+    g = info.groupBy(*keys).agg(F.count_distinct("source").alias("sources"), F.count_distinct("value").alias("values"))
     return g.filter("sources > 1 and values > 1")
 
 
-def reconcile(info: DataFrame, absolute: float, relative: float) -> DataFrame:
+def reconcile(info: DataFrame, absolute: float, relative: float, keys: tuple[str, ...] = ("entity_id", "event_time")) -> DataFrame:
     """CONSISTENT, CONFLICT or INSUFFICIENT_SOURCES by the range of the values against the tolerance."""
-    g = info.groupBy("entity_id", "event_time").agg(F.count_distinct("source").alias("n"), (F.max("value") - F.min("value")).alias("spread"), F.max(F.abs("value")).alias("most"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
+    g = info.groupBy(*keys).agg(F.count_distinct("source").alias("n"), (F.max("value") - F.min("value")).alias("spread"), F.max(F.abs("value")).alias("most"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
     tolerance = F.greatest(F.lit(absolute), F.lit(relative) * F.col("most"))
     return g.withColumn("status", F.when(F.col("n") < 2, "INSUFFICIENT_SOURCES").when(F.col("spread") <= tolerance, "CONSISTENT").otherwise("CONFLICT"))
 
 
+def text_stamp_issues(now: Column) -> Column:
+    """Issues of event_time, available_time and ingested_at as text: malformed, no time part, orders that cannot be, the future."""
+    t = {c: F.try_to_timestamp(F.col(c)).cast("timestamp_ntz") for c in ("event_time", "available_time", "ingested_at")}
+    said = [F.when(F.col(c).isNotNull() & (F.col(c) != "") & v.isNull(), f"{c}_malformed") for c, v in t.items()]
+    said += [F.when((F.col(c) != "") & ~F.col(c).contains("T"), f"{c}_no_time_component") for c in t]
+    said += [F.when(t["ingested_at"] < t["available_time"], "ingested_before_available"), F.when(t["available_time"] < t["event_time"], "available_before_event")]
+    said += [F.when(t[c] > now, f"{c}_in_future") for c in ("event_time", "available_time")]
+    return F.array_compact(F.array(*said))
+
+
 def timestamp_issues(event: Column, available: Column, ingested: Column, now: Column) -> Column:
     return F.array_compact(F.array(F.when(ingested < available, "INGESTED_BEFORE_AVAILABLE"), F.when(available < event, "AVAILABLE_BEFORE_EVENT"), F.when(available > now, "FUTURE")))
 
