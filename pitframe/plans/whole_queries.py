@@ -154,3 +154,11 @@ def a9(spark, sf):
 def d1(spark, sf):
     c = F.concat_ws("|", "entity_id", F.floor(F.col("value") * 100 + 0.5).cast("long").cast("string"), F.date_format("available_time", "yyyy-MM-dd HH:mm:ss"))
     return iq.smallest_text(fx.info(spark, sf).withColumn("canonical", c)).select("source", "source_id", "revision", "canonical")
+
+
+@query("l9_decorrelate")
+def l9(spark, sf):
+    """The factors that greedy decorrelation keeps, in order; a copy of one is among the candidates."""
+    d = fa.design_rows(fx.bars(spark, sf)).withColumn("copy", F.col("momentum") * 2 + 1)
+    kept = me.decorrelate(d, [*FACTORS, "copy"])
+    return spark.createDataFrame([(i, f) for i, f in enumerate(kept)], "place int, factor string")

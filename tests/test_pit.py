@@ -145,6 +145,7 @@ def test_constant_references_do_not_divide_by_zero(spark):
 
 def test_decorrelation_and_clusters(spark):
     df = spark.createDataFrame([(float(i), float(2 * i), float(i * i % 7)) for i in range(30)], "a double, b double, c double")
+    assert metrics.decorrelate(df, ["a", "b", "c"]) == ["a", "c"] and metrics.decorrelate(df, ["b", "a"]) == ["b"]
     assert [r["members"] for r in metrics.correlation_clusters(df, ["a", "b", "c"]).collect()] == [["a", "b"], ["c"]]
 
 
