@@ -4,7 +4,8 @@ A conversation's turns are dealt to windows by the prefix sums of their tokens:
 sum before it divided by half of the body budget, so that spans end at turns, and a window holds at most the body
 budget unless it is a single turn longer than half of it. Every window starts with the system turn (if the first
 turn is one) and repeats the turns of earlier windows whose tokens lie at most ``history`` before the window;
-both are context. The loss mask covers the texts of the assistant turns that are new in the window, so that over
+both are context, and come on top of the body budget: a window holds at most the body budget (or one longer turn), ``history`` tokens and
+the turn that crosses them, and the system turn. The loss mask covers the texts of the assistant turns that are new in the window, so that over
 all windows each assistant text is a target exactly once.
 
 Template: ``<|turn|>role<|text|>text<|end|>``. In roles and texts a backslash goes after the bracket of every
@@ -12,7 +13,7 @@ control string (``<|``, ``<s>``, ``</s>``, ``[INST]``, ``[/INST]``, ``<<SYS>>``,
 backslashes stand there already; taking one away again restores the text exactly.
 
 Prefix sums come in two steps, within blocks of ``BLOCK`` turn numbers and over the sums of the blocks, so that one
-very long conversation is shared out.
+very long conversation is shared out. Only ``read_back``, for checks of the output, gathers a conversation in one row.
 
 Defined results: null text and null role are empty; a null conversation id is a conversation; rows with equal turn
 numbers go by role, then text, and repeated rows stay; a null turn comes first; no rows give no windows; other columns
