@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..fixtures import rnd
 from ..operators import metrics as me
+from ..sources.scratch import stored
 from .registry import query
 
 _LL = "-case when y = 1 then ln(least(greatest(p, 1e-15), 1 - 1e-15)) else ln(1 - least(greatest(p, 1e-15), 1 - 1e-15)) end"
@@ -18,6 +19,11 @@ FACTORS = ["momentum", "volatility", "trend", "volume_ratio"]
 SPLIT = "1999-01-01"
 
 
+def predicted(spark, sf):
+    """The prediction rows as a table, for plans that read them more than once."""
+    return stored(fx.predictions(spark, sf), "predictions")
+
+
 @query("m7_metric_block", f"select variant, {BLOCK} from predictions group by variant", "predictions")
 def m7(spark, sf):
     return fx.predictions(spark, sf).groupBy("variant").agg(*me.metric_block())
@@ -55,7 +61,7 @@ _REL = "count(*) as n, rnd(avg(p), 9) as mean_p, rnd(avg(y::double), 9) as rate,
 with g as (select variant, least(floor(p * 20), 19)::int as bin, {_REL} from predictions group by all), e as (select variant, b::int as bin from (select distinct variant from predictions), range(20) r(b))
 select e.variant, e.bin, coalesce(n, 0) as n, mean_p, rate, difference, abs_error, mean_return from e left join g on e.variant = g.variant and e.bin = g.bin""", "predictions")
 def c2(spark, sf):
-    return me.reliability(fx.predictions(spark, sf), 20, "variant")
+    return me.reliability(predicted(spark, sf), 20, "variant")
 
 
 @query("c3_ece", "select variant, rnd(sum(n * e) / sum(n), 9) as ece from (select variant, least(floor(p * 20), 19) as b, count(*) as n, abs(avg(p) - avg(y)) as e from predictions group by all) group by variant", "predictions")
@@ -71,18 +77,18 @@ n_ as (select trade_date, 'all' as slice from t_ union all select trade_date, 't
 
 @query("o1_time_slices", f"with {_SLICES} select variant, slice, {BLOCK} from predictions join n_ using (trade_date) group by all", "predictions")
 def o1(spark, sf):
-    return me.time_slices(fx.predictions(spark, sf)).groupBy("variant", "slice").agg(*me.metric_block())
+    return me.time_slices(predicted(spark, sf)).groupBy("variant", "slice").agg(*me.metric_block())
 
 
 @query("c7_audit_by_slice", f"with {_SLICES} select slice, rnd(avg((p - y) * (p - y)), 9) as brier, rnd(avg(p), 9) as mean_p, rnd(avg(y), 9) as rate from predictions join n_ using (trade_date) where variant = 'baseline' group by slice", "predictions")
 def c7(spark, sf):
-    x = me.time_slices(fx.predictions(spark, sf).filter("variant = 'baseline'"))
+    x = me.time_slices(predicted(spark, sf).filter("variant = 'baseline'"))
     return x.groupBy("slice").agg(rnd(F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y")))).alias("brier"), rnd(F.avg("p")).alias("mean_p"), rnd(F.avg("y")).alias("rate"))
 
 
 @query("c8_bucket_stability", f"with {_SLICES} select slice, least(floor(p * 20), 19)::int as bin, count(*) as n, rnd(avg(p) - avg(y), 6) as difference from predictions join n_ using (trade_date) where variant = 'baseline' group by all", "predictions")
 def c8(spark, sf):
-    x = me.binned(me.time_slices(fx.predictions(spark, sf).filter("variant = 'baseline'")), 20)
+    x = me.binned(me.time_slices(predicted(spark, sf).filter("variant = 'baseline'")), 20)
     return x.groupBy("slice", "bin").agg(F.count("*").alias("n"), rnd(F.avg("p") - F.avg("y"), 6).alias("difference"))
 
 
