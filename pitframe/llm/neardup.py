@@ -173,21 +173,32 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def family_links(sets: DataFrame, hubs: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between nodes that give the components of all links within each family.
+def hub_differences(sets: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """(family, hub, node, diff, excess, apart, least) for each node: the elements that one of it and its family's hub lacks.
 
-    ``sets`` has node, family and s; ``hubs`` the family and its hub; ``buckets`` the node, key and weight of nodes with company.
-    With n elements and a difference of d from the hub, let excess be (100 + percent) * d - (100 - percent) * n. Two nodes link
-    if and only if their excesses add up to (100 + percent) times twice the size of what their differences share, or less. The
-    hub has no difference and the smallest excess of its family.
+    ``sets`` has node, family and s; ``hubs`` the family and its hub. With n elements and a difference of d from the hub, the
+    excess is (100 + percent) * d - (100 - percent) * n. Two nodes link if and only if their excesses add up to (100 + percent)
+    times twice the size of what their differences share, or less. The hub has no difference and the smallest excess of its family.
     """
-    more, less = 100 + percent, 100 - percent
     of_hub = sets.join(hubs.select(F.col("hub").alias("node"), "family"), ["node", "family"]).select("family", F.col("node").alias("hub"), F.col("s").alias("hub_s"))
     beside = sets.join(of_hub, "family")
     diff = F.concat(F.array_except("s", "hub_s"), F.array_except("hub_s", "s")).alias("diff")
-    beside = beside.select("family", "hub", "node", F.size("s").cast("long").alias("n"), F.size("hub_s").cast("long").alias("hub_n"), diff)
+    return with_excess(beside.select("family", "hub", "node", F.size("s").cast("long").alias("n"), F.size("hub_s").cast("long").alias("hub_n"), diff), percent)
+
+
+def with_excess(beside: DataFrame, percent: int) -> DataFrame:
+    """(family, hub, node, n, hub_n, diff) as the written table that ``links_by_difference`` takes."""
+    more, less = 100 + percent, 100 - percent
     beside = beside.select("*", (F.size("diff").cast("long") * more - F.col("n") * less).alias("excess"))
-    nodes = written(beside.select("family", "hub", "node", "diff", "excess", (F.col("excess") > F.col("hub_n") * less).alias("apart"), (-F.col("hub_n") * less).alias("least")), "differences")
+    return written(beside.select("family", "hub", "node", "diff", "excess", (F.col("excess") > F.col("hub_n") * less).alias("apart"), (-F.col("hub_n") * less).alias("least")), "differences")
+
+
+def links_by_difference(nodes: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between nodes that give the components of all links within each family.
+
+    ``nodes`` are the rows of ``with_excess``; ``buckets`` the node, key and weight of nodes with company.
+    """
+    more = 100 + percent
     links = nodes.filter("not apart and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     sides = nodes.select("node", "diff", "excess")
 
@@ -239,7 +250,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = families.join(classes, "node").select(F.col("rep").alias("id"), "node", "family", "set_a", "set_b")
     sets = rows.join(wanted, "id").mapInPandas(_sets(shingle), "node long, family long, s array<long>")
     sets = written(sets.dropDuplicates(["node"]), "sets")
-    links = family_links(sets, hubs, buckets.join(weights, "node").select("node", "key", "weight"), percent)
+    links = links_by_difference(hub_differences(sets, hubs, percent), buckets.join(weights, "node").select("node", "key", "weight"), percent)
     # nodes back to ids: rows of one class, and rows with one id, are one
     names = classes.select("node", "rep")
     edges = links.join(names.toDF("a", "rep_a"), "a").join(names.toDF("b", "rep_b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
