@@ -43,7 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")  # the table holds the rows now, so the shuffles that made it need not stay on disk
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
@@ -62,6 +68,11 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """``df`` marked as a side that grows with the corpus: it is not broadcast even while it is small, so plans are the same at every size."""
+    return df.hint("merge")
+
+
 def ship(module: str) -> None:
     """Executors get the functions of this module with the query, so that nothing has to be installed there."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

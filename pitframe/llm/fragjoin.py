@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, discard, ship, written
+from .common import col, discard, grows, ship, written
 from .neardup import _GOLD, _digest, _mix, _Words, components, links_by_difference, shingle_set, with_excess
 
 ship(__name__)
@@ -99,8 +99,8 @@ def _pieces(width: int):
         cache = _Words()
         np.seterr(over="ignore")
         for pdf in batches:
-            node, family, fragment, part = [], [], [], []
-            for text, a, b, of_node, of_family, cut in zip(*(pdf[c] for c in ("text", "set_a", "set_b", "node", "family", "cut"))):
+            node, family, is_hub, fragment, part = [], [], [], [], []
+            for text, a, b, of_node, of_family, hub, cut in zip(*(pdf[c] for c in ("text", "set_a", "set_b", "node", "family", "hub", "cut"))):
                 s = shingle_set(text, width, cache)
                 if _digest(s) != (a, b):  # an id may stand on several texts
                     continue
@@ -108,20 +108,26 @@ def _pieces(width: int):
                 part += [s[i:j].view(np.int64) for i, j in pairwise(at)]
                 node += [of_node] * cut
                 family += [of_family] * cut
+                is_hub += [of_node == hub] * cut
                 fragment += range(cut)
-            yield pd.DataFrame({"node": node, "family": family, "fragment": fragment, "part": part})
+            yield pd.DataFrame({"node": node, "family": family, "is_hub": is_hub, "fragment": fragment, "part": part})
 
     return run
 
 
-def hub_overlaps(pieces: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(family, hub, node, n, hub_n, shared, diff): the overlap of each node with its family's hub, counted by fragment and summed by pair."""
-    of_hub = pieces.join(hubs.select(F.col("hub").alias("node"), "family"), ["node", "family"]).select("family", F.col("node").alias("hub"), "fragment", F.col("part").alias("hub_part"))
-    met = pieces.join(of_hub, ["family", "fragment"])
+def hub_overlaps(pieces: DataFrame) -> DataFrame:
+    """(family, hub, node, n, hub_n, diff): the overlap of each node with its family's hub, counted by fragment and summed by pair.
+
+    ``pieces`` has node, family, is_hub, fragment and part; rows of repeated ids are the same and count once.
+    """
+    of_hub = pieces.filter("is_hub").select("family", F.col("node").alias("hub"), "fragment", F.col("part").alias("hub_part"))
+    met = pieces.join(grows(of_hub), ["family", "fragment"])
     shared = F.size(F.array_intersect("part", "hub_part")).cast("long")
     lacks = F.concat(F.array_except("part", "hub_part"), F.array_except("hub_part", "part"))
-    met = met.select("family", "hub", "node", F.size("part").cast("long").alias("n"), F.size("hub_part").cast("long").alias("hub_n"), shared.alias("shared"), lacks.alias("lacks"))
-    return met.groupBy("family", "hub", "node").agg(F.sum("n").alias("n"), F.sum("hub_n").alias("hub_n"), F.sum("shared").alias("shared"), F.flatten(F.collect_list("lacks")).alias("diff"))
+    partial = F.struct("fragment", F.size("part").cast("long").alias("n"), F.size("hub_part").cast("long").alias("hub_n"), shared.alias("shared"), lacks.alias("lacks"))
+    found = met.select("family", "hub", "node", partial.alias("partial")).groupBy("family", "hub", "node").agg(F.collect_set("partial").alias("partial"))
+    total = lambda c: F.aggregate("partial", F.lit(0).cast("long"), lambda sum_, x: sum_ + x[c]).alias(c)
+    return found.select("family", "hub", "node", total("n"), total("hub_n"), total("shared"), F.flatten(F.transform("partial", lambda x: x["lacks"])).alias("diff"))
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -132,18 +138,20 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     linked = sig.filter("n > 0 and id is not null").drop("keys")
     classes = linked.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "row", "n")).alias("rep"), F.count("*").alias("rows"))
     classes = written(classes.select("set_a", "set_b", "rows", F.col("rep.id").alias("rep"), F.col("rep.row").alias("node"), F.col("rep.n").alias("n")), "classes")
-    keyed = sig.filter("size(keys) > 0").select(F.col("row").alias("node"), "keys").join(classes.select("node"), "node", "left_semi").select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("company")).filter("company > 1")
-    buckets = written(keyed.join(shared, "key"), "buckets")
+    keyed = sig.select(F.col("row").alias("node"), F.explode("keys").alias("key"))  # of copies too: what has no company goes before classes are asked
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key"), "shared")
+    met = keyed.join(grows(shared), "key").join(classes.select("node"), "node", "left_semi")
+    met = written(met, "met")
+    shared = met.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("company")).filter("company > 1")
+    buckets = written(met.join(shared, "key"), "buckets")
     weights = buckets.groupBy("node").agg(F.sum("company").alias("weight"))
     families = components(buckets.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     families = written(families.withColumnsRenamed({"id": "node", "component": "family"}).join(weights, "node").join(classes, "node"), "families")
     hubs = families.groupBy("family").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"), F.greatest(F.lit(2), F.ceil(F.max("n") / PIECE)).cast("int").alias("cut"))
-    wanted = families.join(hubs.select("family", "cut"), "family").select(F.col("rep").alias("id"), "node", "family", "set_a", "set_b", "cut")
-    pieces = rows.join(wanted, "id").mapInPandas(_pieces(width), "node long, family long, fragment int, part array<long>")
-    pieces = written(pieces.dropDuplicates(["node", "fragment"]), "pieces")
-    nodes = with_excess(hub_overlaps(pieces, hubs), percent)
-    discard(pieces)
+    wanted = families.join(hubs, "family").select(F.col("rep").alias("id"), "node", "family", "hub", "set_a", "set_b", "cut")
+    pieces = written(rows.join(grows(wanted), "id").mapInPandas(_pieces(width), "node long, family long, is_hub boolean, fragment int, part array<long>"), "pieces")
+    nodes = with_excess(hub_overlaps(pieces), percent)
+    discard(pieces, met)
     links = links_by_difference(nodes, buckets.join(weights, "node").select("node", "key", "weight"), percent)
     names = classes.select("node", "rep")
     edges = links.join(names.toDF("a", "rep_a"), "a").join(names.toDF("b", "rep_b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
