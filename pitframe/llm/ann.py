@@ -4,7 +4,8 @@ Vectors get one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm, quer
 Euclidean distance are then exactly those of largest inner product, and the triangle inequality holds. A tree splits its
 points at the median distance from a vantage point and keeps the least and greatest distance of each side. A query
 leaves out a side whose distances lie further from its own than its k-th best so far; ``relax`` multiplies that gap, so
-larger values prune more, and 1 restores exact search.
+larger values prune more, and 1 restores exact search. How much a factor loses depends on the vectors (norms that vary and few dimensions
+make it lose much), so the factor is chosen from recall measured on a sample of the queries in the index itself, down to 1.
 
 Shards are regions: the top of one tree, with at most ``TOP_LEAVES`` leaves, is fitted on a bounded sample (about
 ``SAMPLE`` distinct vectors a leaf), every row is routed to its leaf, and the bounds of the leaves are taken over all rows. A
@@ -34,7 +35,8 @@ from .common import col, ship, written
 ship(__name__)
 
 LEAF = 32
-TOP_LEAVES, SAMPLE = 4096, 64
+TOP_LEAVES, SAMPLE, SAMPLE_BYTES = 4096, 64, 1 << 26
+FACTORS = (2.0, 1.5, 1.25, 1.0)
 
 
 def distances(points: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -90,25 +92,25 @@ def rebound(node, bounds: dict[int, tuple[list[float], list[float]]], depth: int
     return (node[0], node[1], [(x[1][depth], x[2][depth], x[0]) for x in sides]), low, high
 
 
-def open_sides(node, queries: np.ndarray, active: np.ndarray, reach, relax: float) -> Iterator[tuple[object, np.ndarray]]:
+def open_sides(node, queries: np.ndarray, active: np.ndarray, reach, relax: float | np.ndarray) -> Iterator[tuple[object, np.ndarray]]:
     """The sides of a node with the queries that may not leave them out, first the side that is nearer to more of them."""
     d = distances(queries[active], node[0])
     gaps = np.stack([np.maximum(np.maximum(d - hi, lo - d), 0) for lo, hi, _ in node[2]])
     nearer = np.bincount(gaps.argmin(axis=0), minlength=len(gaps))
     for s in np.argsort(-nearer, kind="stable"):
-        go = active[gaps[s] * relax <= reach(active)]
+        go = active[gaps[s] * np.broadcast_to(relax, len(queries))[active] <= reach(active)]
         if len(go):
             yield node[2][s][2], go
 
 
-def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, biggest: float, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the k best of each query (-1: none) and their scores; ``least``: scores below it are of no use.
+def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, biggest: float, k: int, relax: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k best of each query (-1: none) and their scores; ``least``: scores below it are of no use; ``relax`` may differ by query.
 
     Each query first takes the leaf it falls into, then all go down the tree together, so that a leaf is opened once more at most.
     """
     lift = np.sqrt(np.maximum(biggest**2 - (vectors**2).sum(axis=1), 0))
     tree = Tree(np.c_[vectors, lift])
-    lifted = np.c_[queries, np.zeros(len(queries))]
+    lifted, relax = np.c_[queries, np.zeros(len(queries))], np.broadcast_to(relax, len(queries))
     best, score = np.full((len(queries), k), -1), np.full((len(queries), k), -np.inf)
     home = np.full(len(queries), -1)
     q2 = (queries**2).sum(axis=1)
@@ -162,9 +164,12 @@ def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
 
 def nearest(
     vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 20, k: int = 20,
-    relax: float = 2.0, shard_rows: int = 16384, block_rows: int = 16384,
+    relax: float | None = None, least_recall: float = 0.97, sample_queries: int = 256, shard_rows: int = 16384, block_rows: int = 16384,
 ) -> DataFrame:
-    """query_id, rank, id and score: for each row whose id is divisible by ``query_every``, its k nearest other rows."""
+    """query_id, rank, id and score: for each row whose id is divisible by ``query_every``, its k nearest other rows.
+
+    Without ``relax`` the factor is the largest of ``FACTORS`` whose recall against factor 1 reaches ``least_recall`` for about ``sample_queries`` queries.
+    """
     spark = vectors.sparkSession
     v = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -183,7 +188,7 @@ def nearest(
 
     top = 0
     if levels:
-        share = min(1.0, SAMPLE * 2**levels / n)
+        share = min(1.0, SAMPLE * 2**levels / n, SAMPLE_BYTES / (8 * width * n))
         some = v.filter(F.pmod(F.xxhash64("v"), F.lit(2**30)) < share * 2**30).select("v").distinct().sort("v").collect()
         if some:
             top = Tree(lift(np.array([r["v"] for r in some])), leaf=1, depth=levels).root
@@ -204,13 +209,13 @@ def nearest(
 
     def pair(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if points.empty or queries.empty:
-            return pd.DataFrame({"query": [], "query_id": [], "id": [], "score": []})
+            return pd.DataFrame({"query": [], "query_id": [], "relax": [], "id": [], "score": []})
         points = points.sort_values(["id", "row"], kind="stable")
         x, y = np.stack(points["v"].to_numpy()), np.stack(queries["v"].to_numpy())
         ids = points["id"].to_numpy()
-        best, score = search(x, ids, y, queries["id"].to_numpy(), queries["least"].to_numpy(float), biggest, k, relax)
+        best, score = search(x, ids, y, queries["id"].to_numpy(), queries["least"].to_numpy(float), biggest, k, queries["relax"].to_numpy())
         at, place = np.nonzero(best >= 0)
-        return pd.DataFrame({"query": queries["row"].to_numpy()[at], "query_id": queries["id"].to_numpy()[at], "id": ids[best[at, place]], "score": score[at, place]})
+        return pd.DataFrame({"query": queries["row"].to_numpy()[at], "query_id": queries["id"].to_numpy()[at], "relax": queries["relax"].to_numpy()[at], "id": ids[best[at, place]], "score": score[at, place]})
 
     def searched(queries: DataFrame) -> DataFrame:
         """What the shards of ``leaf`` have for each query; no leaf's table here has more than TOP_LEAVES rows."""
@@ -219,47 +224,62 @@ def nearest(
         every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
         to = lambda count: F.pmod(F.xxhash64("row"), F.col(count)).cast("int")
         points = rows.join(F.broadcast(plan), "leaf").select("leaf", to("shards").alias("shard"), every("blocks").alias("block"), "id", "v", "row")
-        asked = queries.join(F.broadcast(plan), "leaf").select("leaf", every("shards").alias("shard"), to("blocks").alias("block"), "id", "v", "row", "least")
+        asked = queries.join(F.broadcast(plan), "leaf").select("leaf", every("shards").alias("shard"), to("blocks").alias("block"), "id", "v", "row", "least", "relax")
         asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # new columns: both sides come from one table
         keys = ["leaf", "shard", "block"]
-        return points.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(pair, "query long, query_id long, id long, score double")
+        return points.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(pair, "query long, query_id long, relax double, id long, score double")
 
     def best_of(found: DataFrame) -> DataFrame:
         best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id"))), 1, k)
-        return found.groupBy("query", "query_id").agg(best.alias("best"))
+        return found.groupBy("query", "query_id", "relax").agg(best.alias("best"))
 
-    queries = rows.filter(F.col("id") % query_every == 0).select("id", "v", "leaf", "row")
-    found = searched(queries.withColumn("least", F.lit(float("-inf"))))
-    if len(leaves) > 1:
+    def elsewhere(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each query once for every leaf that its bounds leave open, but its own."""
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            y, home, least = np.stack(pdf["v"].to_numpy()), pdf["leaf"].to_numpy(), pdf["least"].to_numpy(float)
+            q2, lifted, factor = (y**2).sum(axis=1), np.c_[y, np.zeros(len(y))], pdf["relax"].to_numpy()
+            far = np.sqrt(np.maximum(q2 + biggest**2 - 2 * np.where(np.isinf(least), 0, least), 0)) + 1e-9 * (np.sqrt(q2) + biggest)
+            far = np.where(np.isinf(least), np.inf, far)
+            at, to = [], []
+
+            def visit(node, active: np.ndarray) -> None:
+                if isinstance(node, tuple):
+                    for side, go in open_sides(node, lifted, active, lambda x: far[x], factor):
+                        visit(side, go)
+                else:
+                    active = active[home[active] != node]
+                    at.append(active)
+                    to.append(np.full(len(active), node))
+
+            visit(whole, np.arange(len(y)))
+            yield pdf.iloc[np.concatenate(at)].assign(leaf=np.concatenate(to))
+
+    def answered(queries: DataFrame) -> DataFrame:
+        """query, query_id, relax and best: what each query (id, v, leaf, row, relax) finds in its own leaf, then in the open ones."""
+        found = searched(queries.withColumn("least", F.lit(float("-inf"))))
+        if len(leaves) == 1:
+            return best_of(found)
         found = written(best_of(found), "home")
-        kth = found.select(F.col("query").alias("row"), F.when(F.size("best") == k, -F.element_at("best", -1)["minus"]).alias("kth"))
-        asked = queries.join(kth, "row", "left").withColumn("least", F.coalesce("kth", F.lit(float("-inf")))).drop("kth")
-
-        def elsewhere(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                y, home, least = np.stack(pdf["v"].to_numpy()), pdf["leaf"].to_numpy(), pdf["least"].to_numpy(float)
-                q2, lifted = (y**2).sum(axis=1), np.c_[y, np.zeros(len(y))]
-                far = np.sqrt(np.maximum(q2 + biggest**2 - 2 * np.where(np.isinf(least), 0, least), 0)) + 1e-9 * (np.sqrt(q2) + biggest)
-                far = np.where(np.isinf(least), np.inf, far)
-                at, to = [], []
-
-                def visit(node, active: np.ndarray) -> None:
-                    if isinstance(node, tuple):
-                        for side, go in open_sides(node, lifted, active, lambda x: far[x], relax):
-                            visit(side, go)
-                    else:
-                        active = active[home[active] != node]
-                        at.append(active)
-                        to.append(np.full(len(active), node))
-
-                visit(whole, np.arange(len(y)))
-                yield pdf.iloc[np.concatenate(at)].assign(leaf=np.concatenate(to))
-
-        more = written(asked.select("id", "v", "leaf", "row", "least").mapInPandas(elsewhere, "id long, v array<double>, leaf long, row long, least double"), "visits")
-        other = searched(more)
-        again = found.select("query", "query_id", F.explode("best").alias("b")).select("query", "query_id", F.col("b.id").alias("id"), (-F.col("b.minus")).alias("score"))
-        found = again.unionByName(other)
-    ranked = best_of(found).select("query_id", F.posexplode("best").alias("at", "b"))
+        kth = found.select(F.col("query").alias("row"), "relax", F.when(F.size("best") == k, -F.element_at("best", -1)["minus"]).alias("kth"))
+        asked = queries.join(kth, ["row", "relax"], "left").withColumn("least", F.coalesce("kth", F.lit(float("-inf")))).drop("kth")
+        more = written(asked.select("id", "v", "leaf", "row", "least", "relax").mapInPandas(elsewhere, "id long, v array<double>, leaf long, row long, least double, relax double"), "visits")
+        again = found.select("query", "query_id", "relax", F.explode("best").alias("b")).select("query", "query_id", "relax", F.col("b.id").alias("id"), (-F.col("b.minus")).alias("score"))
+        return best_of(again.unionByName(searched(more)))
+
+    queries = rows.filter(F.col("id") % query_every == 0).select("id", "v", "leaf", "row")
+    if relax is None:
+        relax = tuned(queries, answered, least_recall, sample_queries)
+    ranked = answered(queries.withColumn("relax", F.lit(float(relax)))).select("query_id", F.posexplode("best").alias("at", "b"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.id").alias("id"), (-F.col("b.minus")).alias("score"))
+
+
+def tuned(queries: DataFrame, answered, least_recall: float, sample_queries: int) -> float:
+    """The largest factor whose recall against factor 1 is ``least_recall`` or more, measured in one run of the index for a hashed sample of the queries."""
+    share = min(1.0, sample_queries / max(1, queries.count()))
+    some = queries.filter(F.pmod(F.xxhash64("row", F.lit(7)), F.lit(2**30)) < share * 2**30).withColumn("relax", F.explode(F.array(*[F.lit(x) for x in FACTORS])))
+    found = written(answered(some).select("query", "relax", F.explode("best").alias("b")).select("query", "relax", F.col("b.id").alias("id")), "tuning")
+    exact = found.filter(F.col("relax") == 1).select("query", "id").distinct()
+    hits = {r["relax"]: r["n"] for r in found.distinct().join(exact, ["query", "id"], "left_semi").groupBy("relax").agg(F.count("*").alias("n")).collect()}
+    return max(x for x in FACTORS if x == 1 or hits.get(x, 0) >= least_recall * hits.get(1.0, 0))
