@@ -1,12 +1,12 @@
 r"""Chat formatting in budgeted windows, with DataFrame functions only.
 
-A conversation's turns are dealt to windows by the prefix sums of their tokens: the window of a turn is the prefix
-sum before it divided by half of the body budget, so that spans end at turns, and a window holds at most the body
-budget unless it is a single turn longer than half of it. Every window starts with the system turn (if the first
-turn is one) and repeats the turns of earlier windows whose tokens lie at most ``history`` before the window;
-both are context, and come on top of the body budget: a window holds at most the body budget (or one longer turn), ``history`` tokens and
-the turn that crosses them, and the system turn. The loss mask covers the texts of the assistant turns that are new in the window, so that over
-all windows each assistant text is a target exactly once.
+A conversation's turns are dealt to windows by the prefix sums of their tokens: those sums fall into cells of half the
+budget, a window takes the turns that start in a cell, and a turn longer than half the budget is a window of its own, so that
+spans end at turns and the new turns of a window keep within the budget or are that one turn. Every later window starts with
+the system turn (if the first turn is one; at most its first ``system`` tokens are repeated) and repeats the turns of earlier
+windows that start at most ``history`` tokens before it. Both are context on top of the budget, so a window holds at most
+``budget`` (or one longer turn) + ``history`` + ``system`` tokens. The loss mask covers the texts of the assistant turns that
+are new in the window, so that over all windows each assistant text is a target exactly once.
 
 Template: ``<|turn|>role<|text|>text<|end|>``. In roles and texts a backslash goes after the bracket of every
 control string (``<|``, ``<s>``, ``</s>``, ``[INST]``, ``[/INST]``, ``<<SYS>>``, ``<</SYS>>``), also where
@@ -60,20 +60,20 @@ def _turns(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataF
 
 def chat_windows(
     rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-    budget: int = 1024, history: int = 128,
+    budget: int = 1024, history: int = 128, system: int = 256,
 ) -> DataFrame:
     """One row for each window: conv, win, formatted, context_turns (turns that are repeated, at its head) and
     loss (array of start, end: code points of ``formatted`` under the loss mask, end exclusive)."""
-    half = max(budget // 2, history + 1)
+    half = max(budget // 2, 1)
     t = _turns(rows, conv_col, turn_col, role_col, text_col)
-    t = t.withColumn("win", F.floor(F.col("before") / half))
+    t = t.withColumn("win", 2 * F.floor(F.col("before") / half) + (F.col("cost") > half).cast("long"))
     is_system = (F.col("o") == 1) & (F.col("role") == "system")
     starts = t.groupBy("c", "win").agg(F.min("before").alias("start"))
-    near = t.select("*", F.explode(F.sequence(F.col("win") + 1, F.greatest(F.col("win") + 1, F.floor((F.col("before") + history) / half)))).alias("w2"))
+    near = t.select("*", F.explode(F.sequence(F.col("win") + 1, F.greatest(F.col("win") + 1, 2 * F.floor((F.col("before") + history) / half) + 1))).alias("w2"))
     near = near.join(starts.select(F.col("c").alias("c2"), F.col("win").alias("w3"), "start"), F.col("c").eqNullSafe(F.col("c2")) & (F.col("w2") == F.col("w3")))
     near = near.filter((F.col("start") - F.col("before") <= history) & ~is_system)
-    system = t.filter(is_system).select(F.col("c").alias("c2"), "o", "role", "text")
-    keep = starts.filter("win > 0").select("c", "win").join(system, F.col("c").eqNullSafe(F.col("c2")))
+    first = t.filter(is_system).select(F.col("c").alias("c2"), F.col("win").alias("own"), "o", "role", F.substring("text", 1, 4 * system).alias("text"))
+    keep = starts.select("c", "win").join(first, F.col("c").eqNullSafe(F.col("c2")) & (F.col("win") > F.col("own")))
     parts = ["c", "w", "o", "role", "text", "new"]
     every = t.select("c", F.col("win").alias("w"), "o", "role", "text", F.lit(True).alias("new"))
     every = every.unionByName(near.select("c", F.col("w2").alias("w"), "o", "role", "text", F.lit(False).alias("new")).select(parts))
