@@ -3,8 +3,8 @@ r"""Secret scanning: fixed patterns, and a token-efficiency test for random stri
 The base patterns (assign, access, hex) are those of the contract. The method adds kind ``random``: runs of 20 or
 more characters of keys whose characters per token under a byte-level BPE vocabulary are few (a vocabulary learned on
 texts spends many tokens on random strings), unless the run is a known digest (hex of a digest's length, or listed),
-an identifier (UUID, number, words or dotted and dashed words) or overlaps a base span. Limit: a run without a digit or without
-a letter counts as an identifier and is never measured, so random keys of letters only are not found.
+an identifier (UUID, number, dotted and dashed words) or overlaps a base span. A run without a digit may be a long word, so it has to stay under a
+stricter ratio, which long compounds of the four languages keep above. Limit: runs without a letter are numbers and are not measured.
 
 The driver reads the vocabulary file (its path is a parameter) and broadcasts it, a fixed size. A long run is
 measured in pieces of 256 characters, so its cost is linear.
@@ -56,22 +56,22 @@ def identifier(run: str) -> bool:
     core = run.strip("=+/_-")
     if _HEX_ONLY.fullmatch(core) and (len(core) in _DIGEST_LENGTHS or core.isdigit()):
         return True
-    return bool(_UUID.fullmatch(core) or _WORDS.fullmatch(core) or not re.search("[0-9]", core) or not re.search("[A-Za-z]", core))
+    return bool(_UUID.fullmatch(core) or not re.search("[A-Za-z]", core) or (_WORDS.fullmatch(core) and not core.isalpha()))
 
 
-def random_spans(text: str, encoder, base: list[tuple[int, int, int]], most: float, known: frozenset[str]) -> list[tuple[int, int, int]]:
+def random_spans(text: str, encoder, base: list[tuple[int, int, int]], most: float, known: frozenset[str], most_letters: float) -> list[tuple[int, int, int]]:
     out = []
     for m in _RUN.finditer(text):
         run = m.group()
         if run in known or identifier(run) or any(s < m.end() and m.start() < e for s, _, e in base):
             continue
         tokens = sum(len(encoder.encode_ordinary(run[i : i + 256])) for i in range(0, len(run), 256))
-        if len(run) <= most * tokens:
+        if len(run) <= (most if re.search("[0-9]", run) else most_letters) * tokens:
             out.append((m.start(), 3, m.end()))
     return out
 
 
-def scan(docs: DataFrame, *, text_col: str = "text", vocabulary: str = VOCABULARY, chars_per_token: float = 2.2, known: frozenset[str] = frozenset()) -> DataFrame:
+def scan(docs: DataFrame, *, text_col: str = "text", vocabulary: str = VOCABULARY, chars_per_token: float = 2.2, letters_per_token: float = 2.0, known: frozenset[str] = frozenset()) -> DataFrame:
     """Each document as struct ``row`` with ``spans``: array of (kind, start, end) by start, then kind as listed."""
     with open(vocabulary, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -86,7 +86,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", vocabulary: str = VOCABULAR
             for text in pdf["text"]:
                 text = text or ""
                 found = base_spans(text)
-                found = sorted(found + random_spans(text, encoder, found, chars_per_token, known))
+                found = sorted(found + random_spans(text, encoder, found, chars_per_token, known, letters_per_token))
                 spans.append([(KINDS[k], s, e) for s, k, e in found])
             yield pd.DataFrame({"row": pdf["row"], "spans": pd.Series(spans, dtype=object)})
 
