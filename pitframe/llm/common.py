@@ -28,6 +28,17 @@ def packed(df: DataFrame) -> Column:
     return F.struct(*[col(c) for c in df.columns])
 
 
+def keyed(df: DataFrame, id_col: str) -> DataFrame:
+    """(key, row): each row as a struct with its id, or where that is null a number of its own above all ids, written down so that it holds."""
+    rows = df.select(col(id_col).cast("long").alias("key"), packed(df).alias("row"))
+    lost = rows.filter("key is null")
+    if not lost.limit(1).count():
+        return rows
+    most = rows.agg(F.coalesce(F.max("key"), F.lit(0)).alias("most")).first()["most"]
+    named = written(lost.select((F.monotonically_increasing_id() + max(most, 0) + 1).alias("key"), "row"), "rows-without-id")
+    return rows.filter("key is not null").unionByName(named)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set and all run on one machine."""
     sc = spark.sparkContext

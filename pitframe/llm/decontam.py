@@ -35,13 +35,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, ship, written
+from .common import col, keyed, ship, written
 
 ship(__name__)
 
 _WORD = re.compile(r"\w+")
 K1, B, BLOCK_ITEMS, STEP, PASSAGES = 1.2, 0.75, 4, 150_000, 512
 GROUPS, GROUP_CELLS = 128, 1 << 24
+CELLS = 1 << 24  # single-precision bounds that a task looks at together
 _SCHEMA = "id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
@@ -124,8 +125,11 @@ class Index:
         least = threshold - 1e-4  # groups are single precision
         passages = passages[:, : int((passages < len(self.place)).sum(axis=1).max(initial=0))]
         rows = np.flatnonzero(self.most[passages].sum(axis=1) >= least)
-        p, group = np.nonzero(self.groups[passages[rows]].sum(axis=1) >= least)
-        p = rows[p]
+        step, found = max(1, CELLS // (passages.shape[1] * self.groups.shape[1] or 1)), []
+        for i in range(0, len(rows), step):  # passages of a long item's width are many cells each
+            p, group = np.nonzero(self.groups[passages[rows[i : i + step]]].sum(axis=1) >= least)
+            found.append((rows[i + p], group))
+        p, group = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         if self.per_group == 1 or not len(p):
             return p, group
         block = (group[:, None] * self.per_group + np.arange(self.per_group)).ravel()
@@ -242,6 +246,8 @@ def leaks(
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the documents that hold a leaked item; a row with a null id has no name to go by and stays."""
-    found = leaks(docs, benchmark, id_col=id_col, **how).select(F.col("id").alias("__leaked")).distinct()
-    return docs.join(found, col(id_col) == F.col("__leaked"), "left_anti")
+    """``docs`` without the documents that hold a leaked item; a row with a null id stands for itself alone."""
+    text_col = how.pop("text_col", "text")
+    rows = keyed(docs, id_col)
+    found = leaks(rows.select("key", col("row")[text_col].alias("text")), benchmark, id_col="key", text_col="text", **how).select(F.col("id").alias("key")).distinct()
+    return rows.join(found, "key", "left_anti").select("row.*")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, discard, ship, written
+from .common import col, discard, keyed, ship, written
 
 ship(__name__)
 
@@ -262,7 +262,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows whose id is not the smallest of its component; rows that repeat one id all stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent)
-    gone = found.filter("id <> component").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` without the rows whose id is not the smallest of its component; rows that repeat one id all stay.
+
+    A row without id has a number of its own above all ids here, so a copy of a document with an id goes, and of copies without id one stays.
+    """
+    rows = keyed(docs, id_col)
+    found = near_duplicates(rows.select("key", col("row")[text_col].alias("text")), id_col="key", text_col="text", shingle=shingle, percent=percent)
+    gone = found.filter("id <> component").select(F.col("id").alias("key")).distinct()
+    return rows.join(gone, "key", "left_anti").select("row.*")
