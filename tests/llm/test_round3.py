@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitframe.llm import dialogue, divergence, fragjoin, neardup, queries
+from pitframe.llm import ann, chat, decontam, dialogue, divergence, fragjoin, neardup, queries, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 CONV = "conv_id long, turn long, role string, text string"
@@ -200,3 +200,65 @@ def test_fragments_miss_no_pair():
         if 100 * both >= 90 * (len(a) + len(b) - both) and not np.array_equal(a, b):
             assert len(met)
     assert len(neardup.shingle_set("a b", 3, neardup._Words())) == 1
+
+
+@pytest.mark.parametrize("shard_rows", [16384, 150])
+def test_neighbours_of_uneven_norms(spark, shard_rows):
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=(1500, 16)) * rng.lognormal(0, 1, (1500, 1)), rng.normal(size=(1500, 4)), rng.normal(size=(1500, 8))):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * x.shape[1])], "vec_id long, embedding array<double>").withColumn("relax", F.lit("x"))
+        found = {}
+        for r in ann.nearest(df, shard_rows=shard_rows).collect():
+            found.setdefault(r["query_id"], set()).add(r["id"])
+        hits = 0
+        for q in range(0, 1500, 20):
+            s = x @ x[q]
+            s[q] = -np.inf
+            hits += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+        assert hits >= 0.95 * 75 * 20
+
+
+def test_chat_windows_keep_their_budget(spark):
+    rng = random.Random(6)
+    rows = [(1, 0, "system", "s" * 40_000)] + [(1, 1 + i, ("user", "assistant")[i % 2], "x" * rng.choice([0, 10, 400, 1100, 2040, 2050, 8000])) for i in range(300)]
+    rows += [(2, 0, "user", "y" * 1180), (2, 1, "assistant", "z" * 7980), (2, 2, "user", "q")]
+    df = spark.createDataFrame(rows, CONV)
+    for name in ("c", "o", "win", "w", "before", "block", "a.b"):
+        df = df.withColumn(name, F.lit("x"))
+    wins = chat.chat_windows(df, budget=1024, history=128, system=256).collect()
+    for w in wins:
+        turns = w["formatted"].split(chat.TURN)[1:]
+        cost = [-(-len(t.split(chat.TEXT, 1)[1].removesuffix(chat.END)) // 4) + 4 for t in turns]
+        new, old = cost[w["context_turns"] :], cost[: w["context_turns"]]
+        assert sum(new) <= 1024 or len(new) == 1
+        assert sum(old) <= 128 + 256 + 4
+        assert turns[0].startswith("system") == (w["conv"] == 1)
+    back = {r["conv"]: r for r in chat.read_back(chat.chat_windows(df)).collect()}
+    assert all(back[c]["turns"] == "".join(f"{r}\n{t}\n" for i, _, r, t in rows if i == c) for c in (1, 2))
+    assert chat.chat_windows(df.limit(0)).count() == 0
+
+
+def test_random_letters_are_measured(spark):
+    rng = random.Random(8)
+    lower, upper, base32 = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    long_words = "internationalization electroencephalography Donaudampfschifffahrtsgesellschaft Rechtsschutzversicherungsgesellschaften anticonstitucionalmente electroencefalografista anticonstitutionnellement Kraftfahrzeughaftpflichtversicherung counterrevolutionaries getElementsByClassName AbstractSingletonProxyFactoryBean Geschwindigkeitsbegrenzungen interdisciplinariedad 12345678901234567890123 some-long-path/with-many-words".split()
+
+    def share(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return secrets.scan(df).filter(F.exists("spans", lambda x: x["kind"] == "random")).count() / len(texts)
+
+    assert share(long_words) == 0
+    for alphabet, least in ((lower, 0.9), (upper, 0.97), (lower + upper, 0.99), (base32, 0.99), (lower + upper + "0123456789", 0.99)):
+        assert share(["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(300)]) >= least, alphabet
+
+
+def test_rows_without_id_are_judged_too(spark):
+    passage = " ".join(f"question{i}" for i in range(20)) + " Answer: " + " ".join(f"answer{i}" for i in range(12))
+    copy = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, copy, "en", "a", 0), (None, copy, "en", "a", 0), (None, copy + " tail", "en", "a", 0), (None, passage, "en", "b", 0), (None, None, "en", "b", 0), (None, "alone " * 3 + copy[:90], "en", "b", 0), (None, "twin one two three four five six", "en", "b", 0), (None, "twin one two three four five six", "en", "b", 0)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("key", F.lit("x")).withColumn("row", F.lit("x"))
+    kept = neardup.keep_first(df)
+    assert kept.columns == df.columns and sorted(str((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(str(x[:2]) for x in (rows[0], rows[3], rows[4], rows[5], rows[6]))
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    clean = decontam.drop_leaked(df, items)
+    assert clean.columns == df.columns and clean.count() == len(rows) - 1 and clean.filter("text like 'question0%'").count() == 0
