@@ -139,6 +139,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.unionByName(r.select(F.lit("shifted").alias("variant"), p(0.5).alias("p"), *keep))
 
 
+# what each decision saw of its own days, and the returns between adjacent ones
+_SEEN = """select d.symbol, d.dt, d.i as own_i, e.i, e.trade_date as day, max_by(b."close", b.revision) as c from days_ d join days_ e on e.symbol = d.symbol and e.i <= d.i
+    join late_bars b on b.symbol = e.symbol and b.trade_date = e.trade_date and b.available_time <= d.dt group by all"""
+_PIT = """select a.symbol, a.dt, cast(a.dt as date) as trade_date, a.own_i, a.i, a.day, a.c as "close", a.c / b.c - 1 as r from {seen} a left join {seen} b on b.symbol = a.symbol and b.own_i = a.own_i and b.i = a.i - 1 and b.c > 0 and a.c > 0"""
+
 VIEWS: dict[str, tuple[str, str]] = {
     "bars": ("", """
 d_ as (select l_suppkey as k, cast(l_shipdate as date) as td, extract(day from cast(l_shipdate as date)) as dom,
@@ -180,11 +185,14 @@ payloads as (select event_id as payload_id, lpad(cast(user_id as varchar), 6, '0
     "late_bars": ("bars", """
 late_bars as (select * from bars union all select symbol, trade_date, event_time, cast(trade_date as timestamp) + interval 75 hour, 2, "open", high, low, rnd("close" * 1.03, 4), volume, amount
     from bars where revision = 0 and cast(symbol as integer) % 7 = 3 and extract(day from trade_date) <= 4)"""),
-    "pit": ("late_bars", """
-days_ as (select symbol, trade_date, cast(trade_date as timestamp) + interval 8 hour as dt, row_number() over (partition by symbol order by trade_date) as i from (select distinct symbol, trade_date from late_bars)),
-seen_ as (select d.symbol, d.dt, d.i as own_i, e.i, e.trade_date as day, max_by(b."close", b.revision) as c, max_by(b.revision, b.revision) as revision from days_ d join days_ e on e.symbol = d.symbol and e.i between d.i - 26 and d.i
-    join late_bars b on b.symbol = e.symbol and b.trade_date = e.trade_date and b.available_time <= d.dt group by all),
-pit as (select a.symbol, a.dt, cast(a.dt as date) as trade_date, a.own_i, a.i, a.day, a.c as "close", a.c / b.c - 1 as r from seen_ a left join seen_ b on b.symbol = a.symbol and b.own_i = a.own_i and b.i = a.i - 1 and b.c > 0 and a.c > 0)"""),
+    "days": ("late_bars", """
+days_ as materialized (select symbol, trade_date, cast(trade_date as timestamp) + interval 8 hour as dt, row_number() over (partition by symbol order by trade_date) as i from (select distinct symbol, trade_date from late_bars))"""),
+    "pit": ("days", f"""
+seen_ as materialized ({_SEEN}),
+pit as ({_PIT.format(seen="seen_")})"""),
+    "near": ("days", f"""
+near_ as materialized ({_SEEN.replace("e.i <= d.i", "e.i between d.i - 10 and d.i")}),
+near as ({_PIT.format(seen="near_")})"""),
     "looks": ("bars", """
 looks as (select symbol, trade_date, "open", high, low, "close" as final, volume, amount from bars where revision = 0)"""),
     "settled": ("bars", """

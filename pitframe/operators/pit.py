@@ -11,10 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import rnd
-
-#: Own days looked back beyond the lookback, for days that a decision does not see.
-SLACK = 10
-
+from ..sources.scratch import stored
 
 def _decision(day: Column) -> Column:
     return day.cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(8))
@@ -58,11 +55,35 @@ def _product(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(1.0), lambda a, x: a * (1 + x)) - 1
 
 
-def index_context(bars: DataFrame, slack: int = SLACK) -> DataFrame:
+def newest_seen(days: DataFrame, keep: int) -> DataFrame:
+    """symbol, trade_date, dt and h: (day, item) of the newest ``keep`` days that each day's decision had seen, however far back, oldest first.
+
+    ``days`` has symbol, trade_date, dt, arrival (when the day can first be seen) and item. Days are put in the order of their arrival; one
+    that is newer than all that came before it is a record. A day between the newest ``keep`` records and now came after the oldest of
+    them, so the days since then are all that can count: a frame by the number of records. Each day stands in the frames of about ``keep`` decisions.
+    """
+    came = days.select("symbol", F.greatest("arrival", "dt").alias("at"), F.lit(0).alias("asks"), F.col("trade_date").alias("day"), "item")
+    asks = days.select("symbol", F.col("dt").alias("at"), F.lit(1).alias("asks"), F.col("trade_date").alias("day"), F.lit(None).cast(days.schema["item"].dataType).alias("item"))
+    order = Window.partitionBy("symbol").orderBy("at", "asks", "day")
+    before = F.max(F.when(F.col("asks") == 0, F.col("day"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    record = (F.col("asks") == 0) & (before.isNull() | (F.col("day") > before))
+    x = came.unionByName(asks).withColumn("record", record.cast("int")).withColumn("records", F.sum("record").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    recent = Window.partitionBy("symbol").orderBy("records").rangeBetween(-(keep - 1), 0)
+    x = x.withColumn("h", F.collect_list(F.when(F.col("asks") == 0, F.struct("day", "at", "item"))).over(recent)).filter("asks = 1")
+    seen = F.sort_array(F.transform(F.filter("h", lambda d: d["at"] <= F.col("at")), lambda d: F.struct(d["day"].alias("day"), d["item"].alias("item"))))
+    return x.select("symbol", F.col("day").alias("trade_date"), F.col("at").alias("dt"), F.slice(seen, F.greatest(F.size(seen) - keep + 1, F.lit(1)), keep).alias("h"))
+
+
+def _first(revs: str) -> Column:
+    return F.array_min(F.transform(revs, lambda x: x["available_time"]))
+
+
+def index_context(bars: DataFrame) -> DataFrame:
     """return_5, return_20, close_vs_sma20 and volatility_20 over the last 21 admitted closes; the decision's own day has to be admitted."""
-    h = pit_history(bars, 21 + slack).filter(F.element_at("h", -1)["close"].isNotNull())
-    seen = F.transform(F.filter("h", lambda x: x["close"].isNotNull()), lambda x: x["close"])
-    x = h.select("symbol", "trade_date", seen.alias("c")).filter("size(c) >= 21").withColumn("c", F.slice("c", -21, 21)).filter(F.forall("c", lambda v: v > 0))
+    days = day_revisions(bars).select("symbol", "trade_date", _decision(F.col("trade_date")).alias("dt"), _first("revs").alias("arrival"), F.col("revs").alias("item"))
+    h = newest_seen(days, 21).filter((F.size("h") == 21) & (F.element_at("h", -1)["day"] == F.col("trade_date")))
+    dt = F.col("dt")
+    x = h.select("symbol", "trade_date", F.transform("h", lambda d: visible(d["item"], dt)).alias("c")).filter(F.forall("c", lambda v: v > 0))
     last = F.element_at("c", -1)
     logs = F.transform("c", F.ln)
     r = F.zip_with(F.slice(logs, 2, 20), F.slice(logs, 1, 20), lambda a, b: a - b)
@@ -75,16 +96,15 @@ def index_context(bars: DataFrame, slack: int = SLACK) -> DataFrame:
     )
 
 
-def relative_context(bars: DataFrame, index: DataFrame, slack: int = SLACK) -> DataFrame:
-    """Stock minus index returns of 5 and 20 days over common days of which both closes were admitted; both have to be on the decision's day."""
+def relative_context(bars: DataFrame, index: DataFrame) -> DataFrame:
+    """Stock minus index returns of 5 and 20 days over the last common days of which both closes were admitted; both have to be on the decision's day."""
     i = day_revisions(index).select("trade_date", F.col("revs").alias("irevs"))  # one row a day
-    d = day_revisions(bars).join(i, "trade_date").withColumn("dt", _decision(F.col("trade_date")))
-    w = Window.partitionBy("symbol").orderBy("trade_date").rowsBetween(-20 - slack, 0)
-    d = d.withColumn("last", F.collect_list(F.struct("revs", "irevs")).over(w))
+    d = day_revisions(bars).join(i, "trade_date")
+    days = d.select("symbol", "trade_date", _decision(F.col("trade_date")).alias("dt"), F.greatest(_first("revs"), _first("irevs")).alias("arrival"), F.struct("revs", "irevs").alias("item"))
+    h = newest_seen(days, 21).filter((F.size("h") == 21) & (F.element_at("h", -1)["day"] == F.col("trade_date")))
     dt = F.col("dt")
-    both = F.transform("last", lambda x: F.struct(visible(x["revs"], dt).alias("s"), visible(x["irevs"], dt).alias("i")))
-    x = d.select("symbol", "trade_date", both.alias("b")).filter(F.element_at("b", -1)["s"].isNotNull() & F.element_at("b", -1)["i"].isNotNull())
-    x = x.withColumn("b", F.filter("b", lambda v: v["s"].isNotNull() & v["i"].isNotNull())).filter("size(b) >= 21").withColumn("b", F.slice("b", -21, 21)).filter(F.forall("b", lambda v: (v["s"] > 0) & (v["i"] > 0)))
+    both = F.transform("h", lambda x: F.struct(visible(x["item"]["revs"], dt).alias("s"), visible(x["item"]["irevs"], dt).alias("i")))
+    x = h.select("symbol", "trade_date", both.alias("b")).filter(F.forall("b", lambda v: (v["s"] > 0) & (v["i"] > 0)))
     ahead = lambda side, n: F.element_at("b", -1)[side] / F.element_at("b", -1 - n)[side]
     return x.select("symbol", "trade_date", *[rnd(ahead("s", n) - ahead("i", n)).alias(f"relative_{n}") for n in (5, 20)])
 
@@ -117,34 +137,79 @@ def return_versions(bars: DataFrame) -> DataFrame:
     return d.filter("r is not null")
 
 
-def industry_relative(bars: DataFrame, members: DataFrame, *, lookback: int = 20, slack: int = SLACK) -> DataFrame:
+def _seen_on(at: Column) -> Column:
+    """The first day whose decision sees what is available at a time."""
+    return F.to_date(at + F.make_dt_interval(hours=F.lit(16)) - F.expr("interval 1 microsecond"))
+
+
+def peer_days(bars: DataFrame, plan: DataFrame) -> DataFrame:
+    """symbol, code, day and item for each own day with a return that may have peers in one of the symbol's industries, ever.
+
+    ``item`` has the day, the returns (from, to: days of decisions; r), and for the day seen later and on the day itself: whether the symbol
+    is among the industry's members, and their running totals (on: day of decision; s, n) of returns and members.
+    """
+    v = return_versions(bars).join(plan, "symbol").withColumnRenamed("trade_date", "day")
+    v = v.withColumns({"from": F.greatest("day", _seen_on(F.col("valid_from"))), "to": F.when(F.col("valid_to").isNotNull(), F.greatest("day", _seen_on(F.col("valid_to"))))}).filter("to is null or from < to")
+    codes = F.array(*[F.struct(F.lit(own).alias("own"), historical_industry(F.col("day"), before=own).alias("code")) for own in (False, True)])
+    moves = F.array(F.struct(F.col("from").alias("on"), F.col("r").alias("dr"), F.lit(1).alias("dn")), F.struct(F.col("to").alias("on"), (-F.col("r")).alias("dr"), F.lit(-1).alias("dn")))
+    moved = v.select("symbol", "day", moves.alias("moves"), F.inline(codes)).filter("code is not null").select("symbol", "code", "day", "own", F.inline("moves")).filter("on is not null")
+    moved = moved.groupBy("code", "day", "own", "on").agg(F.sum("dr").alias("dr"), F.sum("dn").cast("long").alias("dn"), F.sum(F.when(F.col("dn") > 0, 1).otherwise(0)).alias("came"))
+
+    def run(moves: Column) -> Column:
+        """Sums up to each day, in the order of days: few, since revisions arrive on few days."""
+        add = lambda acc, m: F.concat(acc, F.array(F.struct(m["on"].alias("on"), (F.coalesce(F.get(acc, F.size(acc) - 1)["s"], F.lit(0.0)) + m["dr"]).alias("s"), (F.coalesce(F.get(acc, F.size(acc) - 1)["n"], F.lit(0)) + m["dn"]).cast("long").alias("n"))))
+        return F.aggregate(F.sort_array(moves), F.array().cast("array<struct<on:date,s:double,n:bigint>>"), add)
+
+    of = lambda own: F.col("own") if own else ~F.col("own")
+    each = {own: F.collect_list(F.when(of(own), F.struct("on", "dr", "dn"))) for own in (False, True)}
+    totals = moved.groupBy("code", "day").agg(each[False].alias("later"), each[True].alias("same"), *[F.coalesce(F.sum(F.when(of(o), F.col("came"))), F.lit(0)).alias(name) for o, name in ((False, "later_came"), (True, "same_came"))])
+    totals = totals.select("code", "day", run(F.col("later")).alias("later"), run(F.col("same")).alias("same"), "later_came", "same_came")
+    own = v.groupBy("symbol", "day").agg(F.sort_array(F.collect_list(F.struct("from", "to", "r"))).alias("rs"), F.first("steps").alias("steps"))
+    mine = lambda before: F.coalesce(historical_industry(F.col("day"), before=before) == F.col("code"), F.lit(False)).cast("int")
+    own = own.withColumn("code", F.explode(F.array_distinct(F.transform("steps", lambda s: s["industry_code"])))).withColumns({"in_later": mine(False), "in_same": mine(True)})
+    x = own.join(totals, ["code", "day"]).filter("later_came > in_later * size(rs) or same_came > in_same * size(rs)")
+    return x.select("symbol", "code", "day", F.struct("day", "rs", "in_later", "later", "in_same", "same").alias("item"))
+
+
+def industry_relative(bars: DataFrame, members: DataFrame, *, lookback: int = 20, first_look: int = 30) -> DataFrame:
     """Stock minus industry returns of 5 and ``lookback`` days, equal weights of peers without the stock, as decisions saw them.
 
     A return day before the decision counts peers of the industry effective on or before that day, the decision's own day those
-    effective strictly before it. The newest ``lookback`` own days with a return and a peer count, among the last lookback + ``slack``.
-    The returns of an industry and day change when a revision arrives: their sums travel as running totals by arrival time.
+    effective strictly before it. The newest ``lookback`` own days with a return and a peer count, however far back: decisions whose last
+    ``first_look`` days with possible peers hold too few look at four times as many, and so on, until they have enough or no day is left.
     """
     plan = schedules(members)
-    v = return_versions(bars).join(plan, "symbol")
-    codes = F.array(F.struct(F.lit(False).alias("own_day"), historical_industry(F.col("trade_date")).alias("code")), F.struct(F.lit(True).alias("own_day"), historical_industry(F.col("trade_date"), before=True).alias("code")))
-    v = v.select("trade_date", "r", "valid_from", "valid_to", F.inline(codes)).filter("code is not null")
-    moves = F.array(F.struct(F.col("valid_from").alias("at"), F.col("r").alias("dr"), F.lit(1).alias("dn")), F.struct(F.col("valid_to").alias("at"), (-F.col("r")).alias("dr"), F.lit(-1).alias("dn")))
-    moved = v.select("code", "trade_date", "own_day", F.inline(moves)).filter("at is not null").groupBy("code", "trade_date", "own_day", "at").agg(F.sum("dr").alias("dr"), F.sum("dn").alias("dn"))
-    totals = moved.groupBy("code", "trade_date", "own_day").agg(F.sort_array(F.collect_list(F.struct("at", "dr", "dn"))).alias("moves"))
-    t = pit_returns(bars, lookback + slack).join(plan, "symbol").withColumn("code", scheduled_industry(F.col("trade_date"), F.col("dt"))).filter("code is not null")
-    t = t.select("symbol", F.col("trade_date").alias("decision"), "dt", "code", "steps", F.inline("r"))
-    own_day = F.col("day") == F.col("decision")
-    held = F.when(own_day, historical_industry(F.col("day"), before=True)).otherwise(historical_industry(F.col("day")))
-    t = t.withColumn("own_day", own_day).withColumn("mine", F.coalesce(held == F.col("code"), F.lit(False)).cast("int")).drop("steps")
-    j = t.join(totals.withColumnRenamed("trade_date", "day"), ["code", "day", "own_day"])
-    dt = F.col("dt")
-    seen = F.filter("moves", lambda m: m["at"] <= dt)
-    total = F.aggregate(seen, F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n")), lambda a, m: F.struct((a["s"] + m["dr"]).alias("s"), (a["n"] + m["dn"]).alias("n")))
-    j = j.withColumn("total", total).withColumn("n", F.col("total.n") - F.col("mine")).filter("n > 0")
-    j = j.select("symbol", "decision", "code", "day", "r", ((F.col("total.s") - F.col("mine") * F.col("r")) / F.col("n")).alias("peers"))
-    g = j.groupBy("symbol", "decision", "code").agg(F.sort_array(F.collect_list(F.struct("day", "r", "peers"))).alias("d")).filter(F.size("d") >= lookback)
-    side = lambda k, n: _product(F.transform(F.slice("d", -n, n), lambda x: x[k]))
-    return g.select("symbol", F.col("decision").alias("trade_date"), "code", *[rnd(side("r", n) - side("peers", n), 7).alias(f"industry_relative_{n}") for n in (5, lookback)])
+    days = stored(peer_days(bars, plan), "peer-days")
+    at = day_revisions(bars).withColumn("dt", _decision(F.col("trade_date"))).filter(visible(F.col("revs"), F.col("dt")).isNotNull()).join(plan, "symbol")
+    open_ = at.select("symbol", F.col("trade_date").alias("day"), scheduled_industry(F.col("trade_date"), F.col("dt")).alias("code")).filter("code is not null")
+    none = F.lit(None).cast(days.schema["item"].dataType)
+    out, look = None, max(first_look, lookback)
+    while True:
+        x = days.withColumn("asks", F.lit(0)).unionByName(open_.select("symbol", "code", "day", none.alias("item"), F.lit(1).alias("asks")))
+        own = Window.partitionBy("symbol", "code")
+        x = x.withColumn("place", F.count("item").over(own.orderBy("day", "asks").rowsBetween(Window.unboundedPreceding, 0)))
+        x = x.withColumn("h", F.collect_list("item").over(own.orderBy("place").rangeBetween(-(look - 1), 0))).filter("asks = 1")
+        day = F.col("day")
+
+        def judged(d: Column) -> Column:
+            same = d["day"] == day
+            r = F.get(F.filter(d["rs"], lambda v: (v["from"] <= day) & (v["to"].isNull() | (v["to"] > day))), 0)["r"]
+            mine = F.when(same, d["in_same"]).otherwise(d["in_later"])
+            seen = F.filter(F.when(same, d["same"]).otherwise(d["later"]), lambda m: m["on"] <= day)
+            total = F.get(seen, F.size(seen) - 1)
+            n = total["n"] - mine
+            return F.struct(d["day"].alias("day"), r.alias("r"), F.when(n > 0, (total["s"] - mine * r) / n).alias("peers"))
+
+        x = x.withColumn("h", F.filter(F.transform("h", judged), lambda d: d["r"].isNotNull() & d["peers"].isNotNull()))
+        x = stored(x.select("symbol", "code", "day", "place", (F.size("h") >= lookback).alias("enough"), F.sort_array("h").alias("h")), "looked")
+        found = x.filter("enough")
+        out = found if out is None else out.unionByName(found)
+        open_ = x.filter((~F.col("enough")) & (F.col("place") > look)).select("symbol", "day", "code")
+        if not open_.limit(1).count():
+            break
+        days, look = days.join(open_.select("symbol", "code").distinct(), ["symbol", "code"], "left_semi"), 4 * look
+    side = lambda k, n: _product(F.transform(F.slice("h", -n, n), lambda x: x[k]))
+    return out.select("symbol", F.col("day").alias("trade_date"), "code", *[rnd(side("r", n) - side("peers", n), 7).alias(f"industry_relative_{n}") for n in (5, lookback)])
 
 
 def universe_regime(bars: DataFrame, window: int = 20, up: float = 0.03, down: float = -0.03) -> DataFrame:

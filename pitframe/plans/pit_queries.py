@@ -11,7 +11,7 @@ from ..operators import pit
 from .registry import query
 
 
-@query("f15_pit_returns", "select symbol, trade_date, day, rnd(r, 9) as r from pit where r is not null and i > own_i - 4", "pit")
+@query("f15_pit_returns", "select symbol, trade_date, day, rnd(r, 9) as r from near where r is not null and i > own_i - 4", "near")
 def f15(spark, sf):
     r = pit.pit_returns(fx.late_bars(spark, sf), 4)
     return r.select("symbol", "trade_date", F.inline("r")).select("symbol", "trade_date", "day", rnd("r").alias("r"))
@@ -23,7 +23,7 @@ t as (select symbol, trade_date, list("close" order by day) as c from s where k
 select symbol, trade_date, rnd(c[21] / c[16] - 1, 9) as return_5, rnd(c[21] / c[1] - 1, 9) as return_20, rnd(c[21] / (list_sum(c[2:21]) / 20) - 1, 9) as close_vs_sma20, rnd(list_stddev_pop([ln(c[x + 1] / c[x]) for x in range(1, 21)]) * sqrt(252), 6) as volatility_20 from t""", "pit")
 def f13(spark, sf):
     """Over every symbol, so that late and missing days occur; an index is one more symbol."""
-    return pit.index_context(fx.late_bars(spark, sf), slack=6)
+    return pit.index_context(fx.late_bars(spark, sf))
 
 
 @query("f14_relative_context", """
@@ -31,11 +31,11 @@ with ix as (select trade_date, available_time, "close" from index_bars), p as (s
 t as (select symbol, trade_date, list(s order by day) as s, list(i order by day) as i from p where k <= 21 group by all having count(*) = 21 and bool_or(own) and min(s) > 0 and min(i) > 0)
 select symbol, trade_date, rnd(s[21] / s[16] - i[21] / i[16], 9) as relative_5, rnd(s[21] / s[1] - i[21] / i[1], 9) as relative_20 from t""", "pit index_bars")
 def f14(spark, sf):
-    return pit.relative_context(fx.late_bars(spark, sf), fx.index_bars(spark, sf), slack=6)
+    return pit.relative_context(fx.late_bars(spark, sf), fx.index_bars(spark, sf))
 
 
 @query("j6_common_days", """
-select p.symbol, p.trade_date, count(*) filter (p.i > p.own_i - 10) as common_10 from pit p join index_bars x on x.trade_date = p.day and x.available_time <= p.dt group by p.symbol, p.trade_date, p.own_i having bool_or(p.i = p.own_i)""", "pit index_bars")
+select p.symbol, p.trade_date, count(*) filter (p.i > p.own_i - 10) as common_10 from near p join index_bars x on x.trade_date = p.day and x.available_time <= p.dt group by p.symbol, p.trade_date, p.own_i having bool_or(p.i = p.own_i)""", "near index_bars")
 def j6(spark, sf):
     h = pit.pit_history(fx.late_bars(spark, sf), 10).select("symbol", "trade_date", "dt", F.inline("h")).filter("close is not null")
     x = fx.index_bars(spark, sf).select(F.col("trade_date").alias("day"), "available_time")
@@ -86,34 +86,39 @@ sv as (select s.*, lead(valid_from) over (partition by symbol, i order by valid_
 rv as (select v.symbol, v.trade_date, valid_from, valid_to, max_by(b."close", b.revision) filter (b.trade_date = v.trade_date) / max_by(b."close", b.revision) filter (b.trade_date < v.trade_date) - 1 as r
   from sv v join dy e on e.symbol = v.symbol and e.i between v.i - 1 and v.i join late_bars b on b.symbol = e.symbol and b.trade_date = e.trade_date and b.available_time <= v.valid_from group by all having count(distinct b.trade_date) = 2),
 pe as (select r.*, o.own_day, max_by(industry_code, effective_from) as code from rv r, (values (true), (false)) o(own_day), membership m where m.symbol = r.symbol and (m.effective_from < r.trade_date or (m.effective_from = r.trade_date and not o.own_day)) group by all),
-tg as (select p.symbol, p.trade_date, p.dt, p.day, p.r, s.industry_code as code, p.day = p.trade_date as own_day from pit p join cnt c on c.symbol = p.symbol and c.trade_date = p.trade_date join sch s on s.symbol = c.symbol and s.pos = c.pos where p.r is not null and p.i > p.own_i - 26),
-pr as (select t.symbol, t.trade_date, t.code, t.day, t.r, sum(pe.r) filter (pe.symbol <> t.symbol) / count(*) filter (pe.symbol <> t.symbol) as peers from tg t join pe on pe.code = t.code and pe.trade_date = t.day and pe.own_day = t.own_day and pe.valid_from <= t.dt and (pe.valid_to is null or pe.valid_to > t.dt) group by all having count(*) filter (pe.symbol <> t.symbol) > 0),
+mv as (select code, trade_date, own_day, stamp, sum(dr) as dr, sum(dn) as dn from (select code, trade_date, own_day, valid_from as stamp, r as dr, 1 as dn from pe union all select code, trade_date, own_day, valid_to, -r, -1 from pe where valid_to is not null) group by all),
+cu as (select code, trade_date, own_day, stamp as from_, lead(stamp) over w as to_, sum(dr) over w as s, sum(dn) over w as n from mv window w as (partition by code, trade_date, own_day order by stamp)),
+tg as (select p.symbol, p.trade_date, p.dt, p.day, p.r, s.industry_code as code, p.day = p.trade_date as own_day from pit p join pit o on o.symbol = p.symbol and o.dt = p.dt and o.i = o.own_i join cnt c on c.symbol = p.symbol and c.trade_date = p.trade_date join sch s on s.symbol = c.symbol and s.pos = c.pos where p.r is not null),
+hc as (select r.symbol, r.trade_date, r.own_day, any_value(code) as code from pe r group by all),
+pr as (select t.symbol, t.trade_date, t.code, t.day, t.r, (cu.s - case when hc.code = t.code then t.r else 0 end) / (cu.n - case when hc.code = t.code then 1 else 0 end) as peers
+  from tg t join cu on cu.code = t.code and cu.trade_date = t.day and cu.own_day = t.own_day and cu.from_ <= t.dt and (cu.to_ is null or cu.to_ > t.dt) left join hc on hc.symbol = t.symbol and hc.trade_date = t.day and hc.own_day = t.own_day
+  where cu.n - case when hc.code = t.code then 1 else 0 end > 0),
 rk as (select *, row_number() over (partition by symbol, trade_date order by day desc) as k, count(*) over (partition by symbol, trade_date) as n from pr)
 select symbol, trade_date, code, rnd((product(1 + r) filter (k <= 5)) - (product(1 + peers) filter (k <= 5)), 7) as industry_relative_5, rnd(product(1 + r) - product(1 + peers), 7) as industry_relative_20 from rk where k <= 20 and n >= 20 group by all""", "bars membership pit")
 def f16(spark, sf):
-    return pit.industry_relative(fx.late_bars(spark, sf), fx.membership(spark, sf), slack=6)
+    return pit.industry_relative(fx.late_bars(spark, sf), fx.membership(spark, sf))
 
 
 @query("f23_pit_breadth", """
-with p as (select trade_date, r * 100 as pct from pit where i = own_i and r is not null)
+with p as (select trade_date, r * 100 as pct from near where i = own_i and r is not null)
 select trade_date, count(*) as n, count(*) filter (pct >= 0) as up, count(*) filter (pct < 0) as down, count(*) filter (pct >= 9.8) as limit_up, count(*) filter (pct <= -9.8) as limit_down,
-rnd((count(*) filter (pct >= 0) - count(*) filter (pct < 0))::double / count(*), 9) as breadth, rnd((count(*) filter (pct >= 9.8) - count(*) filter (pct <= -9.8))::double / count(*), 9) as limit_pressure from p group by trade_date""", "pit")
+rnd((count(*) filter (pct >= 0) - count(*) filter (pct < 0))::double / count(*), 9) as breadth, rnd((count(*) filter (pct >= 9.8) - count(*) filter (pct <= -9.8))::double / count(*), 9) as limit_pressure from p group by trade_date""", "near")
 def f23(spark, sf):
     return pit.breadth(pit.own_returns(fx.late_bars(spark, sf)), F.col("r") * 100, "trade_date")
 
 
 _REGIME = """rg as (select trade_date, c, case when c is null then 'NO_DATA' when c > 0.03 then 'BULL' when c < -0.03 then 'BEAR' else 'NEUTRAL' end as regime
-  from (select trade_date, product(1 + m) over (order by trade_date rows between 20 preceding and 1 preceding) - 1 as c from (select trade_date, avg(r) as m from pit where i = own_i and r is not null group by trade_date)))"""
+  from (select trade_date, product(1 + m) over (order by trade_date rows between 20 preceding and 1 preceding) - 1 as c from (select trade_date, avg(r) as m from near where i = own_i and r is not null group by trade_date)))"""
 
 
-@query("f27_pit_regime", f"with {_REGIME} select trade_date, rnd(c, 7) as compounded, regime from rg", "pit")
+@query("f27_pit_regime", f"with {_REGIME} select trade_date, rnd(c, 7) as compounded, regime from rg", "near")
 def f27(spark, sf):
     return pit.universe_regime(fx.late_bars(spark, sf))
 
 
 @query("j7_attach_context", f"""
 with {_REGIME}, c as (select symbol, trade_date, rnd("close" / lag("close", 20) over (partition by symbol order by trade_date) - 1, 9) as index_return_20 from index_bars)
-select d.symbol, d.trade_date, d.momentum, c.index_return_20, rg.regime from design d join c on c.trade_date = d.trade_date and c.index_return_20 is not null join rg on rg.trade_date = d.trade_date""", "pit design index_bars")
+select d.symbol, d.trade_date, d.momentum, c.index_return_20, rg.regime from design d join c on c.trade_date = d.trade_date and c.index_return_20 is not null join rg on rg.trade_date = d.trade_date""", "near design index_bars")
 def j7(spark, sf):
     d = fa.design_rows(fx.bars(spark, sf)).select("symbol", "trade_date", "momentum")
     ctx = pit.index_context(fx.index_bars(spark, sf)).select("trade_date", F.col("return_20").alias("index_return_20"))
@@ -122,7 +127,7 @@ def j7(spark, sf):
 
 @query("j8_merge_context", f"""
 with {_REGIME}, c as (select trade_date, rnd("close" / lag("close", 20) over (order by trade_date) - 1, 9) as index_return_20 from index_bars)
-select trade_date, (index_return_20 is not null)::int + (rg.c is not null)::int as factors, index_return_20, rnd(rg.c, 7) as compounded from (select * from c where index_return_20 is not null) c full join (select * from rg where c is not null) rg using (trade_date)""", "pit index_bars")
+select trade_date, (index_return_20 is not null)::int + (rg.c is not null)::int as factors, index_return_20, rnd(rg.c, 7) as compounded from (select * from c where index_return_20 is not null) c full join (select * from rg where c is not null) rg using (trade_date)""", "near index_bars")
 def j8(spark, sf):
     a = pit.index_context(fx.index_bars(spark, sf)).select("trade_date", F.create_map(F.lit("index_return_20"), "return_20").alias("m"))
     b = pit.universe_regime(fx.late_bars(spark, sf)).filter("compounded is not null").select("trade_date", F.create_map(F.lit("compounded"), "compounded").alias("n"))

@@ -1,6 +1,7 @@
 """Point-in-time context, boundaries, policies, models and streams: boundary cases and plain restatements."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -37,7 +38,7 @@ def test_industry_with_one_member_has_no_relative(spark):
     rows = [bar(i, 100.0 + i % 3, symbol=s) for i in range(30) for s in ("a", "b", "c")]
     member = lambda s, c: (s, c, dt.date(2019, 1, 1), dt.datetime(2019, 1, 2, 8))
     members = spark.createDataFrame([member("a", "X"), member("b", "X"), member("c", "Z")], "symbol string, industry_code string, effective_from date, available_time timestamp_ntz")
-    got = pit.industry_relative(spark.createDataFrame(rows, BARS), members, lookback=20, slack=2).collect()
+    got = pit.industry_relative(spark.createDataFrame(rows, BARS), members, lookback=20, first_look=22).collect()
     assert {r["symbol"] for r in got} == {"a", "b"} and all(abs(r["industry_relative_20"]) < 1e-6 for r in got)
 
 
@@ -193,3 +194,58 @@ def test_rule_edges(spark):
     assert f(scores.vwap_verdict(F.lit(10.0), F.lit(10.0))) == "AT" and f(scores.lexicon_score(F.lit("good good good bad"), ["good"], ["bad"])) == 1
     assert f(scores.sell_rule(F.lit(9.0), F.lit(9.0), F.lit(False), F.lit(False))) == "MUST_SELL" and f(scores.sell_rule(F.lit(9.0), F.lit(None).cast("double"), F.lit(False), F.lit(False))) == "NO_CARD"
     assert f(policy.decision_class(F.lit(0.9), F.lit(0.6), F.lit(True), F.lit(True))) == "PAPER_TEST" and f(policy.decision_class(F.lit(0.74), F.lit(0.9), F.lit(True), F.lit(True))) == "NO_ACTION"
+
+
+def test_look_back_has_no_end(spark):
+    """Forty days in a row that decisions cannot use: the newest usable ones are found before them."""
+    hole = range(25, 65)
+    late = {i: 24 * 200 for i in hole}
+    rows = [bar(i, 100.0 + (i * 7) % 11, symbol="a", hours=late.get(i, 8)) for i in range(90)]
+    df = spark.createDataFrame(rows, BARS)
+    close = {DAY + dt.timedelta(days=i): 100.0 + (i * 7) % 11 for i in range(90)}
+    got = {r["trade_date"]: r for r in pit.index_context(df).collect()}
+    usable = [DAY + dt.timedelta(days=i) for i in range(90) if i not in hole]
+    assert set(got) == set(usable[20:])
+    for k, day in enumerate(usable[20:], 20):
+        assert abs(got[day]["return_20"] - (close[day] / close[usable[k - 20]] - 1)) < 1e-8 and abs(got[day]["return_5"] - (close[day] / close[usable[k - 5]] - 1)) < 1e-8
+    index = spark.createDataFrame([bar(i, 50.0 + i % 3, symbol="i") for i in range(90)], BARS)
+    relative = {r["trade_date"]: r["relative_20"] for r in pit.relative_context(df, index).collect()}
+    assert set(relative) == set(usable[20:])
+
+
+def test_days_that_arrive_out_of_order_are_ranked_by_day(spark):
+    rng = random.Random(5)
+    rows, n = [], 80
+    for i in range(n):
+        for rev in range(rng.choice([1, 1, 2])):
+            rows.append(bar(i, rng.choice([0.0, 90.0, 101.0, 110.0]) if rng.random() < 0.02 else 90.0 + rng.randrange(20), rev, symbol="a", hours=8 + rng.choice([0, 0, 0, 1, 30, 24 * 9, 24 * 40])))
+    got = {r["trade_date"]: r["return_20"] for r in pit.index_context(spark.createDataFrame(rows, BARS)).collect()}
+    fields = [f.split()[0] for f in BARS.split(", ")] if isinstance(BARS, str) else BARS.names
+    recs = [dict(zip(fields, r)) for r in rows]
+    for i in range(n):
+        day = DAY + dt.timedelta(days=i)
+        now = dt.datetime.combine(day, dt.time(8))
+        seen = {}
+        for r in recs:
+            if r["available_time"] <= now and r["trade_date"] <= day and r["revision"] >= seen.get(r["trade_date"], (-1, 0))[0]:
+                seen[r["trade_date"]] = (r["revision"], r["close"])
+        closes = [seen[d][1] for d in sorted(seen)][-21:]
+        fits = day in seen and len(closes) == 21 and min(closes) > 0
+        assert (day in got) == fits and (not fits or abs(got[day] - (closes[-1] / closes[0] - 1)) < 1e-8)
+
+
+def test_industry_looks_past_days_without_peers(spark):
+    """The peers of 40 days come late; returns on both sides of them still make 20."""
+    member = lambda s: (s, "X", dt.date(2019, 1, 1), dt.datetime(2019, 1, 2, 8))
+    members = spark.createDataFrame([member("a"), member("b"), member("c")], "symbol string, industry_code string, effective_from date, available_time timestamp_ntz")
+    hole = range(30, 70)
+    rows = [bar(i, 100.0 + (i * s) % 7, symbol=name, hours=24 * 300 if i in hole and name != "a" else 8) for i in range(80) for s, name in ((3, "a"), (5, "b"), (4, "c"))]
+    close = {(name, i): 100.0 + (i * s) % 7 for i in range(80) for s, name in ((3, "a"), (5, "b"), (4, "c"))}
+    ret = lambda name, i: close[name, i] / close[name, i - 1] - 1
+    for first in (30, 200):
+        got = {(r["symbol"], r["trade_date"]): r for r in pit.industry_relative(spark.createDataFrame(rows, BARS), members, first_look=first).collect()}
+        for i in (29, 75, 79):
+            days = [j for j in range(1, i + 1) if j not in hole and j != hole.stop][-20:]
+            mine = np.prod([1 + ret("a", j) for j in days])
+            peers = np.prod([1 + (ret("b", j) + ret("c", j)) / 2 for j in days])
+            assert abs(got["a", DAY + dt.timedelta(days=i)]["industry_relative_20"] - (mine - peers)) < 1e-6
