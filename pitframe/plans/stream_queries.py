@@ -10,25 +10,65 @@ from ..streaming import jobs
 from .registry import query
 
 
-@query("s2_stream_minute_bars", "select symbol, time_bucket(interval 30 minute, ts) as start, arg_min(price, (ts, event_id)) as \"open\", max(price) as high, min(price) as low, arg_max(price, (ts, event_id)) as \"close\", sum(hands)::bigint as volume from ticks group by all", "ticks")
+# Ticks come in five batches; every fiftieth comes a day late. A batch closes the windows that end before the newest tick of the batches before it, less ten
+# minutes; in the batch after that, rows of closed windows are late. What the newest tick of all, less ten minutes, has passed is finished.
+_FEED = """
+came_ as (select *, ts + case when event_id % 50 = 0 then interval 26 hour else interval 0 hour end as came from ticks),
+fed_ as (select *, least(4, (extract(day from came) - 1) // 6)::int as batch from came_),
+newest_ as (select batch, max(ts) as newest from fed_ group by batch),
+marks_ as (select batch, max(newest) over (order by batch rows between unbounded preceding and 2 preceding) - interval 10 minute as mark, (select max(ts) from fed_) - interval 10 minute as last from newest_),
+fed as (select fed_.*, mark, last from fed_ join marks_ using (batch))"""
+
+
+def _feed(spark, sf):
+    """The ticks with their batch, and as a stream of these batches."""
+    t = fx.ticks(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    came = F.when(F.col("event_id") % 50 == 0, F.col("ts") + F.expr("interval 26 hours")).otherwise(F.col("ts"))
+    return t, jobs.replay(t.withColumn("batch", F.least(F.lit(4), F.floor((F.dayofmonth(came) - 1) / 6)).cast("int")), "batch", "tick-feed")
+
+
+def _with_late(found, rows, keys):
+    """Finished windows with the number of their rows that came too late: counted over all rows, less those taken."""
+    return found.join(rows.groupBy(*keys).agg(F.count("*").alias("all")), keys).withColumn("late", F.col("all") - F.col("n")).drop("all", "n")
+
+
+@query("s2_stream_minute_bars", f"""
+with {_FEED}, w as (select *, time_bucket(interval 30 minute, ts) as start, coalesce(time_bucket(interval 30 minute, ts) + interval 30 minute <= mark, false) as gone from fed)
+select symbol, start, arg_min(price, (ts, event_id)) filter (not gone) as "open", max(price) filter (not gone) as high, min(price) filter (not gone) as low, arg_max(price, (ts, event_id)) filter (not gone) as "close",
+sum(hands) filter (not gone)::bigint as volume, count(*) filter (gone) as late from w where start + interval 30 minute <= last group by symbol, start having count(*) filter (not gone) > 0""", "ticks")
 def s2(spark, sf):
-    return jobs.latest(jobs.minute_bars(jobs.tick_stream(spark, sf), 30), ["symbol", "start"], "minute-bars").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    t, feed = _feed(spark, sf)
+    found = jobs.finished(jobs.minute_bars(feed, 30), "minute-bars")
+    return _with_late(found, t.select("symbol", F.window("ts", "30 minutes")["start"].alias("start")), ["symbol", "start"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("s3_stream_vwap", "select symbol, cast(ts as date) as day, rnd(sum(price * hands) / sum(hands), 6) as vwap, sum(hands)::bigint as volume, coalesce(sum(hands) filter (side = 'B'), 0)::bigint as buy, coalesce(sum(hands) filter (side = 'S'), 0)::bigint as sell from ticks group by all", "ticks")
+@query("s3_stream_vwap", f"""
+with {_FEED}, w as (select *, cast(ts as date) as day, coalesce(cast(ts as date) + interval 1 day <= mark, false) as gone from fed)
+select symbol, day, rnd(sum(price * hands) filter (not gone) / sum(hands) filter (not gone), 6) as vwap, sum(hands) filter (not gone)::bigint as volume, coalesce(sum(hands) filter (side = 'B' and not gone), 0)::bigint as buy,
+coalesce(sum(hands) filter (side = 'S' and not gone), 0)::bigint as sell, count(*) filter (gone) as late from w where day + interval 1 day <= last group by symbol, day having count(*) filter (not gone) > 0""", "ticks")
 def s3(spark, sf):
-    return jobs.latest(jobs.running_vwap(jobs.tick_stream(spark, sf)), ["symbol", "day"], "vwap").withColumn("vwap", rnd("vwap", 6))
+    t, feed = _feed(spark, sf)
+    found = jobs.finished(jobs.running_vwap(feed), "vwap")
+    return _with_late(found, t.select("symbol", F.to_date("ts").alias("day")), ["symbol", "day"]).withColumn("vwap", rnd("vwap", 6))
 
 
-@query("s4_stream_side_counts", "with b as (select unnest([time_bucket(interval 30 minute, ts), time_bucket(interval 30 minute, ts) - interval 30 minute]) as start, side from ticks) select start, count(*) filter (side = 'B') as buys, count(*) filter (side = 'S') as sells, count(*) as n from b group by start", "ticks")
+@query("s4_stream_side_counts", f"""
+with {_FEED}, b as (select unnest([time_bucket(interval 30 minute, ts), time_bucket(interval 30 minute, ts) - interval 30 minute]) as start, side, mark, last from fed), w as (select *, coalesce(start + interval 1 hour <= mark, false) as gone from b)
+select start, count(*) filter (side = 'B' and not gone) as buys, count(*) filter (side = 'S' and not gone) as sells, count(*) filter (not gone) as taken, count(*) filter (gone) as late from w where start + interval 1 hour <= last group by start having count(*) filter (not gone) > 0""", "ticks")
 def s4(spark, sf):
-    return jobs.latest(jobs.side_counts(jobs.tick_stream(spark, sf)), ["start"], "sides").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    t, feed = _feed(spark, sf)
+    found = jobs.finished(jobs.side_counts(feed), "sides").withColumn("taken", F.col("n"))
+    return _with_late(found, t.select(F.window("ts", "1 hour", "30 minutes")["start"].alias("start")), ["start"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("s1_stream_ingest", "with h as (select symbol, side, cast(hands as varchar) as hash from ticks), o as (select *, row_number() over (partition by symbol, side order by hash) as nth, first(hash) over (partition by symbol, side order by hash) as f from h) select symbol, side, hash, case when nth = 1 then 'ACCEPTED' when hash = f then 'DUPLICATE' else 'RAW_MUTATION_DETECTED' end as outcome from o", "ticks")
+@query("s1_stream_ingest", f"""
+with {_FEED}, h as (select *, cast(hands % 3 as varchar) as hash, first(cast(hands % 3 as varchar)) over w as f, row_number() over w as nth from fed window w as (partition by symbol, side order by batch, event_id))
+select event_id, symbol, side, hash, case when nth = 1 then 'ACCEPTED' when hash = f then 'DUPLICATE' else 'RAW_MUTATION_DETECTED' end as outcome from h""", "ticks")
 def s1(spark, sf):
-    t = jobs.tick_stream(spark, sf).select("symbol", "side", F.col("hands").cast("string").alias("hash"))
-    return jobs.ingest_stream(t, ["symbol", "side"], "hash", "ingest").select("symbol", "side", "hash", "outcome")
+    """Every tick as an attempt to write the payload of its symbol and side, in five batches."""
+    _, feed = _feed(spark, sf)
+    rows = feed.select("event_id", "symbol", "side", (F.col("hands") % 3).cast("string").alias("hash"))
+    return jobs.finished(jobs.ingest_attempts(rows, ["symbol", "side"], "hash", ["event_id"]), "ingest")
 
 
 @query("s5_stream_late_revisions", "select symbol, trade_date, revision, date_diff('hour', cast(trade_date as timestamp) + interval 8 hour, available_time) as hours from late_bars where available_time > cast(trade_date as timestamp) + interval 8 hour and symbol in (select symbol from membership)", "late_bars membership")
@@ -40,21 +80,22 @@ def s5(spark, sf):
 
 @query("s6_stream_ledger", "select record_id, any_value(symbol) as symbol from recommendations group by record_id", "recommendations")
 def s6(spark, sf):
-    """Every third record arrives twice, and the copies in other batches."""
-    r = fx.recommendations(spark, sf).select("record_id", "symbol", "decision_time")
-    again = r.filter("record_id % 3 = 0").withColumn("decision_time", F.col("decision_time") + fx.hours(24 * 400))
-    return jobs.append_stream(jobs.table_stream(r.unionByName(again), "ledger-feed", 4, "decision_time"), ["record_id"], "ledger").select("record_id", "symbol")
+    """Every third record arrives twice, 400 days later, and so in another batch; keys are held for 500 days of event time."""
+    r = fx.recommendations(spark, sf).select("record_id", "symbol", F.col("decision_time").cast("timestamp").alias("decision_time"))
+    again = r.filter("record_id % 3 = 0").withColumn("decision_time", F.col("decision_time") + F.expr("interval 400 days"))
+    feed = jobs.table_stream(r.unionByName(again), "ledger-feed", 4, "decision_time")
+    return jobs.finished(jobs.ledger_appends(feed, ["record_id"], "decision_time", "500 days"), "ledger").select("record_id", "symbol")
 
 
 @query("s7_stream_action_alerts", """
-with o as (select symbol, row_number() over (order by decision_time, record_id) as seq, action from recommendations), l as (select *, lag(action) over (partition by symbol order by seq) as previous from o)
-select symbol, seq, action, previous, sum((previous is null or previous <> action)::int) over (partition by symbol order by seq)::bigint as changes from l qualify previous is null or previous <> action""", "recommendations")
+with g as (select *, decision_time - lag(decision_time) over w > interval 120 day as apart from recommendations window w as (partition by symbol order by decision_time, record_id)),
+n as (select *, sum(coalesce(apart, false)::int) over (partition by symbol order by decision_time, record_id) as spell from g), l as (select *, lag(action) over (partition by symbol, spell order by decision_time, record_id) as previous from n)
+select symbol, decision_time, record_id, action, previous, sum((previous is null or previous <> action)::int) over (partition by symbol, spell order by decision_time, record_id)::bigint as changes from l qualify previous is null or previous <> action""", "recommendations")
 def s7(spark, sf):
-    from pyspark.sql import Window
-
-    r = fx.recommendations(spark, sf)
-    seq = F.row_number().over(Window.orderBy("decision_time", "record_id"))  # the feed's own order, which a ledger has as a column
-    return jobs.action_alerts(jobs.table_stream(r.select("symbol", seq.cast("long").alias("seq"), "action"), "action-feed", 4, "seq"), "alerts")
+    """Changes of action by symbol; one that has been silent for 120 days starts anew."""
+    r = fx.recommendations(spark, sf).select("symbol", F.col("decision_time").cast("timestamp").alias("decision_time"), "record_id", "action")
+    alerts = jobs.finished(jobs.action_alerts(jobs.table_stream(r, "action-feed", 4, "decision_time")), "alerts")
+    return alerts.withColumn("decision_time", F.col("decision_time").cast("timestamp_ntz"))
 
 
 @query("s4_stream_breadth", """

@@ -1,21 +1,24 @@
-"""Structured Streaming jobs over ticks and raw records.
+"""Structured Streaming jobs over ticks, raw records and ledgers.
 
-Aggregates run in update mode with a watermark; every micro-batch writes its changed rows once, under its batch number, so a
-replayed batch overwrites itself; ``latest`` reads the newest row of each key.
+Windows close: with a watermark of minutes, ``finished`` writes each window once, when no row can reach it any more, and rows that come
+later are dropped. ``latest`` keeps the changing rows of a stream instead (update mode; a replayed batch overwrites itself).
+What has been seen of a key (its first payload, its last action) is keyed state of the stream, checkpointed with it: a batch reads and
+writes the states of its own keys, however long the history, and a restart goes on from the checkpoint with exactly one output a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.infoquality import ingest
 from ..sources.scratch import new_path, stored
 
 
-KEY_BUCKETS = 64
-
-
 def tick_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
     """The events table as a stream of ticks."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -24,27 +27,27 @@ def tick_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) ->
     return e.select(F.lpad(F.col("user_id").cast("string"), 6, "0").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), (F.col("event_id") % 97 + 1).alias("hands"), side.alias("side"), "event_id")
 
 
-def minute_bars(ticks: DataFrame, minutes: int, late: str = "60 days") -> DataFrame:
+def minute_bars(ticks: DataFrame, minutes: int, late: str = "10 minutes") -> DataFrame:
     order = F.struct("ts", "event_id")
     g = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", f"{minutes} minutes").alias("w"))
-    b = g.agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("hands").cast("long").alias("volume"))
-    return b.select("symbol", F.col("w.start").alias("start"), "open", "high", "low", "close", "volume")
+    b = g.agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("hands").cast("long").alias("volume"), F.count("*").alias("n"))
+    return b.select("symbol", F.col("w.start").alias("start"), "open", "high", "low", "close", "volume", "n")
 
 
-def running_vwap(ticks: DataFrame, late: str = "60 days") -> DataFrame:
+def running_vwap(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
     side = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("hands"))), F.lit(0)).cast("long")
     g = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", "1 day").alias("w"))
-    v = g.agg(F.sum(F.col("price") * F.col("hands")).alias("turnover"), F.sum("hands").cast("long").alias("volume"), side("B").alias("buy"), side("S").alias("sell"))
-    return v.select("symbol", F.to_date("w.start").alias("day"), (F.col("turnover") / F.col("volume")).alias("vwap"), "volume", "buy", "sell")
+    v = g.agg(F.sum(F.col("price") * F.col("hands")).alias("turnover"), F.sum("hands").cast("long").alias("volume"), side("B").alias("buy"), side("S").alias("sell"), F.count("*").alias("n"))
+    return v.select("symbol", F.to_date("w.start").alias("day"), (F.col("turnover") / F.col("volume")).alias("vwap"), "volume", "buy", "sell", "n")
 
 
-def side_counts(ticks: DataFrame, late: str = "60 days") -> DataFrame:
+def side_counts(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Buys and sells in sliding hours, each half hour."""
     g = ticks.withWatermark("ts", late).groupBy(F.window("ts", "1 hour", "30 minutes").alias("w"))
     return g.agg(F.count_if(F.col("side") == "B").alias("buys"), F.count_if(F.col("side") == "S").alias("sells"), F.count("*").alias("n")).select(F.col("w.start").alias("start"), "buys", "sells", "n")
 
 
-def breadth(quotes: DataFrame, late: str = "60 days") -> DataFrame:
+def breadth(quotes: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Advancers, decliners and limit moves of quotes (ts, pct) in sliding hours, each half hour."""
     n = lambda c: F.count_if(c)
     p = F.col("pct")
@@ -63,26 +66,31 @@ def latest(stream: DataFrame, keys: list[str], name: str, mode: str = "update")
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
-def ingest_stream(stream: DataFrame, key: list[str], hash_col: str, name: str) -> DataFrame:
-    """Each micro-batch against the store so far: outcomes of every attempt are returned, accepted rows form the store.
-
-    Accepted keys lie apart from the outcomes, by bucket of the key, and a batch reads only the buckets that it touches. A
-    replayed batch overwrites what it wrote, and never reads it."""
+def finished(stream: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run the stream over what is there now, each row appended once, and read what has come out so far; the same paths go on where they stopped."""
     spark = stream.sparkSession
-    out, keys, state = new_path(spark, name), new_path(spark, f"{name}-keys"), new_path(spark, f"{name}-state")
-    schema = stream.select(*key, hash_col).schema.add("bucket", "integer").add("batch_no", "integer")
+    path, checkpoint = path or new_path(spark, name), checkpoint or new_path(spark, f"{name}-state")
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
-    def step(batch: DataFrame, n: int) -> None:
-        batch = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(KEY_BUCKETS)).cast("int"))
-        touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # KEY_BUCKETS at most
-        store = spark.read.schema(schema).parquet(keys).filter(F.col("bucket").isin(touched) & (F.col("batch_no") < n)) if n else spark.createDataFrame([], schema)
-        done = ingest(store.select(*key, hash_col), batch, key, hash_col, hash_col)
-        done.drop("bucket").write.mode("overwrite").parquet(f"{out}/batch_no={n}")
-        fresh = spark.read.parquet(f"{out}/batch_no={n}").filter("outcome = 'ACCEPTED'").select(*key, hash_col).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(KEY_BUCKETS)).cast("int")).withColumn("batch_no", F.lit(n))
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_no", "bucket").parquet(keys)
 
-    stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
-    return spark.read.parquet(out).drop("batch_no")
+def ingest_attempts(stream: DataFrame, key: list[str], hash_col: str, order: list[str]) -> DataFrame:
+    """Every attempt with its outcome: the first payload of a key is ACCEPTED, the same one again DUPLICATE, another RAW_MUTATION_DETECTED.
+
+    The accepted payload's hash is the state of the key. Attempts of one micro-batch go by ``order``; earlier batches come before."""
+    names = stream.columns
+
+    def step(of: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        known, outcomes = state.get[0] if state.exists else None, []
+        for h in rows[hash_col]:
+            outcomes.append("ACCEPTED" if known is None else "DUPLICATE" if h == known else "RAW_MUTATION_DETECTED")
+            known = h if known is None else known
+        state.update((known,))
+        yield rows[names].assign(outcome=outcomes)
+
+    return stream.groupBy(*key).applyInPandasWithState(step, T.StructType([*stream.schema, T.StructField("outcome", T.StringType())]), "hash string", "append", GroupStateTimeout.NoTimeout)
 
 
 def late_revisions(stream: DataFrame, members: DataFrame) -> DataFrame:
@@ -92,44 +100,41 @@ def late_revisions(stream: DataFrame, members: DataFrame) -> DataFrame:
     return late.join(members.select("symbol").distinct(), "symbol", "left_semi")
 
 
-def append_stream(stream: DataFrame, key: list[str], name: str) -> DataFrame:
-    """A ledger that takes each key once: micro-batches append what is not there yet; a replayed batch writes the same rows again in its place."""
-    spark = stream.sparkSession
-    out, state = new_path(spark, name), new_path(spark, f"{name}-state")
-
-    def step(batch: DataFrame, n: int) -> None:
-        new = batch.dropDuplicates(key)
-        if n:
-            done = spark.read.parquet(out).filter(F.col("batch_no") < n).select(*key)
-            new = new.join(done, key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/batch_no={n}")
+def ledger_appends(stream: DataFrame, key: list[str], time: str, horizon: str) -> DataFrame:
+    """The rows of a ledger that takes each key once: repeats that come within ``horizon`` of event time are dropped by the state store."""
+    return stream.withWatermark(time, horizon).dropDuplicatesWithinWatermark(key)
 
-    stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
-    return spark.read.parquet(out).drop("batch_no")
 
+def action_alerts(stream: DataFrame, *, time: str = "decision_time", tie: str = "record_id", idle_days: int = 120, late: str = "0 seconds") -> DataFrame:
+    """Rows (symbol, time, tie, action) whose action differs from the symbol's last one, with that and how often it has changed.
 
-def action_alerts(stream: DataFrame, name: str) -> DataFrame:
-    """Rows (symbol, seq, action) whose action differs from the symbol's last one, with that and how often it has changed.
-
-    State is one row a symbol (last seq, action, changes), kept as a table: a batch joins the state of the batch before and writes its own,
-    so a replayed batch does the same again. Rows of a batch are taken in the order of seq."""
-    spark = stream.sparkSession
-    out, state, check = (new_path(spark, f"{name}{x}") for x in ("", "-last", "-state"))
-    last_schema = "symbol string, last_action string, changes long"
+    The last action, its time and the number of changes are the state of a symbol. A symbol that has been silent for more than ``idle_days``
+    starts anew; its state times out when the watermark passes that day, so only symbols that are alive hold state."""
+    schema = T.StructType([*stream.select("symbol", time, tie, "action").schema, T.StructField("previous", T.StringType()), T.StructField("changes", T.LongType())])
+    idle = idle_days * 86_400_000
 
-    def step(batch: DataFrame, n: int) -> None:
-        before = spark.read.schema(last_schema).parquet(f"{state}/{n - 1}") if n else spark.createDataFrame([], last_schema)
-        w = Window.partitionBy("symbol").orderBy("seq")
-        x = batch.join(before, "symbol", "left").withColumn("previous", F.coalesce(F.lag("action").over(w), "last_action"))
-        moved = F.col("previous").isNull() | (F.col("previous") != F.col("action"))
-        x = x.withColumn("moved", moved).withColumn("changes", F.coalesce("changes", F.lit(0)) + F.sum(F.col("moved").cast("long")).over(w))
-        x.filter("moved").select("symbol", "seq", "action", "previous", "changes").write.mode("overwrite").parquet(f"{out}/batch_no={n}")
-        now = x.groupBy("symbol").agg(F.max_by("action", "seq").alias("last_action"), F.max("changes").alias("changes"))
-        kept = before.join(now.select("symbol"), "symbol", "left_anti").unionByName(now)
-        kept.write.mode("overwrite").parquet(f"{state}/{n}")
+    def step(of: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values([time, tie], kind="stable")
+        action, changes, at = state.get if state.exists else (None, 0, None)
+        out = []
+        for when, n, new in zip(rows[time], rows[tie], rows["action"]):
+            ms = int(pd.Timestamp(when).value // 1_000_000)
+            if at is not None and ms - at > idle:
+                action, changes = None, 0
+            if action is None or new != action:
+                changes += 1
+                out.append((of[0], when, n, new, action, changes))
+            action, at = new, ms
+        state.update((action, changes, at))
+        state.setTimeoutTimestamp(max(at + idle + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["symbol", time, tie, "action", "previous", "changes"])
 
-    stream.writeStream.option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
-    return spark.read.parquet(out).drop("batch_no")
+    rows = stream.select("symbol", time, tie, "action").withWatermark(time, late)
+    return rows.groupBy("symbol").applyInPandasWithState(step, schema, "action string, changes long, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def table_stream(df: DataFrame, name: str, files: int, order: str) -> DataFrame:
@@ -139,3 +144,12 @@ def table_stream(df: DataFrame, name: str, files: int, order: str) -> DataFrame:
     for k in range(files):  # a file's time is its place in the stream
         dealt.filter(F.col("__file") == k).drop("__file").coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def replay(df: DataFrame, batch: str, name: str) -> DataFrame:
+    """A table as a stream with one micro-batch for each value of ``batch`` (few whole numbers), in their order."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    dealt = stored(df, f"{name}-rows")
+    for (k,) in dealt.select(batch).distinct().sort(batch).collect():
+        dealt.filter(F.col(batch) == k).drop(batch).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.drop(batch).schema).option("maxFilesPerTrigger", 1).parquet(path)

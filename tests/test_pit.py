@@ -163,20 +163,47 @@ def test_append_is_idempotent(spark):
 
 
 def test_streams_over_several_batches(spark):
-    rows = [("a", i, "BUY" if i % 3 else "SELL") for i in range(12)] + [("b", 20 + i, "HOLD") for i in range(6)]
-    df = spark.createDataFrame(rows, "symbol string, seq long, action string")
-    got = sorted((r["symbol"], r["seq"], r["changes"]) for r in jobs.action_alerts(jobs.table_stream(df, "feed", 5, "seq"), "alerts").collect())
-    want, last, n = [], {}, {}
-    for s, q, a in rows:
-        if last.get(s) != a:
-            n[s] = n.get(s, 0) + 1
-            want.append((s, q, n[s]))
-        last[s] = a
-    assert got == sorted(want)
-    keys = spark.createDataFrame([(i % 7, i, str(i % 2)) for i in range(30)], "k long, seq long, hash string")
-    out = jobs.ingest_stream(jobs.table_stream(keys, "keys", 6, "seq"), ["k"], "hash", "ingest")
-    assert out.filter("outcome = 'ACCEPTED'").count() == 7 and out.count() == 30
-    assert jobs.append_stream(jobs.table_stream(keys, "again", 6, "seq"), ["k"], "ledger").count() == 7
+    keys = spark.createDataFrame([(i % 7, i, str(i // 7 % 2)) for i in range(30)], "k long, seq long, hash string").withColumn("ts", F.timestamp_seconds(F.col("seq") * 3600))
+    out = jobs.finished(jobs.ingest_attempts(jobs.table_stream(keys, "keys", 6, "seq"), ["k"], "hash", ["seq"]), "ingest")
+    want = {i: "ACCEPTED" if i < 7 else "DUPLICATE" if i // 7 % 2 == 0 else "RAW_MUTATION_DETECTED" for i in range(30)}
+    assert {r["seq"]: r["outcome"] for r in out.collect()} == want  # mutations in later batches are found
+    assert jobs.finished(jobs.ledger_appends(jobs.table_stream(keys, "again", 6, "seq"), ["k"], "ts", "30 days"), "ledger").count() == 7
+
+
+def alerts_of(rows, idle_days):
+    want, last = [], {}
+    for s, day, n, a in sorted(rows, key=lambda r: (r[1], r[2])):
+        action, changes, at_ = last.get(s, (None, 0, None))
+        if at_ is not None and (day - at_).total_seconds() > idle_days * 86400:
+            action, changes = None, 0
+        if action != a:
+            changes += 1
+            want.append((s, n, a, action, changes))
+        last[s] = (a, changes, day)
+    return sorted(want, key=str)
+
+
+def test_alerts_go_on_from_their_checkpoint(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.choice("abcde"), at(rng.randrange(0, 400), rng.randrange(24)), n, rng.choice(["BUY", "HOLD", "SELL"])) for n in range(200)]
+    rows.sort(key=lambda r: (r[1], r[2]))
+    schema = "symbol string, decision_time timestamp, record_id long, action string"
+    feed = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for k in range(4):  # two files, a run, two more, another run: as one run over all
+        spark.createDataFrame(rows[50 * k : 50 * k + 50], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if k % 2:
+            found = jobs.finished(jobs.action_alerts(feed(), idle_days=20), "alerts", f"{tmp_path}/out", f"{tmp_path}/state")
+    got = sorted(((r["symbol"], r["record_id"], r["action"], r["previous"], r["changes"]) for r in found.collect()), key=str)
+    assert got == alerts_of(rows, 20) and any(r[4] == 1 and r[1] > 20 for r in got)
+    again = jobs.finished(jobs.action_alerts(feed(), idle_days=20), "alerts", f"{tmp_path}/out", f"{tmp_path}/state")
+    assert again.count() == len(got)
+
+
+def test_windows_close_once_and_late_rows_stay_out(spark):
+    schema = "symbol string, ts timestamp, price double, hands long, side string, event_id long, batch int"
+    rows = [("a", at(0, 1), 1.0, 5, "B", 1, 0), ("a", at(0, 5), 2.0, 5, "S", 2, 1), ("a", at(0, 6), 2.0, 5, "S", 3, 2), ("a", at(0, 1), 9.0, 7, "S", 4, 3), ("a", at(0, 5), 3.0, 1, "S", 5, 3), ("a", at(0, 9), 2.0, 5, "S", 6, 4)]
+    found = jobs.finished(jobs.minute_bars(jobs.replay(spark.createDataFrame(rows, schema), "batch", "closing"), 60), "closing-bars")
+    assert sorted((r["start"].hour, r["close"], r["volume"], r["n"]) for r in found.collect()) == [(1, 1.0, 5, 1), (5, 3.0, 6, 2), (6, 2.0, 5, 1)]
 
 
 def test_windows_over_batches_and_late_rows(spark):
