@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import rnd
+from . import resample
 from .calibrate import _sigmoid, logit
 from .metrics import log_loss
 
@@ -211,11 +212,12 @@ def validate_packets(p: DataFrame, known: tuple[str, ...] = tuple(x.name for x i
     return x.withColumn("uncertainty", doubts).withColumn("report_id", F.substring(F.sha2(F.concat_ws("|", "policy", "symbol", F.col("trade_date").cast("string")), 256), 1, 16))
 
 
-def policy_bootstrap(selected: DataFrame, base: str = "hold_all", rounds: int = 200, seed: int = 20260929, cost_bp: float = COSTS["low"]) -> DataFrame:
-    """Net return and hit rate of each policy minus those of ``base``, with 2.5 and 97.5 % points when whole symbols are drawn again.
+def policy_bootstrap(selected: DataFrame, base: str = "hold_all", rounds: int = resample.ROUNDS, seed: int = resample.SEED, cost_bp: float = COSTS["low"]) -> DataFrame:
+    """Net return, hit rate and coverage of each policy minus those of ``base``, with 2.5 and 97.5 % points when whole symbols are drawn again.
 
     Row means come from sums by symbol. The turnover is taken again in each round: a symbol drawn k times weighs k in every book, so its
-    moves are sums by policy and symbol too (days entered or left), and only those sums meet the draws."""
+    moves are sums by policy and symbol too (days entered or left), and only those sums meet the draws. Coverage is the share of the drawn
+    rows of ``base`` (which holds all) that a policy takes; a round in which a policy takes none has that coverage, but no return or hit rate."""
     days = selected.select("policy", "trade_date").distinct().withColumn("i", F.row_number().over(Window.partitionBy("policy").orderBy("trade_date")))
     x = selected.join(days, ["policy", "trade_date"])
     last = days.groupBy("policy").agg(F.max("i").alias("days"))
@@ -225,20 +227,15 @@ def policy_bootstrap(selected: DataFrame, base: str = "hold_all", rounds: int =
     x = x.withColumn("moves", enters).withColumn("leaves", leaves).join(last, "policy")
     moved = F.col("moves") + F.when(F.col("i") < F.col("days"), F.col("leaves")).otherwise(0)
     sums = x.groupBy("policy", "symbol").agg(F.sum("next_return").alias("r"), F.sum(F.col("y").cast("double")).alias("hits"), F.count("*").alias("n"), F.sum(moved).alias("moves"))
-    names = sums.select("symbol").distinct()
-    count = max(names.count(), 1)
-    names = names.withColumn("s", F.row_number().over(Window.orderBy("symbol")) - 1)  # one row a symbol
-    draws = sums.sparkSession.range(rounds * count).select((F.col("id") % rounds).alias("round"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(count)).cast("int").alias("s"))
-    weights = draws.groupBy("round", "s").agg(F.count("*").alias("k")).unionByName(names.select(F.lit(-1).cast("long").alias("round"), "s", F.lit(1).cast("long").alias("k")))
-    j = sums.join(names, "symbol").join(weights, "s").groupBy("round", "policy")
+    j = sums.join(resample.draws(sums, rounds, seed), "symbol").groupBy("round", "policy")
     k = lambda c: F.sum(F.col("k") * F.col(c))
-    g = j.agg((k("r") / k("n") - cost_bp / 10000 * k("moves") / k("n")).alias("net"), (k("hits") / k("n")).alias("hit"))
-    ref = g.filter(F.col("policy") == base).select("round", F.col("net").alias("net0"), F.col("hit").alias("hit0"))
-    d = g.filter(F.col("policy") != base).join(ref, "round").select("round", "policy", (F.col("net") - F.col("net0")).alias("net"), (F.col("hit") - F.col("hit0")).alias("hit"))
-    drawn = F.col("round") >= 0
-    q = lambda c, at: rnd(F.percentile(F.when(drawn, F.col(c)), F.lit(at))).alias(f"{c}_q{str(at)[2:]}")
-    own = lambda c: rnd(F.max(F.when(~drawn, F.col(c)))).alias(f"{c}_delta")
-    return d.groupBy("policy").agg(own("net"), q("net", 0.025), q("net", 0.975), own("hit"), q("hit", 0.025), q("hit", 0.975))
+    g = j.agg((k("r") / k("n") - cost_bp / 10000 * k("moves") / k("n")).alias("net"), (k("hits") / k("n")).alias("hit"), k("n").alias("n"))
+    ref = g.filter(F.col("policy") == base).select("round", F.col("net").alias("net0"), F.col("hit").alias("hit0"), F.col("n").alias("n0"))
+    others = days.filter(F.col("policy") != base).select("policy").distinct()  # a few policies, each in every round
+    d = ref.crossJoin(F.broadcast(others)).join(g, ["round", "policy"], "left")
+    share = F.coalesce(F.col("n"), F.lit(0)) / F.col("n0") - 1
+    d = d.select("round", "policy", (F.col("net") - F.col("net0")).alias("net_delta"), (F.col("hit") - F.col("hit0")).alias("hit_delta"), share.alias("coverage_delta"))
+    return resample.interval(d, ["policy"], ["net_delta", "hit_delta", "coverage_delta"])
 
 
 def evaluate_signals(rows: DataFrame, horizon: int, *keys: str) -> DataFrame:

@@ -66,7 +66,7 @@ t_ as (select 'hold_all' as policy, p as p_used, * from k_ union all select 'thr
   union all select 'er_platt_0', p_platt, * from k_ where expected_return > 0 union all select 'er_platt_pos_risk', p_platt, * from k_ where expected_return > 0 and risk <= mid),
 picked as (select * from (select *, row_number() over (partition by policy, trade_date, industry order by symbol) as nth from t_) where industry is null or nth <= 2)"""
 _ALL = f"with {_SCORED}, {_PICKED}"
-_NEED = "predictions membership pit"
+_NEED = "predictions membership near"
 
 
 @query("p6_expected_return", f"with {_SCORED} select symbol, trade_date, expected_return, p_platt from scored", _NEED)
@@ -199,7 +199,7 @@ def o3(spark, sf):
     return p.filter("industry_code is not null").groupBy("variant", "industry_code").agg(*me.metric_block())
 
 
-@query("o6_regime_metrics", f"with {_REGIME} select variant, regime, {BLOCK} from predictions join rg using (trade_date) where regime <> 'NO_DATA' group by all", "predictions pit")
+@query("o6_regime_metrics", f"with {_REGIME} select variant, regime, {BLOCK} from predictions join rg using (trade_date) where regime <> 'NO_DATA' group by all", "predictions near")
 def o6(spark, sf):
     r = pit.universe_regime(fx.late_bars(spark, sf)).filter("regime <> 'NO_DATA'").select("trade_date", "regime")
     return fx.predictions(spark, sf).join(r, "trade_date").groupBy("variant", "regime").agg(*me.metric_block())

@@ -284,7 +284,7 @@ def f11(spark, sf):
 
 
 _INPUTS = f"""{_BOARD},
-br_ as (select trade_date, rnd((count(*) filter (r >= 0) - count(*) filter (r < 0))::double / count(*), 9) as breadth, rnd((count(*) filter (r * 100 >= 9.8) - count(*) filter (r * 100 <= -9.8))::double / count(*), 9) as limit_pressure from pit where i = own_i and r is not null group by trade_date),
+br_ as (select trade_date, rnd((count(*) filter (r >= 0) - count(*) filter (r < 0))::double / count(*), 9) as breadth, rnd((count(*) filter (r * 100 >= 9.8) - count(*) filter (r * 100 <= -9.8))::double / count(*), 9) as limit_pressure from near where i = own_i and r is not null group by trade_date),
 ds_ as (select trade_date, case when count(*) >= 2 then rnd(stddev_pop(pct), 6) end as dispersion from sb group by trade_date),
 ix_ as (select trade_date, ("close" / lag("close") over (order by trade_date) - 1) * 100 as pct, case when count(*) over w = 20 then "close" > avg("close") over w end as above from index_bars window w as (order by trade_date rows 19 preceding)),
 in_ as (select i.trade_date, rnd(case when above is not null then case when above then 1 else -1 end + greatest(-1, least(1, coalesce(pct, 0) / 3)) end, 9) as index_trend, breadth, limit_pressure, dispersion, case when extract(day from i.trade_date) % 4 = 0 then null else dispersion - 2 end as volatility_z from ix_ i left join br_ using (trade_date) left join ds_ using (trade_date))"""
@@ -302,7 +302,7 @@ def _inputs(spark, sf):
     return x.withColumn("volatility_z", F.when(F.dayofmonth("trade_date") % 4 != 0, F.col("dispersion") - 2))
 
 
-@query("f25_regime_inputs", f"with {_INPUTS} select *, concat_ws(',', case when index_trend is null then 'index_trend' end, case when breadth is null then 'breadth' end, case when volatility_z is null then 'volatility_z' end, case when dispersion is null then 'sector_dispersion' end, case when limit_pressure is null then 'limit_pressure' end, 'turnover_z', 'liquidity') as missing from in_", "settled membership index_bars pit")
+@query("f25_regime_inputs", f"with {_INPUTS} select *, concat_ws(',', case when index_trend is null then 'index_trend' end, case when breadth is null then 'breadth' end, case when volatility_z is null then 'volatility_z' end, case when dispersion is null then 'sector_dispersion' end, case when limit_pressure is null then 'limit_pressure' end, 'turnover_z', 'liquidity') as missing from in_", "settled membership index_bars near")
 def f25(spark, sf):
     names = {"index_trend": "index_trend", "breadth": "breadth", "volatility_z": "volatility_z", "dispersion": "sector_dispersion", "limit_pressure": "limit_pressure"}
     gone = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(n)) for c, n in names.items()], F.lit("turnover_z"), F.lit("liquidity")))
@@ -311,7 +311,7 @@ def f25(spark, sf):
 
 @query("f26_classify_regime", f"""with {_INPUTS}, m as (select *, (index_trend is null)::int + (breadth is null)::int + (volatility_z is null)::int + (dispersion is null)::int + (limit_pressure is null)::int + 2 as missing from in_)
 select trade_date, missing, case when missing >= 4 or volatility_z is null then 'UNKNOWN' when coalesce(volatility_z, 0) >= 2 then 'HIGH_VOL' when coalesce(index_trend, 0) >= 1 and coalesce(breadth, 0) >= 0.5 then 'TREND_UP' when coalesce(index_trend, 0) <= -1 and coalesce(breadth, 0) <= -0.5 then 'TREND_DOWN' else 'RANGE' end as regime,
-case when missing >= 4 or volatility_z is null then 0 else rnd(1 - missing / 7.0::double, 4) end as confidence from m""", "settled membership index_bars pit")
+case when missing >= 4 or volatility_z is null then 0 else rnd(1 - missing / 7.0::double, 4) end as confidence from m""", "settled membership index_bars near")
 def f26(spark, sf):
     none = F.lit(None).cast("double")
     inputs = (F.col("index_trend"), F.col("breadth"), none, F.col("volatility_z"), F.col("dispersion"), F.col("limit_pressure"), none)

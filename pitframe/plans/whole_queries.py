@@ -11,7 +11,7 @@ from ..operators import evidence as ev
 from ..operators import factors as fa
 from ..operators import infoquality as iq
 from ..operators import metrics as me
-from ..operators import pit
+from ..operators import pit, resample
 from .metric_queries import FACTORS
 from .pit_queries import _REGIME
 from .registry import query
@@ -133,7 +133,7 @@ _Q5 = "1 + (momentum >= e1)::int + (momentum >= e2)::int + (momentum >= e3)::int
 @query("o5_spread_by_slice", f"""
 with p as (select * from predictions where variant = 'baseline'), e as (select quantile_cont(momentum, 0.2) as e1, quantile_cont(momentum, 0.4) as e2, quantile_cont(momentum, 0.6) as e3, quantile_cont(momentum, 0.8) as e4 from p where trade_date < '1995-06-01'), {_REGIME},
 x as (select p.*, {_Q5}, rg.regime from p cross join e left join rg using (trade_date)), s as (select unnest([' all', case when trade_date < date '1995-06-01' then 'discovery' else 'validation' end, 'year_' || year(trade_date), 'regime_' || coalesce(regime, 'NO_DATA')]) as slice, q, y, next_return from x)
-select trim(slice) as slice, count(*) as n, rnd(avg(next_return) filter (q = 5) - avg(next_return) filter (q = 1), 9) as spread, rnd(avg(y) filter (q = 5) - avg(y) filter (q = 1), 9) as up_spread from s group by slice""", "predictions pit")
+select trim(slice) as slice, count(*) as n, rnd(avg(next_return) filter (q = 5) - avg(next_return) filter (q = 1), 9) as spread, rnd(avg(y) filter (q = 5) - avg(y) filter (q = 1), 9) as up_spread from s group by slice""", "predictions near")
 def o5(spark, sf):
     p = fx.predictions(spark, sf).filter("variant = 'baseline'")
     x = me.quintiles(p, "momentum", p.filter("trade_date < '1995-06-01'"))
@@ -144,6 +144,24 @@ def o5(spark, sf):
     return x.withColumn("slice", F.explode(names)).groupBy("slice").agg(F.count("*").alias("n"), rnd(side("next_return", 5) - side("next_return", 1)).alias("spread"), rnd(side("y", 5) - side("y", 1)).alias("up_spread"))
 
 
+@query("o5_spread_bootstrap", f"""
+with p as (select * from predictions where variant = 'baseline'), e as (select quantile_cont(momentum, 0.2) as e1, quantile_cont(momentum, 0.4) as e2, quantile_cont(momentum, 0.6) as e3, quantile_cont(momentum, 0.8) as e4 from p where trade_date < '1995-06-01'),
+x as (select p.*, {_Q5} from p cross join e), s as (select unnest(['all', case when trade_date < date '1995-06-01' then 'discovery' else 'validation' end]) as slice, symbol, q, y, next_return from x),
+sy as (select slice, symbol, count(*) filter (q = 1) as n_low, coalesce(sum(y) filter (q = 1), 0)::double as up_low, coalesce(sum(next_return) filter (q = 1), 0) as ret_low, count(*) filter (q = 5) as n_high, coalesce(sum(y) filter (q = 5), 0)::double as up_high, coalesce(sum(next_return) filter (q = 5), 0) as ret_high from s group by all),
+nm as (select symbol, row_number() over (order by symbol) - 1 as nth, count(*) over () as c from (select distinct symbol from sy)),
+dr as (select id % 1000 as round, ('0x' || substr(md5('20260929:' || id), 1, 8))::bigint % c as nth from (select any_value(c) as c from nm), unnest(range(1000 * c)) u(id)),
+w as (select round, symbol, count(*) as k from dr join nm using (nth) group by all union all select -1, symbol, 1 from nm),
+g as (select slice, round, sum(k * up_high) / nullif(sum(k * n_high), 0) - sum(k * up_low) / nullif(sum(k * n_low), 0) as u, sum(k * ret_high) / nullif(sum(k * n_high), 0) - sum(k * ret_low) / nullif(sum(k * n_low), 0) as r from sy join w using (symbol) group by all)
+select slice, rnd(max(u) filter (round < 0), 7) as spread_up, rnd(quantile_cont(u, 0.025) filter (round >= 0), 7) as spread_up_q025, rnd(quantile_cont(u, 0.975) filter (round >= 0), 7) as spread_up_q975,
+rnd(max(r) filter (round < 0), 7) as spread_return, rnd(quantile_cont(r, 0.025) filter (round >= 0), 7) as spread_return_q025, rnd(quantile_cont(r, 0.975) filter (round >= 0), 7) as spread_return_q975 from g group by slice""", "predictions")
+def o5_bootstrap(spark, sf):
+    """The spread of whole, discovery and validation time, with intervals of 1,000 rounds over symbols."""
+    p = fx.predictions(spark, sf).filter("variant = 'baseline'")
+    x = me.quintiles(p, "momentum", p.filter("trade_date < '1995-06-01'"))
+    slices = F.array(F.lit("all"), F.when(F.col("trade_date") < "1995-06-01", "discovery").otherwise("validation"))
+    return resample.spread_bootstrap(x.withColumn("slice", F.explode(slices)), "slice", digits=7)
+
+
 @query("a9_ingestion_ids", """
 select source, source_id, revision, sha256(entity_id || '|' || cast(cast(floor(value * 100 + 0.5) as bigint) as varchar)) as payload_hash, sha256(source || '|' || source_id || '|' || revision || '|' || sha256(entity_id || '|' || cast(cast(floor(value * 100 + 0.5) as bigint) as varchar)) || '|v1') as ingestion_id from info""", "info")
 def a9(spark, sf):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import BARS, bar
 
-from pitframe.operators import boundary, calibrate, evidence, factors, metrics, models, pit, policy, portfolio, scores, walkforward
+from pitframe.operators import boundary, calibrate, evidence, factors, metrics, models, pit, policy, portfolio, resample, scores, walkforward
 from pitframe.sources import bars as sb
 from pitframe.streaming import jobs
 
@@ -107,6 +107,35 @@ def test_turnover_and_bootstrap(spark):
     assert a == b and a[0]["hit_delta"] == 1.0
 
 
+def test_bootstraps_equal_brute_force(spark):
+    """Both bootstraps against resampled rows, with the operator's own draws."""
+    rng = random.Random(9)
+    rows = [(p, s, DAY + dt.timedelta(days=d), rng.uniform(-0.05, 0.05), rng.randrange(2)) for p, share in (("hold_all", 1), ("few", 0.15)) for s in "abcdef" for d in range(12) if rng.random() < share]
+    df = spark.createDataFrame(rows, "policy string, symbol string, trade_date date, next_return double, y int")
+    got = {r["policy"]: r for r in policy.policy_bootstrap(df, rounds=200).collect()}["few"]
+    k = {}
+    for r in resample.draws(df, rounds=200).collect():
+        k.setdefault(r["round"], {})[r["symbol"]] = r["k"]
+    assert set(k) == set(range(-1, 200)) and all(sum(x.values()) == 6 for x in k.values())
+    deltas = {n: {"hit_delta": [], "coverage_delta": []} for n in ("point", "drawn")}
+    for n, weights in k.items():
+        few, every = ([r for r in rows if r[0] == p for _ in range(weights.get(r[1], 0))] for p in ("few", "hold_all"))
+        to = deltas["point" if n < 0 else "drawn"]
+        to["coverage_delta"].append(len(few) / len(every) - 1)
+        if few:
+            to["hit_delta"].append(np.mean([r[4] for r in few]) - np.mean([r[4] for r in every]))
+    for c in ("hit_delta", "coverage_delta"):
+        assert abs(got[c] - deltas["point"][c][0]) < 1e-8
+        assert np.allclose([got[f"{c}_q025"], got[f"{c}_q975"]], np.quantile(deltas["drawn"][c], [0.025, 0.975]), atol=1e-8)
+    x = spark.createDataFrame([(s, rng.randrange(1, 6), rng.uniform(-1, 1), rng.randrange(2)) for s in "abcdef" for _ in range(20)], "symbol string, q int, next_return double, y int")
+    got, again = (resample.spread_bootstrap(x, rounds=200).first() for _ in range(2))
+    all_rows, spreads = x.collect(), []
+    for n in sorted(k):
+        mean = lambda q: np.mean([r["next_return"] for r in all_rows if r["q"] == q for _ in range(k[n].get(r["symbol"], 0))])  # noqa: B023, E731
+        spreads.append(mean(5) - mean(1))
+    assert got == again and np.allclose([got["spread_return"], got["spread_return_q025"], got["spread_return_q975"]], [spreads[0], *np.quantile(spreads[1:], [0.025, 0.975])], atol=1e-8)
+
+
 def test_forward_fit_equals_numpy_and_row_order(spark):
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(60, 2)), rng.integers(0, 2, 60)
