@@ -10,7 +10,9 @@ from ..operators import boundary as bo
 from ..operators import infoquality as iq
 from ..operators import portfolio as po
 from ..sources import bars as sb
+from ..sources import provider
 from ..sources.scratch import new_path
+from ..streaming import jobs
 from .registry import query
 
 SYMBOLS = ["000001", "000002", "000005"]
@@ -127,6 +129,50 @@ def a14(spark, sf):
     return payload.select("symbol", "scale", F.col("fetched_at").alias("available_time"), F.explode("klines").alias("b")).select("symbol", F.col("b.time").alias("event_time"), F.col("b.event_id").alias("event_id"), "scale", F.col("b.close").alias("close"), F.col("b.volume").alias("volume"), "available_time")
 
 
+def _minute_payloads(spark, sf):
+    """What a provider answers for each symbol and day, as JSON files below a folder for each symbol."""
+    bar = F.struct(F.col("ts").alias("time"), F.col("event_id"), F.col("price").alias("close"), F.col("hands").alias("volume"))
+    days = fx.ticks(spark, sf).groupBy("symbol", F.to_date("ts").alias("day")).agg(F.collect_list(bar).alias("klines"))
+    payloads = days.select("symbol", F.lit(5).alias("scale"), F.date_add("day", 1).cast("timestamp_ntz").alias("fetched_at"), "klines")
+    return provider.write_payloads(payloads, new_path(spark, "minute-payloads"))
+
+
+_MINUTES = "select symbol, ts as event_time, event_id, 5 as scale, price as \"close\", hands as volume, date_trunc('day', ts) + interval 1 day as available_time from ticks"
+
+
+@query("a14_minute_source", f"{_MINUTES} where cast(symbol as integer) % 5 = 1", "ticks")
+def a14_source(spark, sf):
+    """The minute points of some symbols through the data source, which opens only their files."""
+    provider.register(spark)
+    path = _minute_payloads(spark, sf)
+    wanted = [r[0] for r in fx.ticks(spark, sf).select("symbol").distinct().filter(F.col("symbol").cast("int") % 5 == 1).collect()]  # a user's list of symbols
+    return spark.read.format("provider").option("adapter", "minutes").option("path", path).load().filter(F.col("symbol").isin(wanted))
+
+
+@query("a14_minute_stream", _MINUTES, "ticks")
+def a14_stream(spark, sf):
+    """The minute points of all symbols through the data source as a stream of files."""
+    provider.register(spark)
+    stream = spark.readStream.format("provider").option("adapter", "minutes").option("path", _minute_payloads(spark, sf)).load()
+    return jobs.finished(stream, "minute-points")
+
+
+@query("a13_adapter_sources", """
+select case source when 'cn_stock_quote' then 'us_index_daily' else source end as source, source_id, revision, case source when 'company_announcement' then 'LISTED_COMPANY' else 'INDEX' end as entity_type,
+case when source <> 'company_announcement' then value end as value, case when source <> 'company_announcement' then 'points' end as unit, case source when 'cn_stock_quote' then 'USD' end as currency, case source when 'company_announcement' then 'report ' || entity_id end as content from info
+union all select 'macro_pmi_cn', source_id, revision, 'ECONOMY', value, 'index', null, null from info where k % 10 = 0""", "info")
+def a13_sources(spark, sf):
+    """The four projections as adapters of the data source, each over its own payload files."""
+    provider.register(spark)
+    i = fx.info(spark, sf).withColumns({"close": F.col("value"), "content": F.concat(F.lit("report "), "entity_id")})
+    out = None
+    for name, rows in (("cn_index_daily", i.filter("source = 'cn_index_daily'")), ("us_index_daily", i.filter("source = 'cn_stock_quote'")), ("company_announcement", i.filter("source = 'company_announcement'")), ("macro_pmi_cn", i.filter("k % 10 = 0"))):
+        path = provider.write_payloads(rows.select("source_id", "revision", "close", "value", "content"), new_path(spark, f"payloads-{name}"))
+        read = spark.read.format("provider").option("adapter", name).option("path", path).load()
+        out = read if out is None else out.unionByName(read)
+    return out
+
+
 @query("a15_latest_daily_points", """
 select symbol, max(event_time) as event_time, max_by("close", event_time) as "close", make_timestamp((epoch(max(event_time))::bigint + 3600) * 1000000) as available_time from bars where revision = 0 group by symbol""", "bars")
 def a15(spark, sf):
