@@ -31,11 +31,12 @@ ship(__name__)
 
 INT_MAX = 2**31 - 1
 _SCALE = 1_000_000_000
+_ROWS = 512  # documents whose vectors a task holds at once
 _TERM = re.compile(rb"[A-Za-z\x80-\xff]+")  # of UTF-8 bytes: letters A-Z in both cases and all beyond ASCII
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(i, _ROWS) for whole in batches for i in range(0, whole.num_rows, _ROWS)):
         found = [Counter(_TERM.findall(t.as_py().lower())) for t in batch.column("text")]
         terms = pa.array([list(c) for c in found], pa.list_(pa.binary()))
         counts = pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))
