@@ -27,6 +27,28 @@ def asof_bars(decisions: DataFrame, bars: DataFrame) -> DataFrame:
     return g.select("symbol", "decision_time", "b.*")
 
 
+def asof_recent(decisions: DataFrame, bars: DataFrame, days: int = 60) -> DataFrame:
+    """As ``asof_bars``, but only events of the last ``days`` calendar days up to the decision's, for many decisions a symbol.
+
+    Events (their revisions as a short array) and decisions are swept together in the order of their days, with a frame of that many days: one
+    shuffle by symbol, and work that grows with decisions x days asked for, not with decisions x history."""
+    rest = [c for c in bars.columns if c not in ("symbol", "revision", "available_time")]
+    number = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01"))
+    revs = F.sort_array(F.collect_list(F.struct("revision", "available_time", F.struct(*rest).alias("rest")))).alias("revs")
+    events = bars.filter("available_time is not null").groupBy("symbol", "event_time").agg(revs).select("symbol", number("event_time").alias("day"), "revs")
+    asks = decisions.select("symbol", number("decision_time").alias("day"), F.lit(None).cast(events.schema["revs"].dataType).alias("revs"), "decision_time")
+    w = Window.partitionBy("symbol").orderBy("day").rangeBetween(-days + 1, 0)
+    x = events.withColumn("decision_time", F.lit(None).cast(decisions.schema["decision_time"].dataType)).unionByName(asks).withColumn("near", F.collect_list("revs").over(w)).filter("decision_time is not null")
+    at = F.col("decision_time")
+
+    def newest(revs: Column) -> Column:
+        seen = F.filter(revs, lambda r: r["available_time"] <= at)
+        return F.get(seen, F.size(seen) - 1)
+
+    found = x.select("symbol", "decision_time", F.explode(F.transform("near", newest)).alias("b")).filter("b is not null")
+    return found.select("symbol", "decision_time", "b.revision", "b.available_time", "b.rest.*")
+
+
 def _days(bars: DataFrame) -> DataFrame:
     """One row for each symbol and day: looks (what its own decision sees), settled (highest revision), whether that is in time for the next decision."""
     decision = F.col("trade_date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(8))

@@ -27,6 +27,17 @@ def j1(spark, sf):
     return fa.asof_bars(d, b).select("symbol", "decision_time", "event_time", "revision", "close")
 
 
+@query("j1_asof_sweep", """
+with d as (select distinct symbol, cast(trade_date as timestamp) + interval 8 hour as decision_time from late_bars)
+select d.symbol, d.decision_time, b.event_time, max(b.revision) as revision, max_by(b."close", b.revision) as "close"
+from d join late_bars b on b.symbol = d.symbol and cast(b.event_time as date) <= cast(d.decision_time as date) and cast(b.event_time as date) > cast(d.decision_time as date) - 60 and b.available_time <= d.decision_time group by all""", "late_bars")
+def j1_sweep(spark, sf):
+    """Every day of every symbol as a decision, with the last 60 days as it saw them."""
+    b = fx.late_bars(spark, sf)
+    d = b.select("symbol", (F.col("trade_date").cast("timestamp_ntz") + fx.hours(8)).alias("decision_time")).distinct()
+    return fa.asof_recent(d, b).select("symbol", "decision_time", "event_time", "revision", "close")
+
+
 _WIN = """
 with w as (select *, lag(final, 20) over o as back, row_number() over o as rn, max(final) over (o rows between 19 preceding and 1 preceding) as hi19, min(final) over (o rows between 19 preceding and 1 preceding) as lo19,
   avg(case when true then (fh - low) / final end) over (o rows between 20 preceding and 1 preceding) as rr, avg(volume) over (o rows between 20 preceding and 1 preceding) as v20, sum(final) over (o rows between 19 preceding and 1 preceding) as s19
