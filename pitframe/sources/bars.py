@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 BAR_SCHEMA = "symbol string, trade_date date, event_time timestamp_ntz, available_time timestamp_ntz, revision int, open double, high double, low double, close double, volume double, amount double"
 MEMBERSHIP_SCHEMA = "symbol string, industry_code string, effective_from date, effective_to date, available_time timestamp_ntz"
 BAR_KEY = ("symbol", "event_time", "revision")
@@ -24,18 +26,33 @@ def read_bars(spark: SparkSession, path: str, symbols: list[str] | None = None)
 
 
 def upsert_bars(existing: DataFrame, incoming: DataFrame, batch: str | None = None) -> DataFrame:
-    """One row for each symbol, event and revision, the last one written: any incoming one before the existing, later ``batch`` values before earlier.
+    """One row for each symbol, event and revision, the last one written: any incoming one before the existing, later ``batch`` values before earlier,
+    then the one available later, then the one of larger values (so that equal keys have one winner on every run).
 
     Incoming rows that the record rules reject (see ``stamp_problem``: no availability, or before the event) fail the write."""
     bad = F.col("available_time").isNull() | F.col("event_time").isNull() | (F.col("available_time") < F.col("event_time"))
     new = incoming.withColumn("__turn", F.lit(1)).withColumn("__ok", F.assert_true(~bad, F.lit("incoming bars need available_time at or after event_time")))
     old = existing.withColumn("__turn", F.lit(0)).withColumn("__ok", F.lit(None).cast("void"))
     rows = old.unionByName(new, allowMissingColumns=batch is not None)
-    order = [F.desc("__turn")] + ([F.desc(batch)] if batch else [])
+    ties = ["available_time", *sorted(c for c in existing.columns if c not in (*BAR_KEY, "available_time"))]
+    order = [F.desc("__turn")] + ([F.desc(batch)] if batch else []) + [F.desc(c) for c in ties]
     last = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*BAR_KEY).orderBy(*order)))
     return last.filter((F.col("__nth") == 1) & F.col("__ok").isNull()).drop("__nth", "__turn", "__ok")
 
 
+def merge_bars(spark: SparkSession, path: str, incoming: DataFrame, batch: str | None = None) -> list[str]:
+    """``upsert_bars`` into a dataset of ``write_bars`` in place: only the months that the incoming rows touch are read and written; returns them.
+
+    The merged months are written apart first, since they are read from where they go. Merging the same rows again changes nothing."""
+    incoming = incoming.withColumn("month", F.date_format("trade_date", "yyyy-MM"))
+    months = sorted(r[0] for r in incoming.select("month").distinct().collect())  # one value a month
+    if months:
+        old = spark.read.schema(BAR_SCHEMA + ", month string").parquet(path).filter(F.col("month").isin(months)).drop("month")
+        merged = stored(upsert_bars(old, incoming.drop("month"), batch).select(*old.columns), "merged-bars")
+        write_bars(merged, path)
+    return months
+
+
 def stamp_problem(event: Column, available: Column) -> Column:
     """Why a record's stamps (text) are rejected: MISSING, MALFORMED, NAIVE (no offset) or BACKWARDS; null for good ones."""
     parsed = lambda c: F.try_to_timestamp(c)

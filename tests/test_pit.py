@@ -50,6 +50,22 @@ def test_upsert_takes_the_last_write_and_rejects(spark):
         sb.upsert_bars(old, spark.createDataFrame([bar(1, 5.0, hours=2)], BARS)).collect()
 
 
+def test_merge_writes_touched_months_only(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    sb.write_bars(spark.createDataFrame([bar(i, 1.0) for i in (0, 10, 40, 70)], BARS), path)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "bars").rglob("*.parquet")}
+    before = files()
+    new = spark.createDataFrame([bar(40, 5.0), bar(40, 7.0), bar(41, 2.0)], BARS).withColumn("seq", F.when(F.col("close") == 5.0, 2).otherwise(1))
+    for _ in range(2):  # a replay changes nothing
+        assert sb.merge_bars(spark, path, new, "seq") == ["2020-02"]
+        assert {r["trade_date"]: r["close"] for r in sb.read_bars(spark, path).collect()} == {DAY + dt.timedelta(days=i): c for i, c in ((0, 1.0), (10, 1.0), (40, 5.0), (41, 2.0), (70, 1.0))}
+    kept = {p: t for p, t in files().items() if "2020-02" not in p}
+    assert kept == {p: t for p, t in before.items() if "2020-02" not in p}
+    assert sb.merge_bars(spark, path, new.limit(0), "seq") == []
+    sb.merge_bars(spark, path, new.drop("seq"))
+    assert sb.read_bars(spark, path).filter("month(trade_date) = 2").agg(F.max("close")).first()[0] == 7.0  # equal keys: the larger value
+
+
 def test_bars_round_trip_by_symbol(spark, tmp_path):
     df = spark.createDataFrame([bar(0, 1.0), bar(40, 2.0), bar(40, 3.0, symbol="b")], BARS)
     sb.write_bars(df, str(tmp_path))
