@@ -226,7 +226,10 @@ def with_views(sql: str, *names: str) -> str:
     if not ordered:
         return expand(text)
     head = ",".join(VIEWS[n][1] for n in ordered)
-    return expand(f"with {head}" + (f",\n{text[5:]}" if text[:5].lower() == "with " else f"\n{text}"))
+    for start in ("with recursive ", "with "):
+        if text.lower().startswith(start):
+            return expand(f"{start}{head},\n{text[len(start):]}")
+    return expand(f"with {head}\n{text}")
 
 
 def expand(sql: str) -> str:

@@ -125,15 +125,6 @@ def reverse_trace(evidence: DataFrame, raw: DataFrame) -> DataFrame:
     return x.withColumn("trace", trace).drop("matches", "broken", "raw")
 
 
-def completeness_totals(pairs: DataFrame, entity: str, day: str) -> DataFrame:
-    """Set arithmetic over classified pairs (``status``): required are those not declared absent, satisfied those of them observed."""
-    p = pairs.withColumn("required", F.col("declared") == F.lit(False)).withColumn("satisfied", (F.col("declared") == F.lit(False)) & F.col("observed"))
-    gone = lambda key: p.filter("required").groupBy(key).agg(F.bool_or("satisfied").alias("any")).filter("not any").agg(F.count("*").alias(f"missing_{key}s"))
-    need, have = F.count_if("required"), F.count_if("satisfied")
-    t = p.agg(F.count("*").alias("pairs"), need.alias("required"), have.alias("satisfied"), (need - have).alias("missing_pairs"), rnd(F.coalesce(F.try_divide(have, need), F.lit(1.0)), 4).alias("coverage"))
-    return t.crossJoin(gone(entity)).crossJoin(gone(day))  # one row each
-
-
 def merge_events(old: DataFrame, new: DataFrame) -> DataFrame:
     """Events (ticker, event_type, event_date, note): manual old ones stay, automatic old ones give way to the new; one row a key, old before new."""
     auto = F.coalesce(F.col("note").contains("source:"), F.lit(False))

@@ -85,13 +85,6 @@ def freshness(available: Column, now: Column, days: Column) -> Column:
     return F.when(days.isNull(), "missing_policy").when(available.isNull(), "unknown").when(age <= days * 86400, "fresh").otherwise("stale")
 
 
-def completeness(expected: DataFrame, actual: DataFrame, absences: DataFrame, key: list[str]) -> DataFrame:
-    """Each expected pair as OBSERVED, EXPECTED_ABSENCE or UNEXPECTED_MISSING."""
-    a, b = actual.select(*key).distinct().withColumn("seen", F.lit(True)), absences.select(*key).distinct().withColumn("excused", F.lit(True))
-    x = expected.select(*key).distinct().join(a, key, "left").join(b, key, "left")
-    return x.select(*key, F.when(F.col("seen"), "OBSERVED").when(F.col("excused"), "EXPECTED_ABSENCE").otherwise("UNEXPECTED_MISSING").alias("status"))
-
-
 def project_info(raw: DataFrame, registry: DataFrame) -> DataFrame:
     """Raw records as information records: without availability they are UNRESOLVED, and each carries its source's freshness policy."""
     known = F.broadcast(registry.select("source", F.col("policy").alias("freshness_policy_id")))  # one row a registered source

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..fixtures import rnd
 from . import resample
 from .calibrate import _sigmoid, logit
-from .metrics import log_loss
+from .metrics import exact_quantiles, log_loss
 
 # The study's window, winsor points, cap, costs in basis points of a unit traded.
 HISTORY, LEAST_HISTORY, WINSOR, CAP = 60, 10, (0.01, 0.99), 2
@@ -90,7 +90,7 @@ def rolling_features(rows: DataFrame, split: str) -> DataFrame:
 
     x = x.withColumn("own", features(F.col("past")))
     discovery = rows.filter(F.col("trade_date") < split)
-    ends = discovery.agg(*[F.percentile("next_return", F.lit(q)).alias(n) for q, n in zip(WINSOR, ("a", "b"))])
+    ends = exact_quantiles(discovery, "next_return", list(WINSOR)).toDF("a", "b")
     r = F.least(F.greatest("next_return", "a"), F.col("b"))
     pool = discovery.crossJoin(F.broadcast(ends)).withColumn("r", r).agg(  # one row each
         F.coalesce(F.avg(F.when(F.col("r") > 0, F.col("r"))), F.lit(0.0)).alias("u0"), F.coalesce(F.avg(F.when(F.col("r") < 0, F.col("r"))), F.lit(0.0)).alias("d0"),
@@ -127,7 +127,7 @@ def select(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES, cap: int =
     Of each day and policy at most ``cap`` rows of an industry stay, in the order of symbols; rows without one are not capped.
     The risk filter is the median risk of all rows. Days are ranked in windows; a day has one row a symbol."""
     day = Window.partitionBy("trade_date")
-    middle = F.broadcast(rows.agg(F.percentile("risk", F.lit(0.5)).alias("__middle")))  # one row
+    middle = F.broadcast(exact_quantiles(rows, "risk", [0.5]).toDF("__middle"))  # one row
     x = rows.crossJoin(middle)
     for s in sorted({p.score for p in policies if p.rule == "top"}):
         x = x.withColumn(f"__rank_{s}", F.row_number().over(day.orderBy(F.desc(s), "symbol")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..fixtures import rnd
 from ..operators import evidence as ev
+from ..operators import expected as ex
 from ..operators import factors as fa
 from ..operators import infoquality as iq
 from .registry import query
@@ -251,25 +252,24 @@ def d2(spark, sf):
 _PAIRS = """pa as (select e.entity, d.day, month(d.day) = 2 as declared, a.entity is not null as observed from (select distinct symbol as entity from bars) e, (select distinct date_trunc('month', trade_date)::date as day from bars) d left join (select distinct symbol as entity, date_trunc('month', trade_date)::date as day from bars where volume > 30) a on a.entity = e.entity and a.day = d.day)"""
 
 
-def _pairs(spark, sf):
+def _contract(spark, sf):
+    """Entities, days (Februaries closed), observed pairs and no single absences."""
     b = fx.bars(spark, sf).select(F.col("symbol").alias("entity"), F.trunc("trade_date", "month").alias("day"), "volume")
-    e = b.select("entity").distinct().crossJoin(F.broadcast(b.select("day").distinct()))  # the expected set is this product; months are few
-    a = b.filter("volume > 30").select("entity", "day").distinct().withColumn("seen", F.lit(True))
-    return e.join(a, ["entity", "day"], "left").select("entity", "day", (F.month("day") == 2).alias("declared"), F.coalesce("seen", F.lit(False)).alias("observed"))
+    seen = b.filter("volume > 30").select("entity", "day")
+    return b.select("entity"), b.select("day", (F.month("day") == 2).alias("closed")), seen, seen.filter("false")
 
 
 @query("d5_completeness", f"""with {_PAIRS}, r as (select *, not declared as required, not declared and observed as satisfied from pa)
 select count(*) as pairs, count(*) filter (required) as required, count(*) filter (satisfied) as satisfied, count(*) filter (required) - count(*) filter (satisfied) as missing_pairs, rnd(count(*) filter (satisfied)::double / count(*) filter (required), 4) as coverage,
 (select count(*) from (select entity from r where required group by entity having not bool_or(satisfied))) as missing_entitys, (select count(*) from (select day from r where required group by day having not bool_or(satisfied))) as missing_days from r""", "bars")
 def d5(spark, sf):
-    return ev.completeness_totals(_pairs(spark, sf), "entity", "day")
+    return ex.completeness(*_contract(spark, sf), "entity", "day").drop("out_of_scope")
 
 
 @query("d7_declared_absences", f"with {_PAIRS} select entity, day, row_number() over (order by entity, day) - 1 as i, 'absences[' || (row_number() over (order by entity, day) - 1) || ']' as reference from pa where declared", "bars")
 def d7(spark, sf):
-    """The declared pairs are a contract's own list, which is small; their places are one window over it."""
-    i = F.row_number().over(Window.orderBy("entity", "day")) - 1
-    return _pairs(spark, sf).filter("declared").select("entity", "day", i.cast("long").alias("i"), F.concat(F.lit("absences["), i.cast("string"), F.lit("]")).alias("reference"))
+    entities, days, _, absent = _contract(spark, sf)
+    return ex.declared_pairs(entities, days, absent, "entity", "day")
 
 
 _OLD = "old as (select lpad(cast(user_id as varchar), 6, '0') as ticker, event_type, cast(ts as date) as event_date, case when event_id % 3 = 0 then 'source: feed' else 'by hand ' || event_id end as note from events where event_id % 2 = 0), new as (select lpad(cast(user_id as varchar), 6, '0') as ticker, event_type, cast(ts as date) as event_date, 'source: feed' as note from events where event_id % 5 = 0)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..fixtures import rnd
+from ..operators import expected as ex
 from ..operators import infoquality as iq
 from .registry import query
 
@@ -177,9 +178,8 @@ def q10(spark, sf):
 select e.symbol, e.m as month, case when a.symbol is not null then 'OBSERVED' when month(e.m) = 2 then 'EXPECTED_ABSENCE' else 'UNEXPECTED_MISSING' end as status from e left join a using (symbol, m)""", "bars")
 def d6(spark, sf):
     b = fx.bars(spark, sf).select("symbol", F.trunc("trade_date", "month").alias("month"), "volume")
-    months = b.select("month").distinct()
-    e = b.select("symbol").distinct().crossJoin(F.broadcast(months))  # the expected set is this product; months are few
-    return iq.completeness(e, b.filter("volume > 30"), e.filter(F.month("month") == 2), ["symbol", "month"])
+    days = b.select("month", (F.month("month") == 2).alias("closed"))
+    return ex.classify_pairs(b, days, b.filter("volume > 30"), b.filter("false"), "symbol", "month")
 
 
 @query("d12_coverage_start", "with c as (select symbol, min(effective_from) as start from membership group by symbol) select b.symbol, c.start, case when c.start is null then 'NO_COVERAGE' when c.start > b.first then 'PARTIAL_COVERAGE' else 'OK' end as status from (select symbol, min(trade_date) as first from bars group by symbol) b left join c using (symbol)", "bars membership")
