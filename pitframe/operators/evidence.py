@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixtures import rnd
 
 LINEAGE = ("source", "source_id")
 # Names that stand for no source.
