@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixtures import rnd
+from . import resample
 
 
 def logit(p: Column, eps: float = 1e-12) -> Column:
@@ -48,7 +48,11 @@ def platt(fit_on: DataFrame, p: str = "p", y: str = "y") -> Column:
 
 
 def isotonic_steps(fit_on: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
-    """(lo, hi, value): the rising step function fitted on the rows, rows of equal p being one point; the ends are open."""
+    """(lo, hi, value): the rising step function fitted on the rows, rows of equal p being one point; the ends are open.
+
+    Points are pooled within ranges of p first, on the executors; what is left of them ends on the driver. With outcomes 0 and 1 a step is a
+    fraction whose denominator is its rows, the steps' fractions differ and their rows add up to all rows, so there are less than
+    0.9 x rows^(2/3) steps (21 MB for 10^9 rows): the size of what is sent to the tasks is bounded by that."""
     points = fit_on.groupBy(F.col(p).alias("p")).agg(F.avg(F.col(y).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
     points = VectorAssembler(inputCols=["p"], outputCol="features").transform(points)
     model = IsotonicRegression(weightCol="weight").fit(points)
@@ -72,17 +76,13 @@ def isotonic(rows: DataFrame, steps: DataFrame, p: str = "p", out: str = "isoton
     return x.withColumn(out, F.get("__steps", at)["value"]).drop("__steps")
 
 
-def bootstrap_delta(preds: DataFrame, better: Column, rounds: int = 1000, seed: int = 20260929, by: str = "symbol") -> DataFrame:
-    """Mean of ``better`` and its 2.5 and 97.5 % points when whole symbols are drawn again with replacement.
-
-    Rows are summed by symbol first; each round's draws are hashes of (seed, round, place), so reruns agree.
-    """
-    sums = preds.groupBy(by).agg(F.sum(better).alias("s"), F.count("*").alias("n"))
-    count = sums.count()
-    placed = sums.withColumn("i", F.row_number().over(Window.orderBy(by)) - 1)  # one row a symbol
-    draws = sums.sparkSession.range(rounds * max(count, 1)).select((F.col("id") % rounds).alias("round"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(count, 1))).cast("int").alias("i"))
-    drawn = draws.groupBy("round", "i").agg(F.count("*").alias("k")).join(placed, "i")
-    each = drawn.groupBy("round").agg((F.sum(F.col("k") * F.col("s")) / F.sum(F.col("k") * F.col("n"))).alias("d"))
-    q = lambda x: rnd(F.percentile("d", F.lit(x))).alias(f"q{str(x)[2:]}")
-    whole = placed.agg(rnd(F.sum("s") / F.sum("n")).alias("delta"), F.count("*").alias("symbols"))
-    return whole.crossJoin(each.agg(q(0.025), q(0.975)))
+def bootstrap_delta(preds: DataFrame, better: Column, rounds: int = resample.ROUNDS, seed: int = resample.SEED, by: str = "symbol") -> DataFrame:
+    """Mean of ``better``, the number of symbols, and the mean's 2.5 and 97.5 % points when whole symbols are drawn again with replacement.
+
+    Rows are summed by symbol first, so only those sums meet the draws; draws are hashes of their numbers, so reruns agree."""
+    sums = preds.groupBy(F.col(by).alias("symbol")).agg(F.sum(better).alias("s"), F.count("*").alias("n"))
+    g = sums.join(resample.draws(sums, rounds, seed), "symbol").groupBy("round")
+    g = g.agg((F.sum(F.col("k") * F.col("s")) / F.sum(F.col("k") * F.col("n"))).alias("delta"), F.count("*").alias("symbols"))
+    ends = resample.interval(g, [], ["delta"]).select("delta", F.col("delta_q025").alias("q025"), F.col("delta_q975").alias("q975"))
+    whole = g.filter("round < 0").agg(F.coalesce(F.max("symbols"), F.lit(0).cast("long")).alias("symbols"))
+    return ends.crossJoin(whole).select("delta", "symbols", "q025", "q975")  # one row each

@@ -140,7 +140,18 @@ def p12(spark, sf):
     return v.select("policy", "symbol", "trade_date", "calibration_method", F.array_join("missing_fields", ",").alias("missing_fields"), "freshness", F.array_join("uncertainty", ",").alias("uncertainty"), "report_id")
 
 
-@query("p11_policy_bootstrap")
+_ENDS = ", ".join(f"rnd(max({c}) filter (round < 0), 9) as {c}, rnd(quantile_cont({c}, 0.025) filter (round >= 0), 9) as {c}_q025, rnd(quantile_cont({c}, 0.975) filter (round >= 0), 9) as {c}_q975" for c in ("net_delta", "hit_delta", "coverage_delta"))
+
+
+@query("p11_policy_bootstrap", f"""{_ALL}, di as (select policy, trade_date, row_number() over (partition by policy order by trade_date) as i, count(*) over (partition by policy) as days from (select distinct policy, trade_date from picked)),
+mv as (select policy, symbol, next_return, y, i, days, coalesce(lag(i) over u, -1) <> i - 1 as enters, i < days and coalesce(lead(i) over u, -1) <> i + 1 as leaves from picked join di using (policy, trade_date) window u as (partition by policy, symbol order by i)),
+sy as (select policy, symbol, sum(next_return) as r, sum(y)::double as hits, count(*) as n, sum(enters::int + leaves::int) as moves from mv group by all),
+nm as (select symbol, row_number() over (order by symbol) - 1 as nth, count(*) over () as c from (select distinct symbol from sy)),
+dr as (select id % 1000 as round, ('0x' || substr(md5('20260929:' || id), 1, 8))::bigint % c as nth from (select any_value(c) as c from nm), unnest(range(1000 * c)) u(id)),
+wt as (select round, symbol, count(*) as k from dr join nm using (nth) group by all union all select -1, symbol, 1 from nm),
+rd as (select round, policy, sum(k * r) / sum(k * n) - {po.COSTS["low"]}::double / 10000 * sum(k * moves) / sum(k * n) as net, sum(k * hits) / sum(k * n) as hit, sum(k * n)::double as n from sy join wt using (symbol) group by all),
+dl as (select b.round, o.policy, g.net - b.net as net_delta, g.hit - b.hit as hit_delta, coalesce(g.n, 0) / b.n - 1 as coverage_delta from rd b cross join (select distinct policy from sy where policy <> 'hold_all') o left join rd g on g.round = b.round and g.policy = o.policy where b.policy = 'hold_all')
+select policy, {_ENDS} from dl group by policy""", _NEED)
 def p11(spark, sf):
     return po.policy_bootstrap(stored(po.select(_scored(spark, sf)), "selected"))
 

@@ -9,6 +9,7 @@ from ..fixtures import rnd
 from ..operators import calibrate as ca
 from ..operators import metrics as me
 from ..operators import signals as si
+from .metric_queries import BLOCK
 from .registry import query
 
 SPLIT = "1999-01-01"
@@ -119,28 +120,60 @@ def _sides(spark, sf):
     return p.filter(F.col("trade_date") < SPLIT), p.filter(F.col("trade_date") >= SPLIT)
 
 
-@query("c4_calibration_line")
+_P = f"""pr as materialized (select *, ln(q / (1 - q)) as x, case when trade_date < date '{SPLIT}' then 'discovery' else 'validation' end as slice from (select *, least(greatest(p, 1e-12), 1 - 1e-12) as q from predictions where variant = 'baseline'))"""
+
+
+def _newton(slices: str, slope: float) -> str:
+    """Newton's steps as a recursive query: nt has the line of each slice after i steps."""
+    return f"""
+xs as materialized (select slice, x, count(*) as n, sum(y)::double as s from pr group by all),
+nt(slice, i, a, b, done) as (select unnest({slices}), 0, 0.0::double, {slope}::double, false
+  union all select slice, i + 1, case when good then a + da else 'nan'::double end, case when good then b + db else 'nan'::double end, not good or greatest(abs(da), abs(db)) < 1e-10
+  from (select *, det > 1e-12 * h00 * h00 as good, (h11 * g0 - h01 * g1) / det as da, (h00 * g1 - h01 * g0) / det as db
+    from (select *, h00 * h11 - h01 * h01 as det
+      from (select slice, i, a, b, sum(s - n * mu) as g0, sum((s - n * mu) * x) as g1, sum(v) as h00, sum(v * x) as h01, sum(v * x * x) as h11
+        from (select nt.*, x, n, s, mu, greatest(mu * (1 - mu), 1e-9) * n as v from (select nt.*, x, n, s, 1 / (1 + exp(-least(greatest(a + b * x, -30), 30))) as mu from nt join xs using (slice) where i < 50 and not done) nt) group by slice, i, a, b))))"""
+
+
+_LINE = f"""{_newton("['discovery']", 1.0)},
+ln_ as (select a, b from nt order by i desc limit 1),
+pl as (select symbol, trade_date, p, y, baseline_p, 1 / (1 + exp(-least(greatest(a + b * x, -30), 30))) as platt from pr, ln_ where slice = 'validation')"""
+# the greatest convex minorant of the running sums: from each corner on to the point of least slope, the farthest of equals
+_STEPS = """
+pt as materialized (select row_number() over (order by p) as i, p, sum(n) over (order by p) as w, sum(u) over (order by p) as t from (select p, count(*)::double as n, sum(y)::double as u from pr where slice = 'discovery' group by p)),
+cv(i, w, t, since, v) as (select 0::bigint, 0.0::double, 0.0::double, 0::bigint, null::double
+  union all select e.i, e.w, e.t, e.since, e.v from (select min_by({'i': pt.i, 'w': pt.w, 't': pt.t, 'since': cv.i, 'v': (pt.t - cv.t) / (pt.w - cv.w)}, {'v': (pt.t - cv.t) / (pt.w - cv.w), 'o': -pt.i}) as e from cv join pt on pt.i > cv.i) where e is not null),
+st as (select case when since = 0 then '-infinity'::double else pt.p end as lo, v from cv join pt on pt.i = cv.since + 1 where v is not null)"""
+
+
+@query("c4_calibration_line", f"""
+with recursive {_P}, {_newton("['discovery', 'validation']", 0.0)}
+select slice, case when not isnan(a) then rnd(a, 7) end as intercept, case when not isnan(b) then rnd(b, 7) end as slope from (select slice, max_by(a, i) as a, max_by(b, i) as b from nt group by slice)""", "predictions")
 def c4(spark, sf):
-    """Intercept and slope of the discovery and validation rows."""
+    """Intercept and slope of the discovery and validation rows, null where no unique line exists."""
     out = []
     for name, side in zip(("discovery", "validation"), _sides(spark, sf)):
         out.append((name, *ca.logistic_line(side)))
-    return spark.createDataFrame(out, "slice string, intercept double, slope double")
+    x = spark.createDataFrame(out, "slice string, intercept double, slope double")
+    return x.select("slice", *[F.when(~F.isnan(c), rnd(c, 7)).alias(c) for c in ("intercept", "slope")])
 
 
-@query("c5_platt")
+@query("c5_platt", f"with recursive {_P}, {_LINE} select symbol, trade_date, p, y, rnd(platt, 9) as platt from pl", "predictions")
 def c5(spark, sf):
     fit_on, rows = _sides(spark, sf)
     return rows.select("symbol", "trade_date", "p", "y", rnd(ca.platt(fit_on)).alias("platt"))
 
 
-@query("c6_isotonic")
+@query("c6_isotonic", f"with recursive {_P}, {_STEPS} select symbol, trade_date, p, y, rnd(v, 9) as isotonic from (select * from pr where slice = 'validation') x asof join st on x.p >= st.lo", "predictions")
 def c6(spark, sf):
     fit_on, rows = _sides(spark, sf)
     return ca.isotonic(rows, ca.isotonic_steps(fit_on)).select("symbol", "trade_date", "p", "y", rnd("isotonic").alias("isotonic"))
 
 
-@query("c10_method_comparison")
+@query("c10_method_comparison", f"""
+with recursive {_P}, {_LINE}, {_STEPS}, iv as (select x.*, st.v from pl x asof join st on x.p >= st.lo),
+mt as (select y, baseline_p, unnest(['raw', 'platt', 'isotonic']) as method, unnest([p, platt, v]) as p from iv)
+select method, {BLOCK} from mt group by method""", "predictions")
 def c10(spark, sf):
     """The metric block of raw, Platt and isotonic probabilities on validation rows, each fitted on discovery rows."""
     fit_on, rows = _sides(spark, sf)
@@ -149,7 +182,12 @@ def c10(spark, sf):
     return x.select("y", "baseline_p", each).groupBy("method").agg(*me.metric_block("q"))
 
 
-@query("c11_bootstrap_delta")
+@query("c11_bootstrap_delta", """
+with sy as (select symbol, sum((baseline_p - y) * (baseline_p - y) - (p - y) * (p - y)) as s, count(*) as n from predictions where variant = 'baseline' group by symbol),
+nm as (select symbol, s, n, row_number() over (order by symbol) - 1 as nth, count(*) over () as c from sy),
+dr as (select id % 1000 as round, ('0x' || substr(md5('20260929:' || id), 1, 8))::bigint % c as nth from (select any_value(c) as c from nm), unnest(range(1000 * c)) u(id)),
+rd as (select round, sum(s) / sum(n) as d from dr join nm using (nth) group by round)
+select (select rnd(sum(s) / sum(n), 9) from nm) as delta, (select count(*) from nm) as symbols, rnd(quantile_cont(d, 0.025), 9) as q025, rnd(quantile_cont(d, 0.975), 9) as q975 from rd""", "predictions")
 def c11(spark, sf):
     """Gain in squared error over the baseline rate, with its range over draws of symbols."""
     y = F.col("y").cast("double")
