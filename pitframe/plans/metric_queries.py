@@ -242,8 +242,9 @@ def l8_matrix(spark, sf):
     return g.select("symbol", F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("rho")) for a, b in _PAIRS])))
 
 
-@query("l9_decorrelated_factors")
+@query("l9_decorrelated_factors", "select symbol, trade_date, momentum, volatility, trend, volume_ratio from design", "design")
 def l9(spark, sf):
+    """The design rows' factors less those that correlate with an earlier one; none does here, l9_decorrelate has one that does."""
     from ..operators.factors import design_rows
 
     rows = design_rows(fx.bars(spark, sf))

@@ -338,12 +338,6 @@ def l6(spark, sf):
     return x.select("symbol", "trade_date", rnd("momentum", 6).alias("momentum"), rnd(F.col("momentum") * F.col("momentum"), 5).alias("momentum_sq"))
 
 
-@query("l10_correlation_clusters")
-def l10(spark, sf):
-    d = fa.design_rows(fx.bars(spark, sf)).withColumn("copy", F.col("momentum") * 2 + 1)
-    return me.correlation_clusters(d, [*FACTORS, "copy"])
-
-
 @query("g4_backfill_outcomes", """
 with l as (select symbol, trade_date, look, lead(look, 1) over w as a1, lead(look, 3) over w as a3, lead(look, 5) over w as a5, lead(look, 10) over w as a10 from settled window w as (partition by symbol order by trade_date))
 select symbol, trade_date, h as horizon, rnd(a / look - 1, 9) as realized_return from (select symbol, trade_date, look, unnest([1, 3, 5, 10]) as h, unnest([a1, a3, a5, a10]) as a from l where extract(day from trade_date) = 10) where a is not null""", "settled")

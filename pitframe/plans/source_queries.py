@@ -229,7 +229,12 @@ def a17_conflicts(spark, sf):
     return sb.build_intervals(_changes(spark, sf))[1].select("symbol", "start_date", F.array_join("codes", ",").alias("codes"))
 
 
-@query("a18_write_artifacts")
+_WHOLE = lambda c: f"cast(cast(floor({c} * 1e6 + 0.5) as bigint) as varchar)"
+
+
+@query("a18_write_artifacts", f"""
+with t as (select concat_ws('|', symbol, trade_date::varchar, strftime(event_time, '%Y-%m-%d %H:%M:%S'), strftime(available_time, '%Y-%m-%d %H:%M:%S'), revision::varchar, {', '.join(_WHOLE(c) for c in ('"open"', 'high', 'low', '"close"', 'volume', 'amount'))}) as s from bars)
+select unnest(['computed', 'written']) as side, count(*) as rows, sum(('0x' || substr(md5(s), 1, 15))::bigint)::varchar as checksum from t""", "bars")
 def a18(spark, sf):
     """The table is written and read again; the manifests of both are given side by side."""
     path, b = new_path(spark, "artifact"), fx.bars(spark, sf)

@@ -26,7 +26,15 @@ def f_volatility(spark, sf):
     return fa.design_rows(fx.bars(spark, sf)).select("symbol", "trade_date", "volatility")
 
 
-@query("f9_factor_registry")
+# every day of these bars can be used from its own decision on, so the newest 21 usable days are the last 21
+@query("f9_factor_registry", """
+with sn as (select d.symbol, d.trade_date, e.i, max_by({'c': b."close", 'h': b.high, 'l': b.low, 'v': b.volume}, b.revision) as s from days_ d join days_ e on e.symbol = d.symbol and e.i between d.i - 20 and d.i
+  join late_bars b on b.symbol = e.symbol and b.trade_date = e.trade_date and b.available_time <= d.dt group by all),
+hs as (select symbol, trade_date, list(s order by i) as h from sn group by all),
+cs as (select symbol, trade_date, len(h) = 21 as whole, h[len(h)].c as c, h[len(h)].h as hi, h[len(h)].l as lo, h[len(h)].v as vol, h[1].c as back, [x.c for x in h[2:]] as last, [ln(h[k].c / h[k - 1].c) for k in range(2, len(h) + 1)] as r, [x.v for x in h[1:20]] as v, [(x.h - x.l) / x.c for x in h[1:20]] as g from hs)
+select symbol, trade_date, c as "close", case when whole then rnd(c / list_max(last) - 1, 9) end as close_to_high, case when whole then rnd(c / list_min(last) - 1, 9) end as close_to_low, case when whole and hi > lo then rnd(2 * (c - lo) / (hi - lo) - 1, 9) end as close_location,
+case when whole then rnd(c / back - 1, 9) end as momentum, case when whole and list_avg(g) > 0 then rnd((hi - lo) / c / list_avg(g) - 1, 9) end as range_ratio, case when whole then rnd(c / list_avg(last) - 1, 9) end as trend,
+case when whole then rnd(list_stddev_pop(r) * sqrt(252), 6) end as volatility, case when whole and list_avg(v) > 0 then rnd(vol / list_avg(v) - 1, 9) end as volume_ratio from cs""", "days")
 def f9(spark, sf):
     """Every factor of the registry by name, over bars with late revisions, so that both paths run."""
     return fa.compute_factors(fx.late_bars(spark, sf), sorted(fa.REGISTRY))
@@ -174,9 +182,26 @@ def d1(spark, sf):
     return iq.smallest_text(fx.info(spark, sf).withColumn("canonical", c)).select("source", "source_id", "revision", "canonical")
 
 
-@query("l9_decorrelate")
+_NAMED = [*FACTORS, "copy"]
+_NEAR = " union all ".join(f"select '{a}|{b}' as k, rnd(abs(corr({a}, {b})), 6) as r from cd" for a in _NAMED for b in _NAMED)
+_CORR = f"""cd as materialized (select momentum, volatility, trend, volume_ratio, momentum * 2 + 1 as "copy" from design), nr as materialized (select map_from_entries(list((k, r))) as m, {_NAMED} as names from ({_NEAR.replace('copy,', '"copy",').replace(', copy)', ', "copy")')}))"""
+
+
+@query("l9_decorrelate", f"""
+with recursive {_CORR}, kp(i, kept) as (select 0, []::varchar[] union all select i + 1, case when len([x for x in kept if coalesce(m[x || '|' || names[i + 1]], 0) >= 0.9]) = 0 then list_append(kept, names[i + 1]) else kept end from kp, nr where i < len(names))
+select (unnest(range(len(kept))))::int as place, unnest(kept) as factor from kp, nr where i = len(names)""", "design")
 def l9(spark, sf):
     """The factors that greedy decorrelation keeps, in order; a copy of one is among the candidates."""
     d = fa.design_rows(fx.bars(spark, sf)).withColumn("copy", F.col("momentum") * 2 + 1)
     kept = me.decorrelate(d, [*FACTORS, "copy"])
     return spark.createDataFrame([(i, f) for i, f in enumerate(kept)], "place int, factor string")
+
+
+@query("l10_correlation_clusters", f"""
+with recursive {_CORR}, gr(i, seen, cluster, own) as (select 0, []::varchar[], -1, null::varchar[] union all
+  select i + 1, case when fresh then list_concat(seen, own) else seen end, cluster + fresh::int, case when fresh then own end from
+  (select i, seen, cluster, not list_contains(seen, names[i + 1]) as fresh, [x for x in names if x = names[i + 1] or coalesce(m[names[i + 1] || '|' || x], 0) >= 0.85] as own from gr, nr where i < len(names)))
+select cluster, array_to_string(own, ',') as members from gr where own is not null""", "design")
+def l10(spark, sf):
+    d = fa.design_rows(fx.bars(spark, sf)).withColumn("copy", F.col("momentum") * 2 + 1)
+    return me.correlation_clusters(d, _NAMED).withColumn("members", F.array_join("members", ","))
