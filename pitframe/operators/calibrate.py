@@ -51,7 +51,7 @@ def isotonic_steps(fit_on: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     """(lo, hi, value): the rising step function fitted on the rows, rows of equal p being one point; the ends are open.
 
     Points are pooled within ranges of p first, on the executors; what is left of them ends on the driver. With outcomes 0 and 1 a step is a
-    fraction whose denominator is its rows, the steps' fractions differ and their rows add up to all rows, so there are less than
+    fraction whose denominator is its rows, the steps' fractions differ and their rows add up to all rows, so there are at most about
     0.9 x rows^(2/3) steps (21 MB for 10^9 rows): the size of what is sent to the tasks is bounded by that."""
     points = fit_on.groupBy(F.col(p).alias("p")).agg(F.avg(F.col(y).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
     points = VectorAssembler(inputCols=["p"], outputCol="features").transform(points)

@@ -212,12 +212,15 @@ def decorrelate(df: DataFrame, columns: list[str], most: float = 0.9) -> list[st
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """name, n, missing, mean, sd, min, q25, median, q75, max of each column."""
-    def one(c: str) -> Column:
-        q = lambda x: rnd(F.percentile(c, F.lit(x)))
-        return F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("missing"), rnd(F.avg(c)).alias("mean"), rnd(F.stddev_pop(c), 6).alias("sd"), rnd(F.min(c)).alias("least"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), rnd(F.max(c)).alias("most"))
-
-    return df.agg(F.array(*[one(c) for c in columns]).alias("x")).select(F.inline("x"))
+    """name, n, missing, mean, sd, min, q25, median, q75, max of each column; quantiles by ranges, so no task holds a column."""
+    df = stored(df.select(*columns), "profile")  # read once a column
+    out = None
+    for c in columns:
+        one = df.agg(F.lit(c).alias("name"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("missing"), rnd(F.avg(c)).alias("mean"), rnd(F.stddev_pop(c), 6).alias("sd"), rnd(F.min(c)).alias("least"), rnd(F.max(c)).alias("most"))
+        q = exact_quantiles(df, c, [0.25, 0.5, 0.75]).select(rnd("e1").alias("q25"), rnd("e2").alias("median"), rnd("e3").alias("q75"))
+        one = one.crossJoin(q)  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def bucket_report(df: DataFrame, column: str, label: str, k: int, by: str) -> DataFrame:

@@ -8,6 +8,7 @@ from .. import fixtures as fx
 from ..fixtures import rnd
 from ..operators import boundary as bo
 from ..operators import infoquality as iq
+from ..operators import metrics as me
 from ..operators import portfolio as po
 from ..sources import bars as sb
 from ..sources import provider
@@ -266,7 +267,7 @@ rnd(count(*) filter (status = 'ADMISSIBLE')::double / count(*), 9) as admissible
 def b5(spark, sf):
     p = fx.payloads(spark, sf)
     seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    mid = p.agg(F.percentile(seconds("fetched_at"), F.lit(0.5)).alias("mid"))
+    mid = me.exact_quantiles(p.select(seconds("fetched_at").alias("at")), "at", [0.5]).toDF("mid")
     status = F.when(F.col("fallback"), "FALLBACK").when(F.col("available_time").isNull() | F.col("fetched_at").isNull(), "MISSING_TIME").when(seconds("available_time") <= F.col("mid"), "ADMISSIBLE").otherwise("FUTURE")
     s = p.crossJoin(F.broadcast(mid)).select(F.coalesce("source", F.lit("none")).alias("source"), status.alias("status"))  # one row
     return iq.summarize_status(s, "source")
