@@ -36,7 +36,9 @@ def _tick_days(spark, sf):
     side = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("hands"))), F.lit(0)).cast("double")
     d = t.groupBy("symbol", day).agg(rnd(F.sum(F.col("price") * F.col("hands")) / F.sum("hands"), 6).alias("vwap"), F.max_by("price", order).alias("last"), F.sum("hands").cast("double").alias("volume"), side("B").alias("buy"), side("S").alias("sell"))
     w = Window.partitionBy("symbol").orderBy("day")
-    return d.join(share, ["symbol", "day"]).withColumn("pct", rnd((F.col("last") / F.lag("last").over(w) - 1) * 100, 6)).withColumn("ratio", rnd(F.col("volume") / F.avg("volume").over(w.rowsBetween(-5, -1)), 6))
+    prev = F.lag("last").over(w)
+    pct = F.when(prev == 0, F.col("last") * float("inf")).otherwise(rnd((F.try_divide(F.col("last"), prev) - 1) * 100, 6))  # after a price of 0 the move is infinite or, from 0 to 0, not a number, as in SQL
+    return d.join(share, ["symbol", "day"]).withColumn("pct", pct).withColumn("ratio", rnd(F.col("volume") / F.avg("volume").over(w.rowsBetween(-5, -1)), 6))
 
 
 @query("i3_vwap_verdict", f"with {_TICKDAY} select symbol, day, vwap, last, case when last > vwap * 1.01::double then 'ABOVE_STRONG' when last > vwap then 'ABOVE' when last < vwap * 0.99::double then 'BELOW_WEAK' when last < vwap then 'BELOW' else 'AT' end as verdict from td_", "ticks")
