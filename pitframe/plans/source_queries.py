@@ -144,12 +144,12 @@ def a14(spark, sf):
     return payload.select("symbol", "scale", F.col("fetched_at").alias("available_time"), F.explode("klines").alias("b")).select("symbol", F.col("b.time").alias("event_time"), F.col("b.event_id").alias("event_id"), "scale", F.col("b.close").alias("close"), F.col("b.volume").alias("volume"), "available_time")
 
 
-def _minute_payloads(spark, sf):
-    """What a provider answers for each symbol and day, as JSON files below a folder for each symbol."""
+def _minute_payloads(spark, sf, folders=True):
+    """What a provider answers for each symbol and day, as JSON files, below a folder for each symbol or packed."""
     bar = F.struct(F.col("ts").alias("time"), F.col("event_id"), F.col("price").alias("close"), F.col("hands").alias("volume"))
     days = fx.ticks(spark, sf).groupBy("symbol", F.to_date("ts").alias("day")).agg(F.collect_list(bar).alias("klines"))
     payloads = days.select("symbol", F.lit(5).alias("scale"), F.date_add("day", 1).cast("timestamp_ntz").alias("fetched_at"), "klines")
-    return provider.write_payloads(payloads, new_path(spark, "minute-payloads"))
+    return provider.write_payloads(payloads, new_path(spark, "minute-payloads"), folders)
 
 
 _MINUTES = "select symbol, ts as event_time, event_id, 5 as scale, price as \"close\", hands as volume, date_trunc('day', ts) + interval 1 day as available_time from ticks"
@@ -168,7 +168,7 @@ def a14_source(spark, sf):
 def a14_stream(spark, sf):
     """The minute points of all symbols through the data source as a stream of files."""
     provider.register(spark)
-    stream = spark.readStream.format("provider").option("adapter", "minutes").option("path", _minute_payloads(spark, sf)).load()
+    stream = spark.readStream.format("provider").option("adapter", "minutes").option("path", _minute_payloads(spark, sf, folders=False)).load()
     return jobs.finished(stream, "minute-points")
 
 

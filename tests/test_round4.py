@@ -36,3 +36,17 @@ def changed(folder: Path, **tables: str) -> Path:
 @pytest.mark.parametrize("name", ["i9_volume_price_signal", "i11_accumulation"])
 def test_day_after_a_price_of_zero(spark, tmp_path, name):
     same_as_sql(spark, name, changed(tmp_path, events="select * replace (case when user_id % 3 = 0 and extract(day from ts) % 4 < 2 then 0 else value end as value) from {t}"))
+
+
+def test_many_small_files_share_a_partition(tmp_path):
+    from pitframe.sources import provider
+
+    for i in range(600):
+        (tmp_path / f"symbol={i:06d}").mkdir()
+        (tmp_path / f"symbol={i:06d}" / "part.txt").write_text('{"a": 1}\n')
+    files = provider.files_below(str(tmp_path))
+    parts = provider.packed(files)
+    assert [p for x in parts for p in x.paths] == [f[0] for f in files] and len(parts) == 200
+    assert len(provider.packed(files * 500)) <= provider.PARTS
+    assert len(provider.packed(files[:200])) == 200
+    assert len(provider.packed([(str(i), "", 0, provider.PART_BYTES) for i in range(3)])) == 3
