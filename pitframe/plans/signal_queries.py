@@ -9,6 +9,7 @@ from ..fixtures import rnd
 from ..operators import calibrate as ca
 from ..operators import metrics as me
 from ..operators import signals as si
+from ..sources.scratch import stored
 from .metric_queries import BLOCK
 from .registry import query
 
@@ -116,7 +117,7 @@ def i19_sector(spark, sf):
 
 
 def _sides(spark, sf):
-    p = fx.predictions(spark, sf).filter("variant = 'baseline'")
+    p = stored(fx.predictions(spark, sf).filter("variant = 'baseline'").select("symbol", "trade_date", "p", "y", "baseline_p"), "predictions")  # fits read the rows several times
     return p.filter(F.col("trade_date") < SPLIT), p.filter(F.col("trade_date") >= SPLIT)
 
 
