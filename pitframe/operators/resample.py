@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import rnd
+from ..sources.scratch import stored
 
 ROUNDS, SEED = 1000, 20260929
 
@@ -14,12 +15,20 @@ def draws(sums: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """round, symbol and k: how often each round draws a symbol, from as many draws as there are symbols; round -1 takes each once.
 
     Draws are hashes of their numbers, so reruns agree."""
-    names = sums.select("symbol").distinct()
-    count = max(names.count(), 1)
-    names = names.withColumn("s", F.row_number().over(Window.orderBy("symbol")) - 1)  # one row a symbol
-    drawn = sums.sparkSession.range(rounds * count).select((F.col("id") % rounds).alias("round"), (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long") % count).alias("s"))
-    drawn = drawn.groupBy("round", "s").agg(F.count("*").alias("k")).join(names, "s").select("round", "symbol", "k")
-    return drawn.unionByName(names.select(F.lit(-1).cast("long").alias("round"), "symbol", F.lit(1).cast("long").alias("k")))
+    return drawn(sums.select("symbol").distinct(), rounds, seed).groupBy("round", "symbol").agg(F.count("*").alias("k"))
+
+
+def drawn(sums: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+    """The rows of ``sums`` once for each draw of their symbol, with its round; round -1 takes each once.
+
+    The sums, a few rows a symbol, are computed once and numbered by symbol; draws are made where they meet them and need not be counted first."""
+    sums = stored(sums, "sums")
+    names = sums.select("symbol").distinct().withColumn("s", F.row_number().over(Window.orderBy("symbol")) - 1)  # one row a symbol
+    numbered = stored(sums.join(names, "symbol"), "numbered")
+    count = (numbered.agg(F.max("s")).first()[0] or 0) + 1
+    draw = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long") % count).alias("s")
+    picks = sums.sparkSession.range(rounds * count).select((F.col("id") % rounds).alias("round"), draw)
+    return picks.join(numbered, "s").drop("s").unionByName(sums.withColumn("round", F.lit(-1).cast("long")))
 
 
 def interval(rows: DataFrame, keys: list[str], values: list[str], digits: int = 9) -> DataFrame:
@@ -44,7 +53,7 @@ def spread_bootstrap(rows: DataFrame, *keys: str, rounds: int = ROUNDS, seed: in
 
     A difference of ratios: sums by symbol, weighed by how often it is drawn, then divided. Groups share the draws."""
     sums = spread_sums(rows, *keys)
-    j = sums.join(draws(sums, rounds, seed), "symbol").groupBy(*keys, "round")
-    ratio = lambda c, end: F.try_divide(F.sum(F.col("k") * F.col(f"{c}_{end}")), F.sum(F.col("k") * F.col(f"n_{end}")))
+    j = drawn(sums, rounds, seed).groupBy(*keys, "round")
+    ratio = lambda c, end: F.try_divide(F.sum(f"{c}_{end}"), F.sum(f"n_{end}"))
     g = j.agg((ratio("up", "high") - ratio("up", "low")).alias("spread_up"), (ratio("ret", "high") - ratio("ret", "low")).alias("spread_return"))
     return interval(g, list(keys), ["spread_up", "spread_return"], digits)
