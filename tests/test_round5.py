@@ -5,7 +5,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from pitframe import fixtures as fx
-from pitframe.operators import pit, walkforward
+from pitframe.operators import factors, pit, walkforward
 
 
 def test_only_decisions_before_news_gather_days(spark, monkeypatch):
@@ -34,3 +34,18 @@ def test_sets_of_features_are_fitted_side_by_side_and_apart_alike():
         one, c = walkforward.fit_sets(x, y, [s], epochs=30)
         assert np.allclose(w[k], alone, atol=1e-12) and np.allclose(b[k], base, atol=1e-12)
         assert (w[k] == one[0]).all() and (b[k] == c[0]).all()
+
+
+def test_late_symbols_gather_only_before_news(spark, monkeypatch):
+    asked = []
+    of = factors._gathered
+    monkeypatch.setattr(factors, "_gathered", lambda days, *a: asked.append(days) or of(days, *a))
+    late = fx.late_bars(spark, SF)
+    names = ["momentum", "volatility", "close_to_low"]
+    got = {(r[0], r[1]): r[2:] for r in factors.compute_factors(late, names, 5).collect()}
+    asks, rows = asked[0].filter("asks").count(), asked[0].count()
+    assert 0 < asks < 0.3 * rows
+    h = factors.histories(late, 5, factors._late_symbols(late))
+    whole = h.select("symbol", "trade_date", "close", *[F.when(F.size("h") > 5, factors.rnd(factors.REGISTRY[n](5), 6 if n == "volatility" else 9)) for n in names])
+    want = {(r[0], r[1]): r[2:] for r in whole.collect()}
+    assert len(want) > asks and all(got[k] == v for k, v in want.items())
