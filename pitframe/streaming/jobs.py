@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,36 +106,56 @@ def ledger_appends(stream: DataFrame, key: list[str], time: str, horizon: str) -
     return stream.withWatermark(time, horizon).dropDuplicatesWithinWatermark(key)
 
 
-def action_alerts(stream: DataFrame, *, time: str = "decision_time", tie: str = "record_id", idle_days: int = 120, late: str = "0 seconds") -> DataFrame:
+def action_alerts(stream: DataFrame, *, time: str = "decision_time", tie: str = "record_id", idle_days: int = 120, late: str = "0 seconds", buckets: int = 256) -> DataFrame:
     """Rows (symbol, time, tie, action) whose action differs from the symbol's last one, with that and how often it has changed.
 
-    The last action, its time and the number of changes are the state of a symbol. A symbol that has been silent for more than ``idle_days``
-    starts anew; its state times out when the watermark passes that day, so only symbols that are alive hold state."""
+    The last action, its time and the number of changes of a symbol are kept with those of the other symbols of its bucket (a hash), so a batch makes
+    one call a bucket and not one a symbol. A symbol that has been silent for more than ``idle_days`` starts anew; it leaves its bucket when the
+    watermark passes that day, so only symbols that are alive hold state."""
     schema = T.StructType([*stream.select("symbol", time, tie, "action").schema, T.StructField("previous", T.StringType()), T.StructField("changes", T.LongType())])
     idle = idle_days * 86_400_000
 
     def step(of: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+        known = pd.DataFrame(dict(zip(("symbol", "action", "changes", "at"), state.get))) if state.exists else None
+        mark = state.getCurrentWatermarkMs()
+        rows = None if state.hasTimedOut else pd.concat(list(frames), ignore_index=True)
+        if rows is not None:
+            rows["__ms"] = rows[time].to_numpy("datetime64[ns]").view("int64") // 1_000_000
+            rows = rows.sort_values([time, tie], kind="stable")
+            now = rows[["symbol", "action", "__ms"]].rename(columns={"__ms": "at"}).assign(changes=0)
+            every = now if known is None else pd.concat([known, now], ignore_index=True)  # the state stands as a row before the new ones
+            code, names = pd.factorize(every["symbol"], use_na_sentinel=False)
+            order = np.argsort(code, kind="stable")
+            code, action, at, new = code[order], every["action"].to_numpy(object)[order], every["at"].to_numpy("int64")[order], order >= len(every) - len(now)
+            n = len(code)
+            first = np.ones(n, bool)
+            first[1:] = code[1:] != code[:-1]
+            anew = first.copy()
+            anew[1:] |= at[1:] - at[:-1] > idle
+            none = pd.isna(action)
+            before = np.r_[np.array([None], object), action[:-1]]
+            before[anew | np.r_[True, none[:-1]]] = None
+            changed = new & (pd.isna(before) | none | (before != action))
+            # changes since the symbol last started: running sums less what they were there
+            steps = np.where(new, changed, every["changes"].to_numpy("int64")[order])
+            total, start = np.cumsum(steps), np.maximum.accumulate(np.where(anew, np.arange(n), 0))
+            changes = total - total[start] + steps[start]
+            last = np.r_[first[1:], True]
+            known = pd.DataFrame({"symbol": every["symbol"].to_numpy(object)[order][last], "action": action[last], "changes": changes[last], "at": at[last]})
+            if changed.any():
+                out = rows.iloc[order[changed] - (len(every) - len(now))]
+                yield out[["symbol", time, tie, "action"]].assign(previous=before[changed], changes=changes[changed])
+        alive = known[known["at"] + idle + 1 > mark]
+        if not len(alive):
+            if state.exists:
+                state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values([time, tie], kind="stable")
-        action, changes, at = state.get if state.exists else (None, 0, None)
-        out = []
-        for when, n, new in zip(rows[time], rows[tie], rows["action"]):
-            ms = int(pd.Timestamp(when).value // 1_000_000)
-            if at is not None and ms - at > idle:
-                action, changes = None, 0
-            if action is None or new != action:
-                changes += 1
-                out.append((of[0], when, n, new, action, changes))
-            action, at = new, ms
-        state.update((action, changes, at))
-        state.setTimeoutTimestamp(max(at + idle + 1, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["symbol", time, tie, "action", "previous", "changes"])
-
-    rows = stream.select("symbol", time, tie, "action").withWatermark(time, late)
-    return rows.groupBy("symbol").applyInPandasWithState(step, schema, "action string, changes long, at long", "append", GroupStateTimeout.EventTimeTimeout)
+        state.update(tuple(alive[c].tolist() for c in ("symbol", "action", "changes", "at")))
+        state.setTimeoutTimestamp(max(int(alive["at"].min()) + idle + 1, mark + 1))
+
+    rows = stream.select("symbol", time, tie, "action", F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int").alias("__bucket")).withWatermark(time, late)
+    kept = "symbol array<string>, action array<string>, changes array<bigint>, at array<bigint>"
+    return rows.groupBy("__bucket").applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def table_stream(df: DataFrame, name: str, files: int, order: str) -> DataFrame:
