@@ -3,9 +3,12 @@
 import random
 
 import numpy as np
+from conftest import SF
+from pyspark.sql import functions as F
 from test_pit import alerts_of, at
 
-from pitframe.operators import walkforward
+from pitframe import fixtures as fx
+from pitframe.operators import pit, walkforward
 from pitframe.streaming import jobs
 
 
@@ -58,3 +61,18 @@ def test_alerts_keep_the_state_of_many_symbols_in_a_few_buckets(spark, tmp_path)
     assert sorted(((r["symbol"], r["record_id"], r["action"], r["previous"], r["changes"]) for r in found.collect()), key=str) == alerts_of(rows, 20)
     kept = spark.read.format("statestore").load(f"{tmp_path}/state")
     assert 0 < kept.count() <= 8
+
+
+def test_only_decisions_before_news_gather_common_days(spark, monkeypatch):
+    late, index = fx.late_bars(spark, SF), fx.index_bars(spark, SF)
+    asked = []
+    of = pit.newest_seen
+    monkeypatch.setattr(pit, "newest_seen", lambda days, keep: asked.append(days) or of(days, keep))
+    monkeypatch.setattr(pit, "stored", lambda df, name: df.localCheckpoint())
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = rows(pit.index_context(late)), rows(pit.relative_context(late, index))
+    for days in asked:
+        assert 0 < days.filter("asks").count() < 0.3 * days.count()
+    monkeypatch.setattr(pit, "_asking", lambda d, of=pit._asking: of(d).withColumn("asks", F.col("before") == 20))
+    whole = rows(pit.index_context(late)), rows(pit.relative_context(late, index))  # all gathered
+    assert got == whole and all(got)
