@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_pit import alerts_of, at
 
 from pitframe import fixtures as fx
-from pitframe.operators import pit, walkforward
+from pitframe.operators import metrics, pit, walkforward
 from pitframe.streaming import jobs
 
 
@@ -76,3 +76,19 @@ def test_only_decisions_before_news_gather_common_days(spark, monkeypatch):
     monkeypatch.setattr(pit, "_asking", lambda d, of=pit._asking: of(d).withColumn("asks", F.col("before") == 20))
     whole = rows(pit.index_context(late)), rows(pit.relative_context(late, index))  # all gathered
     assert got == whole and all(got)
+
+
+def test_ranks_deal_rows_once_a_column(spark, monkeypatch):
+    written = []
+    of = metrics.stored
+    monkeypatch.setattr(metrics, "stored", lambda df, name: written.append(df) or of(df, name))
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 0.5, rng.random()]), rng.randrange(5) / 4, n) for n in range(400)]
+    got = metrics.ranks(spark.createDataFrame(rows, "a double, b double, n long"), ["a", "b"], ["n"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(written) == 2 and "rangepartitioning" not in plan and "hashpartitioning(n" not in plan and plan.count("Window") <= 2  # windows over one row a range
+    for c in ("a", "b"):
+        want = {r[2]: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (r["ab".index(c)] is not None, r["ab".index(c)] or 0.0, r[2])))}
+        assert {r["n"]: r[f"r_{c}"] for r in got.collect()} == want
+    sent = [x._jdf.queryExecution().optimizedPlan().toString() for x in written]
+    assert all("row_number" not in p for p in sent)
